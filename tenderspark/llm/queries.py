@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import media, near_dedup, secrets, token_ids
+from tenderspark.llm import media, near_dedup, secrets, token_ids, web_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archive.read_archives(web_archive.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(token_ids.write_ids(table(spark, sf_dir, "documents")))
 
@@ -43,7 +47,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op7_warc": op7_warc,
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, p.payload_digest,
+               CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100""",
+}
