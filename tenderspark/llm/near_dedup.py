@@ -126,36 +126,53 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
-    """All links within one block, or between the two blocks of a pair, by a product of incidence matrices."""
+    """Links between members of different components of one or two blocks, as a forest: at most one a member."""
+    pdf = pdf.drop_duplicates("member")
     bodies = as_bytes(pdf["body"].tolist())
     hashes, counts = shingle_sets(bodies, width)
     owner = np.repeat(np.arange(len(bodies)), counts)
     _, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
     shared = often[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    common = np.zeros((len(bodies), len(bodies)), np.float32)
+    common = np.zeros((len(bodies), len(bodies)), np.float32)  # products of incidence matrices, exact below 2**24
     step = 4096
     for low in range(0, int(column.max()) + 1 if len(column) else 0, step):
         inside = (column >= low) & (column < low + step)
         m = np.zeros((len(bodies), step), np.float32)
         m[owner[inside], column[inside] - low] = 1
         common += m @ m.T
-    union = counts[:, None] + counts[None, :] - common
-    i, j = np.nonzero(np.triu(100 * common >= percent * union, 1))
-    nodes = pdf["member"].to_numpy()
-    return pd.DataFrame({"a": nodes[i], "b": nodes[j]})
+    union = counts[:, None] + counts[None, :] - common.astype(np.int64)
+    linked = 100 * common.astype(np.int64) >= percent * union
+    head = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+    nodes, out = pdf["member"].to_numpy(), []
+    for i, j in zip(*np.nonzero(np.triu(linked & (head[:, None] != head[None, :]), 1)), strict=True):
+        if head[i] != head[j]:
+            out.append((nodes[i], nodes[j]))
+            head[head == head[j]] = head[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _residual_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the members of each bucket of `rest` (bucket, member), by pairs of blocks of about BLOCK members."""
-    size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    placed = rest.join(size, "bucket").withColumn("block", block)
-    # A member goes to every pair of blocks that its own block is in, as (lower, higher).
-    meets = placed.select(
-        "bucket", "member", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))).alias("p")
-    ).select("bucket", "member", "p.low", "p.high")
-    bodies = meets.join(texts.selectExpr("node member", "body"), "member")
+    """Links among the members of each bucket of `rest` (bucket, member, component) that join different components.
+
+    The largest component of a bucket is its core, the other members are strays. Both are dealt into blocks of about
+    BLOCK members. Blocks of strays meet each other and those of the core; blocks of the core do not meet each other,
+    for their members are linked already. So a core member is sent as often as there are blocks of strays.
+    """
+    sizes = rest.groupBy("bucket", "component").count()
+    core = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("core"), F.sum("count").alias("n"))
+    blocks = core.select("bucket", F.col("core.component").alias("core"), F.ceil(F.col("core.count") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("core.count")) / BLOCK).cast("int").alias("q"))
+    placed = rest.join(blocks, "bucket").withColumn("in_core", F.col("component") == F.col("core"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("member"), F.when(F.col("in_core"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    p, q, own = F.col("p"), F.col("q"), F.col("own")
+
+    def meeting(low, high):
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    with_strays = F.transform(F.sequence(F.lit(0), q - 1), lambda o: meeting(o, q + own))
+    with_all = F.transform(F.sequence(F.lit(0), q + p - 1), lambda o: meeting(F.least(own, o), F.greatest(own, o)))
+    meets = placed.select("bucket", "member", "component", F.explode(F.when(F.col("in_core"), with_strays).otherwise(with_all)).alias("m"))
+    bodies = meets.select("bucket", "member", "component", "m.low", "m.high").join(texts.selectExpr("node member", "body"), "member")
     return bodies.groupBy("bucket", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, width, percent), "a long, b long").distinct()
 
 
@@ -183,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = written(placed, "placed")
     rest = placed.where("member <> pivot AND member <> other")
     apart = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = rest.join(apart, "bucket").select("bucket", "member")
+    rest = rest.join(apart, "bucket").select("bucket", "member", "component")
     more = _residual_links(rest, texts, width, percent)
 
     every = connected_components(links.union(more).union(same))
