@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import decontamination, language, media, near_dedup, secrets, sentencepiece_lattice, token_ids, web_archive
+from tenderspark.llm import decontamination, html_text, language, media, near_dedup, secrets, sentencepiece_lattice, token_ids, web_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_archive.read_archives(web_archive.write_archives(table(spark, sf_dir, "pages")), payloads=False)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
