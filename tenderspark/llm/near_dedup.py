@@ -206,3 +206,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     every = connected_components(links.union(more).union(same))
     out = rows.select("doc_id", "n_shingles").join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, doc_id) component_id", "coalesce(component, doc_id) <=> doc_id kept")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of `docs`, one document of each component: that of the smallest doc_id."""
+    copies = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
