@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,32 +34,37 @@ from tenderspark.llm.shared import file_system, new_path
 END_ID = 2
 #: Fixed by the vocabulary: how byte-level texts are cut before merging.
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000  # distinct parts remembered by a task at a time
+CACHE = 250_000  # distinct parts remembered by a task at a time
 BATCH_BYTES = 4 << 20
 SHARD_DOCS_SCHEMA = "shard string, pos int, doc_id long, n_tokens long, shard_start long"
 
 
 class PartEncoder:
-    """ids of whole texts, encoding each distinct part once."""
+    """Raw ids of whole texts, encoding each distinct part once and keeping its ids as bytes."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, kind: str = "<u4"):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.kind = Tokenizer.from_str(tokenizer_json), kind
         self.tokenizer.encode_special_tokens = True
         self.cut = regex.compile(PARTS).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.cut(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
-        known = self.known
-        fresh = list({p for ps in parts for p in ps if p not in known})
-        for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            known[p] = e.ids
-        return [[i for p in ps for i in known[p]] for ps in parts]
+        known, out = self.known, []
+        for text in texts:
+            parts = self.cut(text)
+            fresh = list({p for p in parts if p not in known})
+            for at in range(0, len(fresh), 1000):
+                some = fresh[at : at + 1000]
+                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                    known[p] = np.array(e.ids, self.kind).tobytes()
+            out.append(b"".join([known[p] for p in parts]))
+        return out
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -105,7 +111,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None
         fs, path = file_system(folder)
         fs.create_dir(f"{path}/shards", recursive=True)
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
-        encoder, at, pos = PartEncoder(vocabulary), 0, 0
+        encoder, at, pos = PartEncoder(vocabulary, kind), 0, 0
+        size, end = np.dtype(kind).itemsize, np.array([END_ID], kind).tobytes()
         keys: list[tuple[int, int, int]] = []
         last = None
         with fs.open_output_stream(f"{path}/shards/{name}.ids") as out:
@@ -115,13 +122,14 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None
                     rows = []
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                        ids.append(END_ID)
-                        out.write(np.array(ids, kind).tobytes())
-                        rows.append((pos, doc_id, len(ids), at))
+                        n = len(ids) // size + 1
+                        out.write(ids)
+                        out.write(end)
+                        rows.append((pos, doc_id, n, at))
                         if doc_id is not None and doc_id != last:
-                            keys.append((doc_id, at, len(ids)))
+                            keys.append((doc_id, at, n))
                             last = doc_id
-                        at, pos = at + len(ids), pos + 1
+                        at, pos = at + n, pos + 1
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(rows)), pa.array(c[0], pa.int32()), *(pa.array(x, pa.int64()) for x in c[1:])], ["shard", "pos", "doc_id", "n_tokens", "shard_start"]
