@@ -15,6 +15,7 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import os
@@ -51,14 +52,20 @@ class PartEncoder:
         self.tokenizer.encode_special_tokens = True
         self.cut = regex.compile(PARTS).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before; parts that are met again move on
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known = {}
-        known, out = self.known, []
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
         for text in texts:
             parts = self.cut(text)
-            fresh = list({p for p in parts if p not in known})
+            fresh = []
+            for p in {p for p in parts if p not in known}:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    fresh.append(p)
             for at in range(0, len(fresh), 1000):
                 some = fresh[at : at + 1000]
                 for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
@@ -67,6 +74,12 @@ class PartEncoder:
         return out
 
 
+@functools.cache
+def encoder_of(vocabulary: str, kind: str) -> PartEncoder:
+    """One encoder a process: tasks that reuse a Python worker find the parts of earlier tasks."""
+    return PartEncoder(vocabulary, kind)
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """The tokenizer file, read on the driver (a fixed vocabulary of about 1.6 MB); executors get its text."""
     if path is None:
@@ -111,7 +124,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None
         fs, path = file_system(folder)
         fs.create_dir(f"{path}/shards", recursive=True)
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
-        encoder, at, pos = PartEncoder(vocabulary, kind), 0, 0
+        encoder, at, pos = encoder_of(vocabulary, kind), 0, 0
         size, end = np.dtype(kind).itemsize, np.array([END_ID], kind).tobytes()
         keys: list[tuple[int, int, int]] = []
         last = None
