@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tenderspark.plans import matrix
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for family in (matrix,):
+    QUERIES |= family.R.queries
+    ORACLES |= family.R.oracles
