@@ -91,7 +91,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 bt AS (SELECT item_id, len(w) AS item_words, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM b WHERE len(w) >= 13),
 dt AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 m AS (SELECT doc_id, item_id, item_words, i - j AS shift, j FROM dt JOIN bt USING (word)),
