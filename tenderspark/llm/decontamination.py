@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderspark.functions.columns import let
+
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 6, 7))
 SPAN, WEIGHT = 8, 6
 WINDOW, LEAST = 13, 11
@@ -44,8 +46,7 @@ def _seeds(hashes: Column) -> Column:
 
 def _hashed(df: DataFrame, key: str) -> DataFrame:
     """key, seeds: the words are hashed once, the seeds combine those hashes."""
-    hashed = df.select(key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.select(key, _seeds(F.col("hashes")).alias("seeds"))
+    return df.select(key, let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), _seeds).alias("seeds"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, max_broadcast_seeds: int = MAX_BROADCAST_SEEDS) -> DataFrame:
@@ -67,13 +68,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_broadcast_seeds: int = MAX_
     items = items.where("item_id IS NOT NULL").where(F.size(words(F.col("text"))) >= WINDOW).distinct()
     hits = find_hits(docs, items, max_broadcast_seeds)
     # The words of the documents that were hit, once each, meet the hits again by doc_id.
-    laid = hits.join(docs, "doc_id").join(items.select("item_id", words(F.col("text")).alias("item")), "item_id")
-    laid = laid.select("doc_id", "item_id", "shift", "item", words(F.col("text")).alias("doc"))
-    same = F.transform("item", lambda w, i: F.when(i + F.col("shift") >= 0, F.coalesce(F.get(F.col("doc"), i + F.col("shift")) == w, F.lit(False))).otherwise(False))
-    laid = laid.select("doc_id", "item_id", "shift", F.size("item").alias("item_words"), same.alias("same"))
-    starts = F.sequence(F.lit(1), F.col("item_words") - (WINDOW - 1))
-    best = F.array_max(F.transform(starts, lambda s: F.size(F.filter(F.slice("same", s, WINDOW), lambda x: x))))
-    scored = laid.select("doc_id", "item_id", "item_words", "shift", best.alias("best_window"), F.size(F.filter("same", lambda x: x)).alias("equal_words"))
+    laid = hits.join(docs, "doc_id").join(items.select("item_id", F.split("text", " ").alias("item")), "item_id")
+
+    def compared(doc: Column) -> Column:
+        place = lambda i: i + F.col("shift")
+        return F.transform("item", lambda w, i: F.when(place(i) >= 0, F.coalesce(F.get(doc, place(i)) == w, F.lit(False))).otherwise(False))
+
+    def judged(same: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(same) - (WINDOW - 1))
+        best = F.array_max(F.transform(starts, lambda s: F.size(F.filter(F.slice(same, s, WINDOW), lambda x: x))))
+        return F.struct(best.alias("best_window"), F.size(F.filter(same, lambda x: x)).alias("equal_words"), F.size(same).alias("item_words"))
+
+    scored = laid.select("doc_id", "item_id", "shift", let(words(F.col("text")), lambda doc: let(compared(doc), judged)).alias("j")).select("doc_id", "item_id", "shift", "j.*")
     top = F.max(F.struct("best_window", "equal_words", (-F.col("shift")).alias("back"), "item_words")).alias("top")
     return (
         scored.where(F.col("best_window") >= LEAST)

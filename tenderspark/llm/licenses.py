@@ -21,6 +21,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderspark.functions.columns import let
 from tenderspark.llm.decontamination import words
 
 WIDTH, STRIDE = 5, 4
@@ -73,11 +74,10 @@ def _constants() -> list[int]:
 
 def _shingles(tokens: Column) -> Column:
     """array<long>: hashes of WIDTH neighbouring words."""
-    hashed = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.transform(
-        F.array(hashed),
-        lambda h: F.when(F.size(h) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WIDTH))))),
-    )[0]
+    def rolled(h: Column) -> Column:
+        return F.when(F.size(h) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WIDTH)))))
+
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), rolled)
 
 
 def _minima(shingles: Column, begin: Column, count: int) -> Column:
@@ -98,8 +98,11 @@ def find_candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
     bands = bands.select("license", "at", F.explode("v").alias("value")).where("value IS NOT NULL").distinct()
     if bands.count() <= MAX_TEMPLATE_BANDS:
         bands = F.broadcast(bands)
-    base = docs.select("doc_id", _shingles(words(F.col("text"))).alias("s"))
-    windows = base.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(STRIDE)), lambda i: _minima(F.col("s"), i, STRIDE))).alias("w", "v"))
+
+    def all_windows(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(STRIDE)), lambda i: _minima(s, i, STRIDE))
+
+    windows = docs.select("doc_id", F.posexplode(let(_shingles(words(F.col("text"))), all_windows)).alias("w", "v"))
     values = windows.select("doc_id", "w", F.explode("v").alias("value"))
     met = values.join(bands, "value")
     return met.select("doc_id", "license", (F.col("w") * STRIDE - F.col("at")).alias("near")).distinct()
@@ -118,10 +121,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     wanted = table.select("license", words(F.col("text")).alias("t")).select("license", F.size("t").alias("n"), F.array_distinct(joined(F.col("t"))).alias("wanted"))
     laid = met.join(docs, "doc_id").join(F.broadcast(wanted), "license").withColumn("begin", F.greatest(F.col("near") - STRIDE, F.lit(0)))
-    region = laid.select("doc_id", "license", "begin", "wanted", F.slice(words(F.col("text")), F.col("begin") + 1, F.col("near") + F.col("n") + STRIDE - F.col("begin")).alias("r"))
-    region = region.where(F.size("r") >= WIDTH).select("doc_id", "license", "begin", "wanted", joined(F.col("r")).alias("found"))
-    share = F.size(F.array_intersect("wanted", "found")) / F.size("wanted")
-    first = F.array_position(F.transform("found", lambda x: F.array_contains("wanted", x)), True) - 1
-    scored = region.select("doc_id", "license", share.alias("share"), (F.col("begin") + first).alias("first")).where(F.col("share") >= CONTAINED)
+
+    def judged(r: Column) -> Column:
+        share = lambda found: F.size(F.array_intersect("wanted", found)) / F.size("wanted")
+        first = lambda found: F.array_position(F.transform(found, lambda x: F.array_contains("wanted", x)), True) - 1
+        return F.when(F.size(r) >= WIDTH, let(joined(r), lambda found: F.struct(share(found).alias("share"), (F.col("begin") + first(found)).alias("first"))))
+
+    region = lambda tokens: F.slice(tokens, F.col("begin") + 1, F.col("near") + F.col("n") + STRIDE - F.col("begin"))
+    scored = laid.select("doc_id", "license", let(region(words(F.col("text"))), judged).alias("j")).select("doc_id", "license", "j.*").where(F.col("share") >= CONTAINED)
     best = scored.groupBy("doc_id", "license").agg(F.max(F.struct("share", (-F.col("first")).alias("back"))).alias("top"))
     return best.selectExpr("doc_id", "license", "-top.back first_word", "top.share containment")
