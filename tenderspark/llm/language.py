@@ -37,9 +37,13 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 @dataclass(frozen=True)
 class Model:
+    """Rows of the tables are log frequencies in each language, less their mean over the languages."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]  # log frequency in each language, less the mean over languages
-    ngrams: list[dict[str, np.ndarray]]  # by order - 1
+    words: list[str]
+    word_scores: np.ndarray  # float32[words, langs]
+    ngrams: list[str]  # of all orders
+    ngram_scores: np.ndarray
 
 
 def held_out(doc_id):
@@ -88,53 +92,77 @@ def train(docs: DataFrame, max_training_docs: int = MAX_TRAINING_DOCS, max_words
         grams.unpersist()
     langs = sorted({lang for rows in kept for r in rows for lang in r.n})
 
-    def logs(rows) -> dict[str, np.ndarray]:
-        if not rows:
-            return {}
-        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], float) + SMOOTH
+    def logs(rows) -> np.ndarray:
+        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], float).reshape(len(rows), len(langs)) + SMOOTH
         x = np.log(n / n.sum(axis=0))
-        return dict(zip([r.gram for r in rows], (x - x.mean(axis=1, keepdims=True)), strict=True))
+        return (x - x.mean(axis=1, keepdims=True)).astype(np.float32) if langs else n
 
-    tables = [logs(rows) for rows in kept]
-    return Model(langs, tables[0], tables[1:])
+    words, *ngrams = kept
+    return Model(langs, [r.gram for r in words], logs(words), [r.gram for rows in ngrams for r in rows], np.concatenate([logs(rows) for rows in ngrams]))
 
 
 class Scorer:
+    """Scores texts; words met for the first time get a row of their own, so each is backed off once."""
+
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one word, kept for the next time."""
-        found = self.model.words.get(word)
-        if found is None:
-            found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            found = self.known[word] = self._backoff(word)
-        return found
-
-    def _backoff(self, word: str) -> np.ndarray:
-        total, edged, at, steps = np.zeros(len(self.model.langs)), f" {word} ", 0, 0
-        while at < len(edged):
-            for order in range(min(MAX_ORDER, len(edged) - at), 0, -1):
-                gram = self.model.ngrams[order - 1].get(edged[at : at + order])
-                if gram is not None:
-                    total += gram
-                    break
-            at, steps = at + 1, steps + 1
-        return total / steps * 2  # about what one known word says
+        self.model = model
+        self.grams = {g: i for i, g in enumerate(model.ngrams)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = {w: i for i, w in enumerate(self.model.words)}
+        self.scores = self.model.word_scores
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows of unseen words: at each place the longest known n-gram that begins there, averaged over the places."""
+        grams, flat, sizes, places = self.grams, [], [], []
+        for word in words:
+            edged, before = f" {word} ", len(flat)
+            for at in range(len(edged)):
+                for stop in range(at + MAX_ORDER, at, -1):
+                    row = grams.get(edged[at:stop])
+                    if row is not None:
+                        flat.append(row)
+                        break
+            sizes.append(len(flat) - before)
+            places.append(len(edged))
+        rows = np.zeros((len(words), len(self.model.langs)), np.float32)
+        if flat:
+            n = np.array(sizes)
+            full = np.flatnonzero(n)
+            starts = (np.cumsum(n) - n)[full]
+            rows[full] = np.add.reduceat(self.model.ngram_scores[flat], starts, axis=0)
+        rows *= (2 / np.array(places, np.float32))[:, None]  # about what one known word says
+        self.index.update(zip(words, range(len(self.scores), len(self.scores) + len(words)), strict=True))
+        self.scores = np.concatenate([self.scores, rows])
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counts = [Counter(_words((t or "").lower())) for t in texts]
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self.index) > len(self.model.words) + CACHE:
+            self._forget()
+        index = self.index
+        if fresh := list({w for c in counts for w in c if w not in index}):
+            self._learn(fresh)
+        out = []
+        for c in counts:
+            if not c:
+                out.append((UNKNOWN, 0.0))
+                continue
+            n = np.fromiter(c.values(), np.float64, len(c))
+            total = n @ self.scores[np.fromiter(map(index.__getitem__, c), np.int64, len(c))]
+            p = np.exp((total - total.max()) / np.sqrt(n.sum()))
+            out.append((self.model.langs[int(total.argmax())], float(p.max() / p.sum())))
+        return out
 
     def text(self, text: str | None) -> tuple[str, float]:
-        words = _words((text or "").lower())
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        counts = Counter(words)
-        total = np.zeros(len(self.model.langs))
-        for word, n in counts.items():
-            total += self.word(word) * n
-        p = np.exp((total - total.max()) / np.sqrt(len(words)))
-        return self.model.langs[int(total.argmax())], float(p.max() / p.sum())
+        return self.texts([text])[0]
+
+
+def _pieces(values: list, size: int = 500) -> Iterator[list]:
+    for at in range(0, len(values), size):
+        yield values[at : at + size]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -144,7 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            rows = [scorer.text(t) for t in batch.column(1).to_pylist()]
+            rows = [r for some in _pieces(batch.column(1).to_pylist()) for r in scorer.texts(some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -157,7 +185,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            keep = [scorer.text(t)[0] != UNKNOWN for t in batch.column(columns.index("text")).to_pylist()]
+            keep = [r[0] != UNKNOWN for some in _pieces(batch.column(columns.index("text")).to_pylist()) for r in scorer.texts(some)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -50,6 +50,6 @@ def test_odd_rows(spark):
 def test_backoff_uses_the_longest_known_ngram():
     import numpy as np
 
-    model = language.Model(["a", "b"], {"cat": np.array([1.0, -1.0])}, [{"x": np.array([-1.0, 1.0])}, {"xy": np.array([3.0, -3.0])}, {}, {}])
+    model = language.Model(["a", "b"], ["cat"], np.array([[1.0, -1.0]], np.float32), ["x", "xy"], np.array([[-1.0, 1.0], [3.0, -3.0]], np.float32))
     scorer = language.Scorer(model)
     assert scorer.text("cat")[0] == "a" and scorer.text("xy")[0] == "a" and scorer.text("xz")[0] == "b"
