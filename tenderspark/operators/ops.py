@@ -64,12 +64,12 @@ def anchored_windows(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     A pause of `seconds` always begins a new window, so a key's events are cut there and the pieces dealt to tasks
     independently; within a piece the walk keeps only the open window, however many events it reads.
     """
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     w = W.partitionBy("key").orderBy("ts", "event_id")
     pause = F.coalesce(micros - F.lag(micros).over(w) >= seconds * 1_000_000, F.lit(True))
     reset = F.coalesce("reset", F.lit(False)) if "reset" in events.columns else F.lit(False)
     pieces = events.select("key", "ts", "event_id", reset.alias("reset"), pause.alias("pause"))
-    pieces = pieces.withColumn("piece", F.sum(F.col("pause").cast("long")).over(w)).withColumn("at", F.unix_micros("ts")).drop("pause", "ts")
+    pieces = pieces.withColumn("piece", F.sum(F.col("pause").cast("long")).over(w)).withColumn("at", micros).drop("pause", "ts")
     kind = dict(events.dtypes)["key"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +91,7 @@ def anchored_windows(events: DataFrame, seconds: int, limit: int) -> DataFrame:
 
     ordered = pieces.repartition("key", "piece").sortWithinPartitions("key", "piece", "at", "event_id")
     windows = ordered.select("key", "piece", "at", "reset").mapInPandas(walk, f"key {kind}, start long, n long")
-    return windows.select("key", F.timestamp_micros("start").alias("window_start"), "n", (F.col("n") > limit).alias("over_limit"))
+    return windows.select("key", F.timestamp_micros("start").cast(events.schema["ts"].dataType).alias("window_start"), "n", (F.col("n") > limit).alias("over_limit"))
 
 
 def suppressed_warnings(events: DataFrame, seconds: int = 60) -> DataFrame:

@@ -52,7 +52,7 @@ def in_both_pools(queries: DataFrame) -> DataFrame:
 
 def _top(query: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best k chunks of one block for each query."""
-    out = []
+    out: list[tuple] = []
     if len(query) and len(chunk):
         x, y = (np.stack(d["embedding"].to_numpy()).astype(np.float64) for d in (query, chunk))
         sizes = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
@@ -67,8 +67,9 @@ def _top(query: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.DataFrame:
                     ok &= tags[t] == want
             at = np.flatnonzero(ok)
             at = at[np.lexsort((ids[at], -scores[i][at]))[:k]]
-            out.append(pd.DataFrame({"query_id": q.query_id, "origin": q.origin, "chunk_id": ids[at], "score": scores[i][at]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "origin": [], "chunk_id": [], "score": []})
+            out += [(q.query_id, q.origin, c, s) for c, s in zip(ids[at].tolist(), scores[i][at].tolist(), strict=True)]
+    columns = list(zip(*out, strict=True)) if out else [()] * 4
+    return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(("query_id", "origin", "chunk_id", "score"), columns, strict=True)})
 
 
 def _blocked_top(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -80,6 +81,7 @@ def _blocked_top(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int)
     asked = queries.where("embedding IS NOT NULL").join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     ids = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(chunks.dtypes)["chunk_id"]}
     on = [*keys, "block"]
+    asked, dealt = (d.select(*(F.col(c).alias(c) for c in d.columns)) for d in (asked, dealt))  # both may come from one table
     met = asked.groupBy(*on).cogroup(dealt.groupBy(*on)).applyInPandas(lambda q, c: _top(q, c, k), f"query_id {ids['query_id']}, origin string, chunk_id {ids['chunk_id']}, score double")
     return ranked(met, ["query_id", "origin"], [F.desc("score"), F.asc("chunk_id")], k)
 

@@ -118,7 +118,7 @@ def idempotent_requests(log: DataFrame) -> DataFrame:
 def single_use_tickets(issued: DataFrame, redeemed: DataFrame, ttl: int = TICKET_SECONDS) -> DataFrame:
     """D-12: outcome of each redemption. The first within the time to live consumes the ticket, even for the wrong proposal."""
     x = redeemed.join(issued.select("ticket", F.col("proposal_id").alias("_for"), F.col("ts").alias("_at")), "ticket", "left")
-    alive = F.coalesce((F.col("ts") >= F.col("_at")) & (F.unix_micros("ts") - F.unix_micros("_at") < ttl * 1_000_000), F.lit(False))
+    alive = F.coalesce((F.col("ts") >= F.col("_at")) & (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp")) < ttl * 1_000_000), F.lit(False))
     first = F.row_number().over(W.partitionBy("ticket", alive).orderBy("ts", "redemption_id")) == 1
     outcome = F.when(~alive, "unknown_or_expired").when(~F.col("_first"), "already_used").when(F.col("_for").eqNullSafe(F.col("proposal_id")), "ok").otherwise("wrong_proposal")
     return x.withColumn("_first", first).withColumn("outcome", outcome).drop("_for", "_at", "_first")

@@ -98,7 +98,7 @@ def extract_summaries(chunks: DataFrame, fn: Callable[[list[str]], list[dict]],
 def build_library(docs: DataFrame, fn: Callable[[list[str]], list], dim: int) -> DataFrame:
     """I-04: tenant, proposal_id, source_name, tags and text -> embedded chunks."""
     rows = chunking.chunk_rows(docs, chunking.history_chunks(F.col("text"))).withColumnRenamed("chunk", "content")
-    key = F.sha2(F.concat_ws("\x1f", "tenant", F.coalesce("proposal_id", F.lit("")), "source_name", F.col("chunk_idx").cast("string"), "content"), 256)
+    key = F.sha2(F.concat_ws("\x1f", "tenant", F.coalesce(F.col("proposal_id").cast("string"), F.lit("")), "source_name", F.col("chunk_idx").cast("string"), "content"), 256)
     return written(embed_chunks(rows.withColumn("chunk_id", key), fn, dim), "library")
 
 

@@ -33,7 +33,7 @@ VIEWS = {
         FROM lineitem""",
     "calls": """
         SELECT event_id, ts, CASE event_type WHEN 'click' THEN 'gemini-2.5-flash' WHEN 'view' THEN 'gemini-2.0-flash' WHEN 'error' THEN 'text-embedding-004' ELSE 'other-model' END AS model,
-               CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 1000 AS tokens_in, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 10 AS tokens_out, value AS latency_ms, event_type <> 'error' AS ok, user_id
+               CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 1000 + 1 AS tokens_in, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 10 AS tokens_out, value AS latency_ms, event_type <> 'error' AS ok, user_id
         FROM events""",
     "trajectories": """
         SELECT conv_id AS run_id, conv_id % 40 AS proposal_id, CAST(turn AS INT) AS outline_index, CASE WHEN turn % 3 = 0 THEN 'saved' WHEN turn % 3 = 1 THEN 'guardrail_rejected' ELSE 'draft_failed' END AS final_status,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tenderspark.plans import matrix
+from tenderspark.plans import matrix, operations, search, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for family in (matrix,):
+for family in (matrix, texts, search, operations):
     QUERIES |= family.R.queries
     ORACLES |= family.R.oracles

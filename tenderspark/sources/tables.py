@@ -36,7 +36,8 @@ def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """S-02: name, size, content; a narrow projection reads no content."""
+    """S-02: name, size, content; a narrow projection reads no content. Spark's source skips files of no bytes, so empty
+    uploads must come from a manifest of names and sizes to be reported by upload_problem."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 

@@ -30,14 +30,12 @@ def stream_llm_usage(calls: DataFrame) -> DataFrame:
 
 def stream_llm_usage_windows(calls: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """T-01 by event time: counters a model and tumbling window, final once the watermark has passed (append mode)."""
-    return stream_llm_usage_by(calls.withWatermark("ts", late), F.window("ts", width).alias("window"))
-
-
-def stream_llm_usage_by(calls: DataFrame, window) -> DataFrame:
-    return calls.groupBy(window, "model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", width).alias("window"), "model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
 
 def _stateful(df: DataFrame, keys: list[str], fn: Callable, out: str, state: str, mode: str = "append") -> DataFrame:
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     return df.groupBy(*keys).applyInPandasWithState(fn, out, state, mode, GroupStateTimeout.ProcessingTimeTimeout)
 
 
