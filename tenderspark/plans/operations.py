@@ -46,8 +46,8 @@ R.add("d11_idempotent_requests", ["requests"], revisions.idempotent_requests,
 R.add("d12_single_use_tickets", ["events"],
     lambda e: revisions.single_use_tickets(e.where("event_type = 'view'").selectExpr("event_id % 1000 ticket", "user_id % 3 proposal_id", "ts").groupBy("ticket").agg(F.min("ts").alias("ts"), F.min("proposal_id").alias("proposal_id")),
         e.where("event_type <> 'view'").selectExpr("event_id redemption_id", "event_id % 1000 ticket", "user_id % 3 proposal_id", "ts"), 40_000_000),
-    """WITH i AS (SELECT event_id % 1000 AS ticket, min(ts) AS at, min(user_id % 3) AS fr FROM events WHERE event_type = 'view' GROUP BY 1), r AS (SELECT event_id AS redemption_id, event_id % 1000 AS ticket, user_id % 3 AS proposal_id, ts FROM events WHERE event_type <> 'view'),
-        x AS (SELECT r.*, fr, coalesce(ts >= at AND ts < at + INTERVAL 40000000 SECOND, false) AS alive FROM r LEFT JOIN i USING (ticket)), y AS (SELECT *, row_number() OVER (PARTITION BY ticket, alive ORDER BY ts, redemption_id) AS n FROM x)
+    """WITH i AS (SELECT event_id % 1000 AS ticket, min(ts) AS issued, min(user_id % 3) AS fr FROM events WHERE event_type = 'view' GROUP BY 1), r AS (SELECT event_id AS redemption_id, event_id % 1000 AS ticket, user_id % 3 AS proposal_id, ts FROM events WHERE event_type <> 'view'),
+        x AS (SELECT r.*, fr, coalesce(ts >= issued AND ts < issued + INTERVAL 40000000 SECOND, false) AS alive FROM r LEFT JOIN i USING (ticket)), y AS (SELECT *, row_number() OVER (PARTITION BY ticket, alive ORDER BY ts, redemption_id) AS n FROM x)
         SELECT redemption_id, ticket, proposal_id, ts, CASE WHEN NOT alive THEN 'unknown_or_expired' WHEN n > 1 THEN 'already_used' WHEN fr = proposal_id THEN 'ok' ELSE 'wrong_proposal' END AS outcome FROM y""")
 R.add("j09_session_origin", ["tokens"], backfill.session_origin,
     """WITH RECURSIVE up AS (SELECT token_id, token_id AS at, created_at AS origin FROM tokens UNION ALL SELECT up.token_id, t.token_id, least(up.origin, t.created_at) FROM up JOIN tokens t ON t.replaced_by = up.at)
