@@ -212,3 +212,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     """All columns of `docs`, one document of each component: that of the smallest doc_id."""
     copies = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+
+
+#: 2-word shingles, similarity 0.8: all pairs with a common shingle, then everything reachable.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
