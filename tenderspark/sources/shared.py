@@ -1,20 +1,28 @@
-"""Tables written between rounds of an iterative job, in the folder that driver and executors share."""
+"""Tables and files between the stages of a job, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`; only where a session has none (local tests) a folder of our own, kept for the session."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tenderspark.local.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("tenderspark.local.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below spark.checkpoint.dir and read it back, so lost executors cost no recomputation of its past."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tenderspark.local.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tenderspark.local.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write `df` to the shared folder and read it back, so lost executors cost no recomputation."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
