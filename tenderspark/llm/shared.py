@@ -1,45 +1,14 @@
-"""Where jobs keep intermediate tables and shard files, and the small helpers several operators use."""
+"""Shared folders, as files of the executors' Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from tenderspark.sources.shared import new_path, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Only where that setting is absent (a local session in tests) a folder of our own is used; it is remembered
-    for the session through SparkContext.setCheckpointDir.
-    """
-    found = spark.conf.get(CHECKPOINT_CONF, None)
-    if found:
-        return found.rstrip("/")
-    own = spark.conf.get("tenderspark.local.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tenderspark.local.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["file_system", "new_path", "shared_dir", "written"]
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path) of a folder both driver and executors reach."""
+    """(pyarrow file system, path) of a folder that driver and executors reach."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
