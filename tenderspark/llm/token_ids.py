@@ -35,7 +35,7 @@ from tenderspark.llm.shared import file_system, new_path
 END_ID = 2
 #: Fixed by the vocabulary: how byte-level texts are cut before merging.
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 250_000  # distinct parts remembered by a task at a time
+CACHE = 400_000  # distinct parts remembered by a task at a time
 BATCH_BYTES = 4 << 20
 SHARD_DOCS_SCHEMA = "shard string, pos int, doc_id long, n_tokens long, shard_start long"
 
@@ -66,13 +66,31 @@ class PartEncoder:
                     known[p] = older[p]
                 else:
                     fresh.append(p)
-            for at in range(0, len(fresh), 1000):
-                some = fresh[at : at + 1000]
-                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, self.kind).tobytes()
+            if fresh:
+                self._learn(fresh)
             out.append(b"".join([known[p] for p in parts]))
         return out
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode parts. Those of a space and letters are encoded in one string, which the library cuts before each
+        space just as it did in the text; its word numbers tell the parts apart."""
+        plain = [p for p in fresh if p[0] == " " and p[1:].isalpha()]
+        rest = fresh if len(plain) < 8 else [p for p in fresh if not (p[0] == " " and p[1:].isalpha())]
+        for at in range(0, len(plain) if len(plain) >= 8 else 0, 1000):
+            some = plain[at : at + 1000]
+            whole = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(whole.word_ids))) + 1
+            if len(cuts) + 1 == len(some):
+                data, size = np.array(whole.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+                ends = [*(cuts * size).tolist(), len(data)]
+                self.known.update((p, data[a:b]) for p, a, b in zip(some, [0, *ends], ends, strict=False))
+            else:
+                rest = rest + some
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
+            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, self.kind).tobytes()
+
 
 @functools.cache
 def encoder_of(vocabulary: str, kind: str) -> PartEncoder:

@@ -1,3 +1,5 @@
+import functools
+import random
 import zlib
 
 import numpy as np
@@ -10,9 +12,15 @@ from tenderspark.llm.perfect_hash import PerfectHash, fingerprints
 TEXTS = [None, "", "It's  a test,\n\n isn't it?  ", "É 12 ½ 漢字   x\t\ty", "a" * 5000, " ".join(f"word{k}" for k in range(9000)), "<|endoftext|>", "'S 's 've  've", "a  b 　 c", "It's  a test,\n\n isn't it?  "]
 
 
-def whole(text):
+@functools.cache
+def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
+    return t
+
+
+def whole(text):
+    t = tokenizer()
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -21,6 +29,14 @@ def test_parts_give_the_ids_of_whole_texts():
     assert [[*np.frombuffer(ids, "<u4").tolist(), 2] for ids in encoder.encode([t or "" for t in TEXTS])] == [whole(t) for t in TEXTS]
 
 
+def test_random_texts():
+    r = random.Random(1)
+    bits = [" the", " er", "on", " é", "ß", " ", "  ", "\n", "\t", "0", " 12", "_", "-", "漢", " A", "'s", "'ll", ".", "\x1c", "½", "\u0301", "\xa0", " word", "ing"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 200))) for _ in range(200)]
+    encoder = token_ids.PartEncoder(token_ids.tokenizer_json())
+    assert [[*np.frombuffer(ids, "<u4").tolist(), 2] for ids in encoder.encode(texts)] == [whole(t) for t in texts]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 7, 1000, 30_000):
