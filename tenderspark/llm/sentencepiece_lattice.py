@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words that no piece crosses. Distinct words are exploded into their substrings of bounded length,
+A text is cut into words that no piece crosses. The distinct words of an input block are exploded into their substrings of bounded length,
 the substrings meet the piece table in an equi-join, the edges are grouped by word, and a fold with Spark's
 higher-order `aggregate` turns the lattice of a word into its pieces: the best path (Viterbi) for unigram models, the
 model's own score-ordered merges for merge-type models, over the same edges. Characters without a piece become byte
 pieces. Words longer than MAX_WORD characters, whose lattices would grow without bound, take the same merges or the
 same path in a linked list inside the task that meets them.
 
-No text is shuffled. What is shuffled is the set of distinct words of each input block (a file split); the encoded words
-come back as one small dictionary file a block, which is read by the tasks that scan that block again.
+No text is shuffled. What is shuffled, once, is the set of distinct words of each input block (a file split); the encoded
+words come back as one small dictionary a block, which is read by the tasks that scan that block again.
 
 Defined results: a null or empty text has no ids; repeated rows give equal rows; U+2581 reads as a space; other columns
 are ignored; an empty table gives an empty table.
@@ -17,11 +17,14 @@ are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
@@ -32,6 +35,7 @@ from tenderspark.llm.shared import file_system, new_path, written
 
 SPACE = "▁"
 MAX_WORD = 32
+SLOTS = 8
 _words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
 _KEY = 64  # an edge's key is begin * _KEY + end
 
@@ -131,18 +135,23 @@ UNKNOWN = -1e6
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, edges map<begin * _KEY + end, score>). The substrings meet the piece table in a broadcast join: the
-    table has the vocabulary's size, which load_pieces fixes. `words` is partitioned by word already, so grouping the
-    edges needs no further exchange."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, float(s)) for p, s in pieces.scores.items()], "piece string, score double")
+    """The columns of `words` and edges map<begin * _KEY + end, score>, one row a row of `words` (which are distinct).
+
+    The substrings meet the piece table in a broadcast join: the table has the vocabulary's size, which load_pieces
+    fixes. A word also sends the empty string, which meets a row of its own, so that words without edges stay. Where
+    `words` is partitioned by some of its columns already, grouping the edges needs no further exchange.
+    """
+    rows = [(p, float(s)) for p, s in pieces.scores.items()]
+    table = words.sparkSession.createDataFrame([*rows, ("", 0.0)], "piece string, score double")
     least = 2 if pieces.merges else 1  # merges need pairs only
-    begins = F.sequence(F.lit(0), F.length("word") - least)
-    sizes = F.sequence(F.lit(least), F.least(F.lit(pieces.longest), F.length("word") - F.col("b")))
-    grid = words.where(F.length("word") >= least).select("word", F.explode(begins).alias("b")).select("word", "b", F.explode(sizes).alias("k"))
-    subs = grid.select("word", (F.col("b") * _KEY + F.col("b") + F.col("k")).alias("key"), F.expr("substring(word, b + 1, k)").alias("piece"))
+    n, b = F.length("word"), F.col("b")
+    begins = F.concat(F.array(F.lit(-1)), F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>")))
+    sizes = F.when(b < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(least), F.least(F.lit(pieces.longest), n - b)))
+    keys = words.columns
+    grid = words.select(*keys, F.explode(begins).alias("b")).select(*keys, "b", F.explode(sizes).alias("k"))
+    subs = grid.select(*keys, (b * _KEY + b + F.col("k")).alias("key"), F.when(b < 0, "").otherwise(F.expr("substring(word, b + 1, k)")).alias("piece"))
     met = subs.join(F.broadcast(table), "piece")
-    return met.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("key", "score"))).alias("edges"))
+    return met.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("key") >= 0, F.struct("key", "score")))).alias("edges"))
 
 
 def _merged(edges, n):
@@ -189,12 +198,10 @@ def _viterbi(edges, n, longest: int):
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word (distinct, at most MAX_WORD characters) -> word, bounds: where its pieces begin and end."""
-    none = F.create_map().cast("map<int,double>")
-    joined = words.join(_edges(words, pieces), "word", "left")
-    edges, n = F.coalesce("edges", none), F.length("word")
+    """Columns with `word` (distinct rows, at most MAX_WORD characters) -> the same and bounds: where pieces begin and end."""
+    edges, n = F.col("edges"), F.length("word")
     bounds = _merged(edges, n) if pieces.merges else _viterbi(edges, n, pieces.longest)
-    return joined.select("word", bounds.alias("bounds"))
+    return _edges(words, pieces).select(*words.columns, bounds.alias("bounds"))
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -208,7 +215,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def _block_words(docs: DataFrame, prefix: bool) -> DataFrame:
-    """(_block, word): distinct words of each block, up to MAX_WORD characters."""
+    """(_block, word): words of each block, up to MAX_WORD characters, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,18 +226,21 @@ def _block_words(docs: DataFrame, prefix: bool) -> DataFrame:
                 words = [w for w in words if len(w) <= MAX_WORD]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], ["_block", "word"])
 
-    return docs.select("_block", "text").mapInArrow(run, "_block long, word string").distinct()
+    return docs.select("_block", "text").mapInArrow(run, "_block long, word string")
 
 
 def dictionaries(docs: DataFrame, pieces: Pieces, folder: str) -> str:
-    """Write one dictionary (word, bounds) a block; the folder they are in."""
-    spark = docs.sparkSession
-    pairs = written(_block_words(docs, pieces.prefix), "words")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = encode_words(pairs.select("word").distinct(), pieces)
-    compact = encoded.select("word", F.transform("bounds", lambda b: b.cast("tinyint")).alias("bounds"))
-    sent = pairs.join(compact, "word").repartition(n, "_block")
-    sent.write.partitionBy("_block").parquet(f"{folder}/dictionaries")
+    """Write one dictionary a block, in up to SLOTS files of words cut by spaces; the folder they are in.
+
+    The only exchange deals the words of a block over SLOTS tasks. Words are not compared between blocks: that would
+    take two more exchanges, to save the third of the words that blocks share.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")
+    dealt = _block_words(docs, pieces.prefix).select("_block", slot, "word").repartition(n, "_block", "slot").distinct()
+    ends = F.slice("bounds", 2, F.size("bounds") - 1)
+    cuts = F.array_join(F.transform(ends, lambda e, i: F.substring(F.col("word"), F.get("bounds", i) + 1, e - F.get("bounds", i))), " ")
+    encode_words(dealt, pieces).select("_block", cuts.alias("cuts")).write.partitionBy("_block").parquet(f"{folder}/dictionaries")
     return f"{folder}/dictionaries"
 
 
@@ -243,43 +253,40 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        block, known = None, {}
+        block, cuts, known = None, {}, {}
         for batch in batches:
             out = []
             for here, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if here != block:
-                    block, known = here, _load(f"{folder}/_block={here}")
-                ids: list[int] = []
-                for word in cut(text, own.prefix):
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = _long_word(word, own)
-                    elif type(found) is tuple:
-                        found = known[word] = piece_ids([word[b:e] for b, e in zip(found, found[1:], strict=False)], own)
-                    ids += found
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    block, cuts, known = here, _load(f"{folder}/_block={here}"), {}
+                words = cut(text, own.prefix)
+                for word in {w for w in words if w not in known}:
+                    parts = cuts[word].split(" ") if len(word) <= MAX_WORD else _long_word(word, own)
+                    known[word] = np.array(piece_ids(parts, own), "<i4").tobytes()
+                out.append(b"".join([known[w] for w in words]))
+            offsets = np.cumsum([0, *map(len, out)]) // 4
+            values = np.frombuffer(b"".join(out), "<i4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
     return base.select("doc_id", "text", "_block").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _load(folder: str) -> dict[str, tuple]:
+def _load(folder: str) -> dict[str, str]:
+    """word -> the word with spaces between its pieces (a word holds none itself)."""
     from pyarrow import fs
 
     files, path = file_system(folder)
-    out: dict[str, tuple] = {}
+    out: dict[str, str] = {}
     for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with files.open_input_file(info.path) as f:
-                table = pq.read_table(f)
-            out.update(zip(table.column("word").to_pylist(), map(tuple, table.column("bounds").to_pylist()), strict=True))
+                cuts = pq.read_table(f, columns=["cuts"]).column("cuts").to_pylist()
+            out.update((c.replace(" ", ""), c) for c in cuts)
     return out
 
 
-def _long_word(word: str, pieces: Pieces) -> list[int]:
-    if len(word) <= MAX_WORD:
-        raise KeyError(f"a word of this block is missing in its dictionary: {word!r}")
-    return piece_ids(merge_word(word, pieces.scores) if pieces.merges else best_path(word, pieces.scores, pieces.longest), pieces)
+def _long_word(word: str, pieces: Pieces) -> list[str]:
+    return merge_word(word, pieces.scores) if pieces.merges else best_path(word, pieces.scores, pieces.longest)
 
 
 def piece_ids(parts: list[str], pieces: Pieces) -> list[int]:
@@ -296,7 +303,8 @@ def piece_ids(parts: list[str], pieces: Pieces) -> list[int]:
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
-    text = b"".join([pieces.text_of.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+    known = pieces.text_of
+    text = b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if pieces.prefix and text.startswith(" ") else text
 
 
@@ -314,19 +322,16 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 def summary(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id, ids -> doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), text_sha256 (of the decoded text)."""
-    import hashlib
-    import zlib
-
-    import numpy as np
-
     shared = encoded.sparkSession.sparkContext.broadcast(pieces or load_pieces())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for ids in batch.column(1):
-                ids = ids.as_py() or []
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(decode_ids(ids, shared.value).encode()).hexdigest()))
+            lists = batch.column(1)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ids = values[begin:end]
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(decode_ids(ids.tolist(), shared.value).encode()).hexdigest()))
             c = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], ["doc_id", "n_pieces", "ids_crc32", "text_sha256"])
 
