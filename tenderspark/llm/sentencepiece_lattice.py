@@ -36,6 +36,7 @@ from tenderspark.llm.shared import file_system, new_path, written
 SPACE = "▁"
 MAX_WORD = 32
 SLOTS = 8
+ROWS = 500  # texts held as ids at a time
 _words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
 _KEY = 64  # an edge's key is begin * _KEY + end
 
@@ -224,7 +225,7 @@ def _block_words(docs: DataFrame, prefix: bool) -> DataFrame:
                 found.setdefault(block, set()).update(cut(text, prefix))
             for block, words in found.items():
                 words = [w for w in words if len(w) <= MAX_WORD]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], ["_block", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block), pa.int64()), pa.array(words, pa.string())], ["_block", "word"])
 
     return docs.select("_block", "text").mapInArrow(run, "_block long, word string")
 
@@ -254,19 +255,20 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         block, cuts, known = None, {}, {}
-        for batch in batches:
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
-            for here, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for here, text in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if here != block:
+                    cuts = known = {}  # let the old ones go first
                     block, cuts, known = here, _load(f"{folder}/_block={here}"), {}
                 words = cut(text, own.prefix)
                 for word in {w for w in words if w not in known}:
-                    parts = cuts[word].split(" ") if len(word) <= MAX_WORD else _long_word(word, own)
+                    parts = cuts.pop(word).split(" ") if len(word) <= MAX_WORD else _long_word(word, own)
                     known[word] = np.array(piece_ids(parts, own), "<i4").tobytes()
                 out.append(b"".join([known[w] for w in words]))
             offsets = np.cumsum([0, *map(len, out)]) // 4
             values = np.frombuffer(b"".join(out), "<i4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
     return base.select("doc_id", "text", "_block").mapInArrow(run, "doc_id long, ids array<int>")
 
