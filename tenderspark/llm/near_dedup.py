@@ -127,7 +127,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """Links between members of different components of one or two blocks, as a forest: at most one a member."""
-    pdf = pdf.drop_duplicates("member")
+    pdf = pdf.drop_duplicates(["member", "body"])  # a doc_id may stand for several texts
     bodies = as_bytes(pdf["body"].tolist())
     hashes, counts = shingle_sets(bodies, width)
     owner = np.repeat(np.arange(len(bodies)), counts)
