@@ -54,8 +54,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = sentencepiece_lattice.load_pieces()
-    return sentencepiece_lattice.summary(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return sentencepiece_lattice.encode_summary(table(spark, sf_dir, "documents"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

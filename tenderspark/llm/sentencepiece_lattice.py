@@ -21,7 +21,7 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderspark.functions.columns import let
 from tenderspark.llm.shared import file_system, new_path, written
 
 SPACE = "▁"
@@ -239,18 +240,45 @@ def dictionaries(docs: DataFrame, pieces: Pieces, folder: str) -> str:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")
     dealt = _block_words(docs, pieces.prefix).select("_block", slot, "word").repartition(n, "_block", "slot").distinct()
-    ends = F.slice("bounds", 2, F.size("bounds") - 1)
-    cuts = F.array_join(F.transform(ends, lambda e, i: F.substring(F.col("word"), F.get("bounds", i) + 1, e - F.get("bounds", i))), " ")
+
+    def pieces_of(bounds):
+        ends = F.slice(bounds, 2, F.size(bounds) - 1)
+        return F.array_join(F.transform(ends, lambda e, i: F.substring(F.col("word"), F.get(bounds, i) + 1, e - F.get(bounds, i))), " ")
+
+    cuts = let(F.col("bounds"), pieces_of)  # the fold runs once a word
     encode_words(dealt, pieces).select("_block", cuts.alias("cuts")).write.partitionBy("_block").parquet(f"{folder}/dictionaries")
     return f"{folder}/dictionaries"
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id, text -> doc_id, ids array<int>."""
+
+    def ids(doc_ids: pa.Array, offsets: np.ndarray, values: np.ndarray, _: Pieces) -> list[pa.Array]:
+        return [doc_ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
+
+    return _encoded(docs, pieces, ids, "doc_id long, ids array<int>")
+
+
+def encode_summary(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+    """doc_id, text -> doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), text_sha256 (of the ids' decoded text),
+    in the task that encodes, so that ids are not passed on."""
+
+    def digest(doc_ids: pa.Array, offsets: np.ndarray, values: np.ndarray, own: Pieces) -> list[pa.Array]:
+        parts = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        crcs = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
+        texts = [hashlib.sha256(decode_ids(p.tolist(), own).encode()).hexdigest() for p in parts]
+        return [doc_ids, pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(texts, pa.string())]
+
+    return _encoded(docs, pieces, digest, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")
+
+
+def _encoded(docs: DataFrame, pieces: Pieces | None, emit: Callable, schema: str) -> DataFrame:
+    """emit(doc_ids, offsets, values, pieces) makes the columns of `schema` from the ids of some documents."""
     pieces = pieces or load_pieces()
     base = _scanned(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     folder = dictionaries(base, pieces, new_path(docs.sparkSession, "sentencepiece"))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -268,9 +296,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
                 out.append(b"".join([known[w] for w in words]))
             offsets = np.cumsum([0, *map(len, out)]) // 4
             values = np.frombuffer(b"".join(out), "<i4")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays(emit(part.column(0), offsets, values, own), names)
 
-    return base.select("doc_id", "text", "_block").mapInArrow(run, "doc_id long, ids array<int>")
+    return base.select("doc_id", "text", "_block").mapInArrow(run, schema)
 
 
 def _load(folder: str) -> dict[str, str]:
@@ -321,20 +349,3 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
-
-def summary(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """doc_id, ids -> doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), text_sha256 (of the decoded text)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces or load_pieces())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            lists = batch.column(1)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = values[begin:end]
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(decode_ids(ids.tolist(), shared.value).encode()).hexdigest()))
-            c = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], ["doc_id", "n_pieces", "ids_crc32", "text_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")

@@ -1,5 +1,8 @@
+import hashlib
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -37,6 +40,10 @@ def test_tables(spark, library, tmp_path):
         rows = encoded.collect()
         assert len(rows) == len(texts) + 2
         assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == sorted((str(i), library.encode(t or "")) for i, t in [*enumerate(texts), (None, "the"), (4, "again")])
+    every = {str(i): t or "" for i, t in [*enumerate(texts), (None, "the")]}
+    for r in sl.encode_summary(df.where("doc_id IS NULL OR word = 1")).collect():
+        ids = library.encode(every[str(r.doc_id)])
+        assert (r.n_pieces, r.ids_crc32, r.text_sha256) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(every[str(r.doc_id)].encode()).hexdigest())
     back = sorted((str(r.doc_id), r.text) for r in sl.decode(encoded).collect())
     assert back == sorted((str(i), t or "") for i, t in [*enumerate(texts), (None, "the"), (4, "again")])
     assert sl.encode(df.limit(0)).count() == 0
