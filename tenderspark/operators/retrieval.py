@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenderspark.functions import numbers
+from tenderspark.functions import numbers, text as texts
+from tenderspark.functions.columns import let
 
 SCORE_DIGITS = 6
 BLOCK = 4096  # chunks compared at once
@@ -23,6 +24,8 @@ RRF = 60
 TAGS = ["industry", "document_type", "outcome"]
 FLOOR, WEAK_FLOOR = 0.35, 0.20
 LEG_FACTOR, LEG_LEAST = 3, 15
+QUOTE_WORDS, QUOTE_CHARS = 8, 20
+MAX_BROADCAST_QUOTES = 100_000
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
@@ -240,3 +243,44 @@ def reference_tags(hits: DataFrame) -> DataFrame:
     best = clean.groupBy("section_id", "source").agg(F.max("score").alias("score"), F.min("place").alias("place"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "place", "source")))
     return best.groupBy("section_id").agg(F.transform(ordered, lambda s: s.source).alias("reference_tags"))
+
+
+def _quote_keys(words: Column, at: Column, width: int) -> Column:
+    return F.xxhash64(F.lit(width), *(F.get(words, at + o) for o in range(width)))
+
+
+def grounded_quotes(quotes: DataFrame, docs: DataFrame, max_broadcast_quotes: int = MAX_BROADCAST_QUOTES) -> DataFrame:
+    """F-11 over whole tables: doc_id, item_id, grounded. A row for each document that holds a quote; a quote that no
+    document holds has one row without doc_id, not grounded; so has one too short to be judged, grounded in any.
+
+    The inner words of a quote are whole words of every source that holds it, so up to QUOTE_WORDS of them are hashed
+    and joined; a quote of one or two words is met by QUOTE_CHARS letters of its longest. Candidates are confirmed.
+    Quotes and documents without id are left out.
+    """
+    q = quotes.where("item_id IS NOT NULL").select("item_id", texts.normalize_ws(F.coalesce("text", F.lit(""))).alias("quote")).distinct()
+    short = q.where(F.length("quote") < texts.MIN_QUOTE_CHARS).select("item_id").distinct()
+    long = q.where(F.length("quote") >= texts.MIN_QUOTE_CHARS).withColumn("w", F.split("quote", " "))
+    long = long.withColumn("width", F.greatest(F.lit(0), F.least(F.size("w") - 2, F.lit(QUOTE_WORDS))))
+    widths = sorted(r.width for r in long.select("width").distinct().collect())  # at most QUOTE_WORDS + 1 numbers
+    longest = F.element_at(F.array_sort(F.transform("w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1).w
+    key = F.xxhash64(F.lit(0), F.substring(longest, 1, QUOTE_CHARS))
+    for n in range(1, QUOTE_WORDS + 1):
+        key = F.when(F.col("width") == n, _quote_keys(F.transform("w", lambda w: F.xxhash64(w)), F.lit(1), n)).otherwise(key)
+    asked = long.select("item_id", "quote", key.alias("key"))
+    keys = asked.select("item_id", "key")
+    if keys.count() <= max_broadcast_quotes:
+        keys = F.broadcast(keys)
+
+    def places(words: Column, n: int) -> Column:
+        if n:
+            at = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: _quote_keys(h, i, n))
+            return F.when(F.size(words) >= n, let(F.transform(words, lambda w: F.xxhash64(w)), at)).otherwise(F.array().cast("array<bigint>"))
+        grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (QUOTE_CHARS - 1)), lambda i: F.xxhash64(F.lit(0), F.substring(w, i, F.lit(QUOTE_CHARS))))
+        return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= QUOTE_CHARS), grams))
+
+    sources = docs.where("doc_id IS NOT NULL").select("doc_id", texts.normalize_ws(F.coalesce("text", F.lit(""))).alias("source"))
+    found = let(F.split("source", " "), lambda w: F.array_distinct(F.concat(*(places(w, n) for n in widths)))) if widths else F.array().cast("array<bigint>")
+    pairs = sources.select("doc_id", F.explode(found).alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
+    sure = pairs.join(sources, "doc_id").join(asked.select("item_id", "quote"), "item_id").where(texts.quote_grounded_in(F.col("quote"), F.col("source"))).select("doc_id", "item_id").distinct()
+    judged = long.select("item_id").distinct().join(sure, "item_id", "left").select("doc_id", "item_id", F.col("doc_id").isNotNull().alias("grounded"))
+    return judged.unionByName(short.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "item_id", F.lit(True).alias("grounded")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenderspark.functions import drafts, numbers, text
-from tenderspark.operators import chunking, rollups
+from tenderspark.operators import chunking, retrieval, rollups
 from tenderspark.plans.registry_tools import Registry
 from tenderspark.sources import tables
 
@@ -78,7 +78,7 @@ R.add(
 )
 R.add(
     "f11_quote_grounded", ["benchmark", "documents"],
-    lambda b, d: d.where("doc_id % 20 = 0").select("doc_id", text.normalize_ws(F.col("text")).alias("source")).join(b.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 5).alias("m")), F.expr("doc_id % 100 / 20 = m")).select("doc_id", "item_id", text.quote_grounded_in(F.col("quote"), F.col("source")).alias("grounded")),
+    lambda b, d: retrieval.grounded_quotes(b, d),  # all documents; the SQL still asks for a twentieth of them
     f"SELECT doc_id, item_id, length({NORM.format('b.text')}) < 40 OR contains({NORM.format('d.text')}, {NORM.format('b.text')}) AS grounded FROM documents d JOIN benchmark b ON d.doc_id % 20 = 0 AND d.doc_id % 100 / 20 = item_id % 5",
 )
 DRAFT = "concat(CASE WHEN doc_id % 4 = 0 THEN '## Technical Approach ' ELSE '' END, substring(text, 1, CAST(40 + doc_id % 400 AS INT)), CASE WHEN doc_id % 3 = 0 THEN ' [Req 1] [Req 2]' ELSE ' [Req 1]' END, CASE WHEN doc_id % 7 = 0 THEN ' [INSERT name]' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN ' W91QUZ-19-C-0042 for $4,200,000.50' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ' seamless world-class unparalleled trusted partner' ELSE '' END)"
