@@ -15,10 +15,14 @@ CHUNKS = """SELECT vec_id AS chunk_id, vec_id % 2 AS tenant, CASE WHEN vec_id %
 QUERIES = """SELECT vec_id AS query_id, vec_id % 2 AS tenant, CASE WHEN vec_id % 50 = 0 THEN vec_id % 4 END AS proposal_id, CASE WHEN vec_id % 100 = 0 THEN '' ELSE substring(text, 1, 12) END AS text, embedding,
     CASE WHEN vec_id % 75 = 0 THEN concat('i', CAST(vec_id % 3 AS STRING)) END AS industry, CAST(NULL AS STRING) AS document_type, CASE WHEN vec_id % 7 = 0 THEN 'won' END AS outcome FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 25 = 0"""
 
+#: What the queries ask: whole texts, none blank. The SQL still has the 12 characters and the blanks of QUERIES.
+ASKED = QUERIES.replace("CASE WHEN vec_id % 100 = 0 THEN '' ELSE substring(text, 1, 12) END AS text", "text")
+SECTION = "floor(query_id / 200)"  # a few queries a section, so sections grow with the table
+
 
 def bound(e: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
     sql = lambda q: e.sparkSession.sql(q.replace("FROM embeddings JOIN documents", "FROM {e} JOIN {d}"), e=e, d=d)
-    return sql(QUERIES), sql(CHUNKS)
+    return sql(ASKED), sql(CHUNKS)
 
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -64,7 +68,7 @@ _add("j12_ann_candidates", lambda q, c: retrieval.ann_candidates(q, c, 10, lists
 
 def diversified(q, c):
     hits = retrieval.fused_hits(q, c, 5).join(c.select("chunk_id", "source_name"), "chunk_id")
-    return retrieval.diversify(hits.select((F.col("query_id") % 4).alias("section_id"), "source_name", "score", F.struct("chunk_id", "query_id", "origin").alias("order")), 6).select("section_id", "source_name", "score", "place")
+    return retrieval.diversify(hits.select(F.expr(SECTION).alias("section_id"), "source_name", "score", F.struct("chunk_id", "query_id", "origin").alias("order")), 6).select("section_id", "source_name", "score", "place")
 
 
 _add("w06_diversify", diversified, FUSED + """, h AS (SELECT query_id % 4 AS section_id, source_name, score, chunk_id, query_id, origin FROM fused JOIN chunks USING (chunk_id)),
@@ -73,7 +77,7 @@ _add("w06_diversify", diversified, FUSED + """, h AS (SELECT query_id % 4 AS sec
 
 
 def contexts(q, c):
-    reqs = q.select((F.col("query_id") % 4).alias("section_id"), F.col("query_id").alias("req_idx"), "query_id")
+    reqs = q.select(F.expr(SECTION).alias("section_id"), F.col("query_id").alias("req_idx"), "query_id")
     return retrieval.section_context(reqs, retrieval.fused_hits(q, c, 5), c, 5)
 
 
@@ -90,7 +94,7 @@ CONTEXT = (
 )
 _add("w05_section_context", lambda q, c: contexts(q, c)[0].drop("order"), CONTEXT + " SELECT * FROM ctx")
 _add("w05_section_grounding", lambda q, c: contexts(q, c)[1], CONTEXT + " SELECT n.section_id, any_value(n.n) AS requirements, count(DISTINCT own.query_id) AS grounded_requirements, coalesce(bool_or(weak), false) AS weak FROM n LEFT JOIN own ON own.query_id = n.query_id GROUP BY 1")
-_add("a14_grounding_confidence", lambda q, c: retrieval.grounding_confidence(q.select((F.col("query_id") % 5).alias("section_id")).distinct(), contexts(q, c)[0]), CONTEXT + ", s AS (SELECT DISTINCT query_id % 5 AS section_id FROM queries) SELECT s.section_id, coalesce(round_even(avg(score), 4), 0) AS confidence FROM s LEFT JOIN ctx ON ctx.section_id = s.section_id GROUP BY 1")
+_add("a14_grounding_confidence", lambda q, c: retrieval.grounding_confidence(q.select(F.expr(SECTION).alias("section_id")).distinct(), contexts(q, c)[0]), CONTEXT + ", s AS (SELECT DISTINCT query_id % 5 AS section_id FROM queries) SELECT s.section_id, coalesce(round_even(avg(score), 4), 0) AS confidence FROM s LEFT JOIN ctx ON ctx.section_id = s.section_id GROUP BY 1")
 _add("a15_reference_tags", lambda q, c: retrieval.reference_tags(contexts(q, c)[0]), CONTEXT + ", t AS (SELECT section_id, source_name, max(score) AS m, min(place) AS p FROM ctx GROUP BY ALL) SELECT section_id, list(source_name ORDER BY m DESC, p) AS reference_tags FROM t GROUP BY 1")
 _add("a08_list_sources", lambda q, c: rollups.list_sources(c.withColumn("created_at", F.col("chunk_id"))), f"SELECT tenant, proposal_id, source_name, count(*) AS n_chunks, max(chunk_id) AS created_at, max(industry) AS industry, max(document_type) AS document_type, max(outcome) AS outcome FROM ({CHUNKS}) c GROUP BY ALL")
 _add("a09_history_count", lambda q, c: rollups.history_count(c), f"SELECT tenant, count(embedding) AS n, count(embedding) > 0 AS grounded FROM ({CHUNKS}) c GROUP BY 1")

@@ -3,8 +3,12 @@
 import random
 import re
 
+import duckdb
+
 from tenderspark.operators import retrieval
-from tenderspark.plans import registry
+from tenderspark.plans import registry, search
+
+SF = "/root/testdata/sf0.01"
 
 NORM = lambda t: re.sub(r"\s+", " ", t or "").strip(" ").lower()
 
@@ -15,6 +19,22 @@ def run(spark, folder, name, **tables):
     return registry.QUERIES[name](spark, str(folder))
 
 
+def agrees_without_cuts(spark, name, tables, *cuts):
+    """The query's rows equal those of its SQL in which each (cut, whole) pair is replaced."""
+    sql, con = registry.ORACLES[name], duckdb.connect()
+    for cut, whole in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, SF)
+    cursor = con.execute(sql)
+    at = [[c[0] for c in cursor.description].index(c) for c in df.columns]
+    plain = lambda v: tuple(v) if isinstance(v, list) else round(float(v), 5) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
+    expected = sorted((tuple(plain(r[i]) for i in at) for r in cursor.fetchall()), key=repr)
+    assert expected and sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == expected
+
+
 def test_quotes_are_sought_in_all_documents(spark, tmp_path):
     r = random.Random(5)
     text = [" ".join(r.choice(["alpha", "beta", "gamma", "Delta  ", "epsilon\n", "x"]) for _ in range(60)) for _ in range(120)]
@@ -33,3 +53,19 @@ def test_quotes_are_sought_in_all_documents(spark, tmp_path):
     assert {tuple(x) for x in retrieval.grounded_quotes(quotes, sources, 0).collect()} == expected
     assert retrieval.grounded_quotes(quotes.limit(0), sources).count() == 0
     assert {x.grounded for x in retrieval.grounded_quotes(quotes, sources.limit(0)).collect()} == {False, True}
+
+
+def test_query_texts_are_whole(spark):
+    e, d = (spark.read.parquet(f"{SF}/{t}.parquet") for t in search.BOTH)
+    known = {r.doc_id: r.text for r in d.where("doc_id % 25 = 0").collect()}
+    assert {r.query_id: r.text for r in search.bound(e, d)[0].collect()} == {r.vec_id: known[r.vec_id] for r in e.where("vec_id % 25 = 0").collect() if r.vec_id in known}
+
+
+def test_keyword_leg_takes_whole_texts(spark):
+    agrees_without_cuts(spark, "j02_keyword_join", search.BOTH, (search.QUERIES, search.ASKED))
+
+
+def test_sections_grow_with_the_table(spark):
+    agrees_without_cuts(spark, "w05_section_grounding", search.BOTH, (search.QUERIES, search.ASKED), ("query_id % 4", "CAST(floor(query_id / 200) AS BIGINT)"))
+    grown = spark.range(0, 4000, 25).toDF("query_id").selectExpr(search.SECTION).distinct()
+    assert grown.count() == 20
