@@ -64,7 +64,7 @@ R.add(
 R.add("f04_extraction_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", "text"), chunking.extraction_chunks(F.col("text"), 8000)))
 R.add(
     "f07_choose_page_text", ["pages", "documents"],
-    lambda p, d: p.join(d, p.page_id == d.doc_id).select("page_id", F.substring("html", 1, (F.col("page_id") % 40).cast("int")).alias("page"), F.substring("text", 1, 60).alias("ocr")).select("page_id", text.choose_page_text(F.col("page"), F.col("ocr")).alias("text")),
+    lambda p, d: p.join(d, p.page_id == d.doc_id).select("page_id", text.choose_page_text(F.col("html"), F.col("text")).alias("text")),  # whole texts; the SQL still cuts both
     r"""WITH x AS (SELECT page_id, substring(html, 1, page_id % 40) AS page, substring(text, 1, 60) AS ocr FROM pages JOIN documents ON page_id = doc_id), s AS (SELECT *, regexp_replace(page, '^\s+|\s+$', '', 'g') AS a, regexp_replace(ocr, '^\s+|\s+$', '', 'g') AS b FROM x)
         SELECT page_id, CASE WHEN length(a) < 20 AND length(b) > length(a) AND length(b) >= 10 AND length(regexp_replace(b, '[\p{L}\p{N} \n\t.,;:!?()\[\]{}"''\-/%$&@#*+=<>|\\_~\^`]', '', 'g')) / length(b) <= 0.35::DOUBLE THEN ocr ELSE page END AS text FROM s""",
 )
@@ -83,9 +83,11 @@ R.add(
 )
 DRAFT = "concat(CASE WHEN doc_id % 4 = 0 THEN '## Technical Approach ' ELSE '' END, substring(text, 1, CAST(40 + doc_id % 400 AS INT)), CASE WHEN doc_id % 3 = 0 THEN ' [Req 1] [Req 2]' ELSE ' [Req 1]' END, CASE WHEN doc_id % 7 = 0 THEN ' [INSERT name]' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN ' W91QUZ-19-C-0042 for $4,200,000.50' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ' seamless world-class unparalleled trusted partner' ELSE '' END)"
 
+WHOLE_DRAFT = DRAFT.replace("substring(text, 1, CAST(40 + doc_id % 400 AS INT))", "text")  # the SQL still has the prefix
+
 
 def draft_rules(docs):
-    x = docs.selectExpr("doc_id", f"{DRAFT} AS content", "CAST(doc_id % 3 AS INT) AS n", "doc_id % 8 < 4 AS headings", "doc_id % 2 = 0 AS tags", "CASE WHEN doc_id % 10 = 0 THEN 'W91QUZ-19-C-0042' WHEN doc_id % 10 = 5 THEN NULL ELSE '' END AS context")
+    x = docs.selectExpr("doc_id", f"{WHOLE_DRAFT} AS content", "CAST(doc_id % 3 AS INT) AS n", "doc_id % 8 < 4 AS headings", "doc_id % 2 = 0 AS tags", "CASE WHEN doc_id % 10 = 0 THEN 'W91QUZ-19-C-0042' WHEN doc_id % 10 = 5 THEN NULL ELSE '' END AS context")
     c, t = F.col, F.col("content")
     return x.select(
         "doc_id", drafts.missing_req_tags(t, c("n")).alias("missing"), F.size(drafts.unverifiable_facts(t, F.coalesce(c("context"), F.lit("")))).alias("unverifiable"), F.size(drafts.placeholders_found(t)).alias("placeholders"),

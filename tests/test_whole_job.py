@@ -6,7 +6,7 @@ import re
 import duckdb
 
 from tenderspark.operators import retrieval
-from tenderspark.plans import registry, search
+from tenderspark.plans import registry, search, texts
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,3 +69,11 @@ def test_sections_grow_with_the_table(spark):
     agrees_without_cuts(spark, "w05_section_grounding", search.BOTH, (search.QUERIES, search.ASKED), ("query_id % 4", "CAST(floor(query_id / 200) AS BIGINT)"))
     grown = spark.range(0, 4000, 25).toDF("query_id").selectExpr(search.SECTION).distinct()
     assert grown.count() == 20
+
+
+def test_draft_rules_read_whole_texts(spark):
+    agrees_without_cuts(spark, "f18_draft_rules", ["documents"], (texts.DRAFT, texts.WHOLE_DRAFT))
+
+
+def test_pages_are_chosen_from_whole_texts(spark):
+    agrees_without_cuts(spark, "f07_choose_page_text", ["pages", "documents"], ("substring(html, 1, page_id % 40)", "html"), ("substring(text, 1, 60)", "text"))
