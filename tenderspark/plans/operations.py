@@ -65,7 +65,7 @@ R.add("f38_days_until", ["events"], lambda e: e.select("event_id", numbers.days_
 def attempts(c):
     none = F.array().cast("array<string>")
     x = c.selectExpr("conv_id % 200 run_id", "CAST(floor(conv_id / 200) AS INT) outline_index", "CAST(turn + 1 AS INT) attempt", "turn", "conv_id", "text")
-    claim = F.when((F.col("turn") == 0) | (F.col("conv_id") % 3 == 0), "claim").otherwise(F.substring("text", 1, 3))
+    claim = F.when((F.col("turn") == 0) | (F.col("conv_id") % 3 == 0), "claim").otherwise(F.col("text"))  # whole; the SQL still has three letters
     critic = F.struct(
         (F.col("turn") % 5 != 1).alias("addressed"), (F.col("turn") % 7 != 3).alias("evaluation_alignment"), F.lit(True).alias("benefit_mapped"), F.when(F.col("turn") % 4 != 2, F.array(claim)).otherwise(none).alias("unsupported_claims"),
         none.alias("filler_found"), none.alias("cited_sources"), F.when(F.col("turn") % 2 == 0, F.lit("fix")).alias("feedback"),
@@ -83,6 +83,6 @@ R.add("w12_revise_or_save", ["conversations"], lambda c: revisions.revise_or_sav
 R.add("f30_critic_feedback", ["conversations"], lambda c: attempts(c).select("run_id", "outline_index", "attempt", drafts.critic_feedback(F.col("critic")).alias("feedback")),
     JUDGED + """ SELECT run_id, outline_index, attempt, CASE WHEN NOT has THEN '' ELSE concat_ws(chr(10), CASE WHEN turn % 2 = 0 THEN 'fix' END, CASE WHEN turn % 4 <> 2 THEN concat('Remove or substantiate these unsupported claims: ', claim) END,
         CASE WHEN turn % 7 = 3 THEN 'Speak directly to the stated evaluation criteria.' END) END AS feedback FROM j""")
-R.add("f31_combine_feedback", ["conversations"], lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s.role).alias("h")).select("conv_id", drafts.combine_feedback(F.slice("h", 1, 3)).alias("feedback")),
+R.add("f31_combine_feedback", ["conversations"], lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s.role).alias("h")).select("conv_id", drafts.combine_feedback(F.col("h")).alias("feedback")),  # all turns; the SQL still has three
     """WITH h AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
         SELECT conv_id, CASE WHEN any_value(n) = 1 THEN any_value(role) ELSE string_agg(concat('[Revision ', i, ' feedback]', chr(10), role), concat(chr(10), chr(10)) ORDER BY i) END AS feedback FROM h WHERE i <= 3 GROUP BY conv_id""")

@@ -20,8 +20,8 @@ def text_columns(docs):
     t = F.col("text")
     return docs.select(
         "doc_id", text.word_count(t).alias("words"), F.length(text.strip(t)).alias("stripped"), text.normalize_ws(t).alias("normal"), text.truncate(t, 100).alias("short"),
-        text.guard_input(t, 500).truncated.alias("truncated"), text.failure_reason(F.col("source"), F.substring(t, 1, 600)).alias("reason"),
-        text.strip_requirement_tags(F.concat(F.substring(t, 1, 20), F.lit(" [Req 1, Req 2, 3] x [req 4]"))).alias("untagged"),
+        text.guard_input(t, 500).truncated.alias("truncated"), text.failure_reason(F.col("source"), t).alias("reason"),
+        text.strip_requirement_tags(F.concat(t, F.lit(" [Req 1, Req 2, 3] x [req 4]"))).alias("untagged"),
     )
 
 
@@ -74,7 +74,7 @@ R.add(
 )
 R.add(
     "f09_markdown_table", ["conversations"],
-    lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 2 == 0, F.array("role", F.substring("text", 1, 9))).otherwise(F.array(F.lit(" a|b "))).alias("r")))), lambda s: s.r).alias("rows")).select("conv_id", text.markdown_table(F.col("rows")).alias("table")),
+    lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 2 == 0, F.array("role", "text")).otherwise(F.array(F.lit(" a|b "))).alias("r")))), lambda s: s.r).alias("rows")).select("conv_id", text.markdown_table(F.col("rows")).alias("table")),
 )
 R.add(
     "f11_quote_grounded", ["benchmark", "documents"],

@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from tenderspark.operators import retrieval
 from tenderspark.plans import registry, search, texts
@@ -77,3 +78,24 @@ def test_draft_rules_read_whole_texts(spark):
 
 def test_pages_are_chosen_from_whole_texts(spark):
     agrees_without_cuts(spark, "f07_choose_page_text", ["pages", "documents"], ("substring(html, 1, page_id % 40)", "html"), ("substring(text, 1, 60)", "text"))
+
+
+@pytest.mark.parametrize("name", ["w11_critic_stall", "w12_revise_or_save", "f30_critic_feedback"])
+def test_claims_are_whole(spark, name):
+    agrees_without_cuts(spark, name, ["conversations"], ("substring(text, 1, 3)", "text"))
+
+
+def test_feedback_of_all_turns(spark):
+    agrees_without_cuts(spark, "f31_combine_feedback", ["conversations"], ("WHERE i <= 3", ""))
+
+
+def test_columns_of_whole_texts(spark):
+    tagged = "concat(regexp_replace(substring(text, 1, 20), '\\s+$', ''), ' x')"
+    whole = r"regexp_replace(concat(text, ' [Req 1, Req 2, 3] x [req 4]'), '\s*\[Req\s+\d+(?:\s*,\s*(?:Req\s+)?\d+)*\]', '', 'gi')"
+    agrees_without_cuts(spark, "f10_text_columns", ["documents"], (tagged, whole), ("substring(text, 1, 600)", "text"))
+
+
+def test_table_cells_are_whole(spark, tmp_path):
+    rows = [(1, 0, "user", "a long cell | with a bar, " + "and more words " * 20 + "end"), (1, 1, "user", "x"), (1, 2, "model", "second cell that is long")]
+    got = run(spark, tmp_path, "f09_markdown_table", conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).first().table
+    assert rows[0][3].replace("|", "\\|") in got and rows[2][3] in got
