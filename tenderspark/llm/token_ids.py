@@ -6,7 +6,8 @@ lookup hashes the key, compares the fingerprint and reads one range. Shards foll
 range-partitioned by doc_id and sorted within a partition, which spills to disk and never meets in one task.
 
 Texts are split as the byte-level vocabulary splits them, and each distinct part is encoded once by the tokenizers
-library; ids of a text are those of its parts (test: equal to encoding whole texts).
+library; ids of a text are those of its parts (test: equal to encoding whole texts). Added tokens of the vocabulary are
+recognised as the library does: a text that holds one is encoded whole.
 
 Defined results: a null text is empty and holds only the end id; repeated rows of one doc_id each get their own ids,
 in the order of their text, and share the key of the first; a null doc_id sorts first and has no key; an empty table
@@ -37,7 +38,7 @@ END_ID = 2
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000  # distinct parts remembered by a task at a time
 BATCH_BYTES = 4 << 20
-SHARD_DOCS_SCHEMA = "shard string, pos int, doc_id long, n_tokens long, shard_start long"
+SHARD_DOCS_SCHEMA = "shard string, pos int, doc_id long, n_tokens long, shard_start long, has_key boolean"
 
 
 class PartEncoder:
@@ -49,7 +50,7 @@ class PartEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind = Tokenizer.from_str(tokenizer_json), kind
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"] if t["content"]]
         self.cut = regex.compile(PARTS).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before; parts that are met again move on
@@ -59,6 +60,9 @@ class PartEncoder:
             self.known, self.older = {}, self.known
         known, older, out = self.known, self.older, []
         for text in texts:
+            if any(a in text for a in self.added):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes())
+                continue
             parts = self.cut(text)
             fresh = []
             for p in {p for p in parts if p not in known}:
@@ -126,9 +130,10 @@ def _index_bytes(keys: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> b
 
 
 def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, partitions: int | None = None) -> DataFrame:
-    """doc_id, text -> one row a document (shard, pos, doc_id, n_tokens, shard_start), a written table.
+    """doc_id, text -> one row a document (shard, pos, doc_id, n_tokens, shard_start, has_key), a written table.
 
-    pos is the place in the shard, shard_start the number of ids of the shard before it. Shard names begin with the
+    pos is the place in the shard, shard_start the number of ids of the shard before it, has_key true for the row that
+    the perfect hash holds: the first of its doc_id. Shard names begin with the
     number of their range, so their order is that of doc_id.
     """
     spark = docs.sparkSession
@@ -156,14 +161,15 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None
                         n = len(ids) // size + 1
                         out.write(ids)
                         out.write(end)
-                        rows.append((pos, doc_id, n, at))
-                        if doc_id is not None and doc_id != last:
+                        has_key = doc_id is not None and doc_id != last
+                        rows.append((pos, doc_id, n, at, has_key))
+                        if has_key:
                             keys.append((doc_id, at, n))
                             last = doc_id
                         at, pos = at + n, pos + 1
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(rows)), pa.array(c[0], pa.int32()), *(pa.array(x, pa.int64()) for x in c[1:])], ["shard", "pos", "doc_id", "n_tokens", "shard_start"]
+                        [pa.array([name] * len(rows)), pa.array(c[0], pa.int32()), *(pa.array(x, pa.int64()) for x in c[1:4]), pa.array(c[4], pa.bool_())], ["shard", "pos", "doc_id", "n_tokens", "shard_start", "has_key"]
                     )
         table = np.array(keys, np.int64).reshape(-1, 3)
         with fs.open_output_stream(f"{path}/shards/{name}.idx") as out:
@@ -210,13 +216,14 @@ class ShardReader:
 def read_ids(written: DataFrame) -> DataFrame:
     """Rows of write_ids -> doc_id, start, n_tokens, ids_crc32, keyed: from the shards' bytes.
 
+    Documents with a key are read at the offset and count that the perfect hash returns, repeats at their own place.
     start adds the totals of earlier shards (one number a shard). keyed tells that the perfect hash leads to the
     document's own place; it is false for rows that repeat a doc_id and null without one.
     """
     totals = written.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select(F.col("shard").alias("of"), F.coalesce(before, F.lit(0)).alias("base"))  # as many rows as shards
-    placed = written.join(base, F.col("shard") == F.col("of")).select("folder", "kind", "shard", "doc_id", "n_tokens", "shard_start", "base")
+    placed = written.join(base, F.col("shard") == F.col("of")).select("folder", "kind", "shard", "doc_id", "n_tokens", "shard_start", "has_key", "base")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reader = None, None
@@ -236,9 +243,12 @@ def read_ids(written: DataFrame) -> DataFrame:
         reader = rows[0][0]
         offsets, counts = reader.find(np.array([r[1] or 0 for r in rows], np.int64))
         out = []
-        for (_, doc_id, n, at, base), o, c in zip(rows, offsets.tolist(), counts.tolist(), strict=True):
-            ids = reader.ids(at, n)
-            out.append((doc_id, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), None if doc_id is None else (o, c) == (at, n)))
+        for (_, doc_id, n, at, has_key, base), o, c in zip(rows, offsets.tolist(), counts.tolist(), strict=True):
+            if has_key and o < 0:
+                raise ValueError(f"the perfect hash does not hold document {doc_id}")
+            place = o if has_key else at
+            ids = reader.ids(place, c if has_key else n)
+            out.append((doc_id, base + place, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), None if doc_id is None else (o, c) == (at, n)))
         columns = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "keyed"])
 

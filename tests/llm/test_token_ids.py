@@ -68,3 +68,24 @@ def test_table(spark):
     assert token_ids.lookup(place.folder, shards, place.kind, 7).tolist() == whole(text)
     assert token_ids.lookup(place.folder, shards, place.kind, 12345) is None
     assert token_ids.read_ids(token_ids.write_ids(df.limit(0))).count() == 0
+
+
+def test_added_tokens_as_an_unmodified_tokenizer_has_them(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext>", "no token  here"]
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [21943, 220, 50256, 2318]
+    encoder = token_ids.PartEncoder(token_ids.tokenizer_json())
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == expected
+    rows = token_ids.read_ids(token_ids.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), partitions=2)).orderBy("doc_id").collect()
+    start = 0
+    for row, ids in zip(rows, expected, strict=True):
+        assert (row.start, row.n_tokens, row.ids_crc32, row.keyed) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()), True)
+        start += len(ids) + 1
+
+
+def test_documents_are_read_where_the_hash_leads(spark):
+    written = token_ids.write_ids(spark.createDataFrame([(1, "one"), (2, "two words"), (2, "two words again")], "doc_id long, text string"), partitions=1)
+    moved = written.withColumn("shard_start", token_ids.F.when(written.has_key, 0).otherwise(written.shard_start))
+    expected = [(r.doc_id, r.start, r.ids_crc32) for r in token_ids.read_ids(written).orderBy("start").collect()]
+    assert [(r.doc_id, r.start, r.ids_crc32) for r in token_ids.read_ids(moved).orderBy("start").collect()] == expected
