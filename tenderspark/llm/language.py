@@ -179,13 +179,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of the documents whose language is identified; `und` documents go."""
+    """All columns of the documents whose language is identified; `und` documents go.
+
+    Those are the texts without letters. If there was nothing to learn from, texts with letters stay all the same.
+    """
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            keep = [r[0] != UNKNOWN for some in _pieces(batch.column(columns.index("text")).to_pylist()) for r in scorer.texts(some)]
+            texts = batch.column(columns.index("text")).to_pylist()
+            if scorer.model.langs:
+                keep = [r[0] != UNKNOWN for some in _pieces(texts) for r in scorer.texts(some)]
+            else:
+                keep = [bool(_words(t or "")) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

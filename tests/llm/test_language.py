@@ -53,3 +53,8 @@ def test_backoff_uses_the_longest_known_ngram():
     model = language.Model(["a", "b"], ["cat"], np.array([[1.0, -1.0]], np.float32), ["x", "xy"], np.array([[-1.0, 1.0], [3.0, -3.0]], np.float32))
     scorer = language.Scorer(model)
     assert scorer.text("cat")[0] == "a" and scorer.text("xy")[0] == "a" and scorer.text("xz")[0] == "b"
+
+
+def test_texts_with_letters_stay_when_nothing_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34 !!", None), (3, None, None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.keep_identified(docs, language.train(docs)).collect()) == [1, 4]
