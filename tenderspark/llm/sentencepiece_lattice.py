@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words that no piece crosses. The distinct words of an input block are exploded into their substrings of bounded length,
-the substrings meet the piece table in an equi-join, the edges are grouped by word, and a fold with Spark's
-higher-order `aggregate` turns the lattice of a word into its pieces: the best path (Viterbi) for unigram models, the
-model's own score-ordered merges for merge-type models, over the same edges. Characters without a piece become byte
-pieces. Words longer than MAX_WORD characters, whose lattices would grow without bound, take the same merges or the
-same path in a linked list inside the task that meets them.
-
-No text is shuffled. What is shuffled, once, is the set of distinct words of each input block (a file split); the encoded
-words come back as one small dictionary a block, which is read by the tasks that scan that block again.
+A text is cut into words that no piece crosses: before each space mark and, within such a run, between two characters
+that stand side by side in no piece of the model. The distinct words of each input block are written down, the distinct
+words of all blocks are exploded into their substrings of bounded length, the substrings meet the piece table in an
+equi-join, the edges are grouped by word, and a fold with Spark's higher-order `aggregate` turns the lattice of a word
+into its pieces: the best path (Viterbi) for unigram models, the model's own score-ordered merges for merge-type models,
+over the same edges. Characters without a piece become byte pieces. Words longer than MAX_WORD characters, whose
+lattices would grow without bound, take the same merges or the same path in a linked list inside the task that meets
+them.
+
+No text is shuffled. What is shuffled is the set of distinct words of each input block (a file split): once to fold each
+word a single time for the whole table and join its pieces to the blocks that hold it, once to bring the words of a block
+together again as a small dictionary, which is read by the tasks that scan that block again.
 
 Defined results: a null or empty text has no ids; repeated rows give equal rows; U+2581 reads as a space; other columns
 are ignored; an empty table gives an empty table.
@@ -28,18 +31,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.functions.columns import let
 from tenderspark.llm.shared import file_system, new_path, written
 
 SPACE = "▁"
-MAX_WORD = 32
-SLOTS = 8
+MAX_WORD = 32  # boundaries are bits of a long
+_PLACES = 64
 ROWS = 500  # texts held as ids at a time
-_words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
-_KEY = 64  # an edge's key is begin * _KEY + end
+SEEN = 500_000  # runs remembered by a task that lists the words of a block
+_runs = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,26 @@ class Pieces:
     merges: bool  # merge-type model, else unigram
     prefix: bool
 
+    @functools.cached_property
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each code point, table[class, class]: the two stand side by side in some piece)."""
+        pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        codes = {c: i for i, c in enumerate(sorted({c for pair in pairs for c in pair}), 1)}
+        classes, table = np.zeros(0x110000, np.int32), np.zeros((len(codes) + 1, len(codes) + 1), bool)
+        for c, i in codes.items():
+            classes[ord(c)] = i
+        for one, two in pairs:
+            table[codes[one], codes[two]] = True
+        return classes, table
+
+    @functools.cached_property
+    def stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all pieces, begin of each id, length of each id)."""
+        known = self.text_of
+        parts = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
     @functools.cached_property
     def text_of(self) -> dict[int, bytes]:
         out = {i: p.encode() for p, i in self.ids.items()}
@@ -83,11 +106,33 @@ def load_pieces(path: str | None = None) -> Pieces:
     return Pieces({p: s for p, (_, s) in normal.items()}, {p: i for p, (i, _) in normal.items()}, byte_ids, unknown, kind == 2, model.normalizer_spec.add_dummy_prefix)
 
 
-def cut(text: str | None, prefix: bool = True) -> list[str]:
-    """Words of a text; pieces never cross from one to the next."""
+def runs(text: str | None, prefix: bool = True) -> list[str]:
+    """A text cut before its space marks."""
     if not text:
         return []
-    return _words((SPACE if prefix else "") + text.replace(" ", SPACE))
+    return _runs((SPACE if prefix else "") + text.replace(" ", SPACE))
+
+
+def split_runs(found: list[str], pieces: Pieces) -> tuple[list[str], np.ndarray]:
+    """(words of all runs, number of words of each run): cut where no piece has these two neighbours."""
+    text = "".join(found)
+    classes, table = pieces.neighbours
+    kinds = classes[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+    first = np.zeros(len(kinds), bool)
+    first[1:] = ~table[kinds[:-1], kinds[1:]]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    begins = np.cumsum(sizes) - sizes
+    first[begins] = True
+    at = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(at, begins), append=len(at))
+    edges = [*at.tolist(), len(text)]
+    return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)], counts
+
+
+def cut(text: str | None, pieces: Pieces) -> list[str]:
+    """Words of a text; pieces never cross from one to the next."""
+    found = runs(text, pieces.prefix)
+    return split_runs(found, pieces)[0] if found else []
 
 
 def merge_word(word: str, scores: dict[str, float]) -> list[str]:
@@ -137,72 +182,78 @@ UNKNOWN = -1e6
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """The columns of `words` and edges map<begin * _KEY + end, score>, one row a row of `words` (which are distinct).
+    """The columns of `words` and edges, one row a row of `words` (which are distinct): array<struct<loss, begin, end>>,
+    or for merges, whose order is all that counts, array<long> of rank, begin and end in one number.
 
-    The substrings meet the piece table in a broadcast join: the table has the vocabulary's size, which load_pieces
-    fixes. A word also sends the empty string, which meets a row of its own, so that words without edges stay. Where
-    `words` is partitioned by some of its columns already, grouping the edges needs no further exchange.
+    The substrings meet the piece table by hash, and the pieces are compared, in a broadcast join: the table has the
+    vocabulary's size, which load_pieces fixes. A word also sends the empty string, which meets a row of its own, so
+    that words without edges stay. Where `words` is partitioned by some of its columns already, grouping the edges
+    needs no further exchange.
     """
-    rows = [(p, float(s)) for p, s in pieces.scores.items()]
-    table = words.sparkSession.createDataFrame([*rows, ("", 0.0)], "piece string, score double")
+    rank = {s: i for i, s in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
+    rows = [(p, rank[s] if pieces.merges else -float(s)) for p, s in pieces.scores.items()]
+    schema = "piece string, loss long" if pieces.merges else "piece string, loss double"
+    table = words.sparkSession.createDataFrame([*rows, ("", type(rows[0][1])(0))], schema).select(F.xxhash64("piece").alias("h"), "piece", "loss")
     least = 2 if pieces.merges else 1  # merges need pairs only
-    n, b = F.length("word"), F.col("b")
-    begins = F.concat(F.array(F.lit(-1)), F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>")))
-    sizes = F.when(b < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(least), F.least(F.lit(pieces.longest), n - b)))
-    keys = words.columns
-    grid = words.select(*keys, F.explode(begins).alias("b")).select(*keys, "b", F.explode(sizes).alias("k"))
-    subs = grid.select(*keys, (b * _KEY + b + F.col("k")).alias("key"), F.when(b < 0, "").otherwise(F.expr("substring(word, b + 1, k)")).alias("piece"))
-    met = subs.join(F.broadcast(table), "piece")
-    return met.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("key") >= 0, F.struct("key", "score")))).alias("edges"))
+    keys, b, k = words.columns, F.col("b"), F.col("k")
+    tails = words.select(*keys, F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.length("word") - least))).alias("b"))
+    tails = tails.select(*keys, "b", F.when(b >= 0, F.substring("word", b + 1, F.lit(pieces.longest))).otherwise("").alias("tail"))
+    sizes = F.when(b >= 0, F.sequence(F.lit(least), F.length("tail"))).otherwise(F.array(F.lit(0)))
+    subs = tails.select(*keys, "b", "tail", F.explode(sizes).alias("k")).select(*keys, "b", "k", F.substring("tail", F.lit(1), k).alias("sub"))
+    # equal strings, written so that the hash alone is the join's key: a row that meets none costs one probe
+    same = F.startswith("sub", "piece") & (F.length("sub") <= F.length("piece"))
+    met = subs.withColumn("h", F.xxhash64("sub")).join(F.broadcast(table), "h").where(same)
+    edge = (F.col("loss") * _PLACES + b) * _PLACES + b + k if pieces.merges else F.struct("loss", b.alias("begin"), (b + k).alias("end"))
+    return met.groupBy(*keys).agg(F.collect_list(F.when(b >= 0, edge)).alias("edges"))
 
 
 def _merged(edges, n):
-    """Fold: boundaries 0..n lose, at each step, the one inside the best-scored pair of neighbours."""
+    """Fold: boundaries 0..n, bits of a number, lose at each step the one inside the best-scored edge that spans two
+    neighbours, the leftmost of equals."""
+    one = F.lit(1).cast("long")
+
+    def bit(place):
+        return F.call_function("shiftleft", one, place)
 
-    def step(bounds, _):
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(bounds) - 3),
-            lambda i: F.struct(F.get(edges_at(edges, F.get(bounds, i) * _KEY + F.get(bounds, i + 2)), F.lit(0)).alias("s"), (-i).alias("at")),
-        )
-        best = F.array_max(F.when(F.size(bounds) >= 3, pairs))
-        drop = F.transform(F.array(best), lambda t: F.when(t.s.isNull(), bounds).otherwise(F.filter(bounds, lambda _b, j: j != 1 - t["at"])))
-        return F.coalesce(F.get(drop, F.lit(0)), bounds)
+    def masks(edge):
+        begin, end = F.pmod(F.call_function("div", edge, F.lit(_PLACES)), F.lit(_PLACES)).cast("int"), F.pmod(edge, F.lit(_PLACES)).cast("int")
+        return F.struct((bit(begin) + bit(end)).alias("ends"), (bit(end) - bit(begin + 1)).alias("inside"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    def step(bounds, edges):
+        fits = F.filter(edges, lambda e: (bounds.bitwiseAND(e.ends) == e.ends) & (F.bit_count(bounds.bitwiseAND(e.inside)) == 1))
+        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0)).inside)), bounds)
 
+    def fold(ordered):
+        steps = F.least(F.size(ordered), n - 1)  # each merge takes an edge and a boundary
+        return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), steps), bit(n + 1) - 1, lambda bounds, _: step(bounds, ordered))).otherwise(bit(n + 1) - 1)
 
-def edges_at(edges, key):
-    return F.array(F.try_element_at(edges, key))
+    bits = let(F.transform(F.sort_array(edges), masks), fold)
+    return let(bits, lambda x: F.filter(F.sequence(F.lit(0), n), lambda i: x.bitwiseAND(bit(i)) != 0))
 
 
-def _viterbi(edges, n, longest: int):
-    """Fold: for each end the best (score, begin) over the edges that end there, then the way back from the end."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
+def _viterbi(edges, n):
+    """Fold: for each end the least (loss, begin) over the edges that end there, then the way back from the end."""
 
-    def reach(best, e):
-        begins = F.sequence(F.greatest(F.lit(0), e - longest), e - 1)
-        found = F.transform(
-            begins,
-            lambda b: F.struct(
-                (F.get(best, b).score + F.coalesce(F.try_element_at(edges, b * _KEY + e), F.when(b == e - 1, F.lit(UNKNOWN)))).alias("score"),
-                (-b).alias("back"),
-            ),
-        )
-        return F.concat(best, F.array(F.array_max(F.filter(found, lambda x: x.score.isNotNull()))))
+    def way(best, loss, begin):
+        return F.struct((F.get(best, begin).loss + loss).alias("loss"), begin.alias("begin"))
 
-    table = F.aggregate(F.sequence(F.lit(1), n), start, reach)
+    def reach(best, end):
+        found = F.transform(F.filter(edges, lambda e: e.end == end), lambda e: way(best, e.loss, e.begin))
+        return F.concat(best, F.array(F.array_min(F.concat(found, F.array(way(best, F.lit(-UNKNOWN), end - 1))))))
+
+    start = F.array(F.struct(F.lit(0.0).alias("loss"), F.lit(0).alias("begin")))
     walk = F.aggregate(
         F.sequence(F.lit(1), n),
-        F.struct(table.alias("table"), F.array(n).alias("bounds")),
-        lambda a, _: F.struct(a["table"].alias("table"), F.when(F.get(a.bounds, F.lit(0)) > 0, F.concat(F.array(-F.get(a["table"], F.get(a.bounds, F.lit(0))).back), a.bounds)).otherwise(a.bounds).alias("bounds")),
+        F.struct(F.aggregate(F.sequence(F.lit(1), n), start, reach).alias("best"), F.array(n).alias("bounds")),
+        lambda a, _: F.struct(a.best.alias("best"), F.when(F.get(a.bounds, F.lit(0)) > 0, F.concat(F.array(F.get(a.best, F.get(a.bounds, F.lit(0))).begin), a.bounds)).otherwise(a.bounds).alias("bounds")),
     )
     return walk.bounds
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """Columns with `word` (distinct rows, at most MAX_WORD characters) -> the same and bounds: where pieces begin and end."""
-    edges, n = F.col("edges"), F.length("word")
-    bounds = _merged(edges, n) if pieces.merges else _viterbi(edges, n, pieces.longest)
+    n = F.length("word")
+    bounds = let(F.col("edges"), lambda edges: _merged(edges, n) if pieces.merges else _viterbi(edges, n))
     return _edges(words, pieces).select(*words.columns, bounds.alias("bounds"))
 
 
@@ -216,38 +267,57 @@ def _scanned(docs: DataFrame) -> DataFrame:
         return written(docs, "scan").select("*", *where)
 
 
-def _block_words(docs: DataFrame, prefix: bool) -> DataFrame:
-    """(_block, word): words of each block, up to MAX_WORD characters, once a batch."""
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None], pa.RecordBatch]]:
+    """(block, texts, rows) of up to ROWS rows of one block."""
+    blocks = batch.column("_block").to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    for low, high in zip(edges, edges[1:], strict=False):
+        for at in range(low, high, ROWS):
+            rows = batch.slice(at, min(ROWS, high - at))
+            yield int(blocks[at]), rows.column("text").to_pylist(), rows
+
+
+def _block_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(_block, word): words of each block of 2 to MAX_WORD characters, hardly ever twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, set[str]] = {}
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(block, set()).update(cut(text, prefix))
-            for block, words in found.items():
-                words = [w for w in words if len(w) <= MAX_WORD]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block), pa.int64()), pa.array(words, pa.string())], ["_block", "word"])
+        own = shared.value
+        block, seen, listed = None, set(), set()
+        for here, texts, _ in (x for b in batches for x in _slices(b)):
+            if here != block or len(seen) > SEEN:
+                block, seen, listed = here, set(), set()
+            fresh = {w for t in texts for w in runs(t, own.prefix)} - seen
+            if not fresh:
+                continue
+            seen |= fresh
+            words = {w for w in split_runs(list(fresh), own)[0] if 2 <= len(w) <= MAX_WORD} - listed
+            listed |= words
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block), pa.int64()), pa.array(list(words), pa.string())], ["_block", "word"])
 
     return docs.select("_block", "text").mapInArrow(run, "_block long, word string")
 
 
-def dictionaries(docs: DataFrame, pieces: Pieces, folder: str) -> str:
-    """Write one dictionary a block, in up to SLOTS files of words cut by spaces; the folder they are in.
+def dictionaries(docs: DataFrame, pieces: Pieces) -> str:
+    """Write the pieces of the words of each block, as words cut by spaces; the folder they are in.
 
-    The only exchange deals the words of a block over SLOTS tasks. Words are not compared between blocks: that would
-    take two more exchanges, to save the third of the words that blocks share.
+    A word is folded once for the whole table. Its pieces are joined to the blocks that hold it (a common word has a
+    short row for each block, no more), and the rows of a block, which its texts bound, meet in one task.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")
-    dealt = _block_words(docs, pieces.prefix).select("_block", slot, "word").repartition(n, "_block", "slot").distinct()
+    spark = docs.sparkSession
+    n, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, "sentencepiece")
+    found = written(_block_words(docs, pieces), "words")
 
     def pieces_of(bounds):
         ends = F.slice(bounds, 2, F.size(bounds) - 1)
         return F.array_join(F.transform(ends, lambda e, i: F.substring(F.col("word"), F.get(bounds, i) + 1, e - F.get(bounds, i))), " ")
 
+    words = found.select("word").repartition(n, "word").distinct()
     cuts = let(F.col("bounds"), pieces_of)  # the fold runs once a word
-    encode_words(dealt, pieces).select("_block", cuts.alias("cuts")).write.partitionBy("_block").parquet(f"{folder}/dictionaries")
-    return f"{folder}/dictionaries"
+    known = encode_words(words, pieces).select("word", cuts.alias("cuts"))
+    placed = found.join(known, "word").select("_block", "cuts").repartition(n, "_block")
+    placed.write.partitionBy("_block").parquet(folder)
+    return folder
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
@@ -264,9 +334,9 @@ def encode_summary(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     in the task that encodes, so that ids are not passed on."""
 
     def digest(doc_ids: pa.Array, offsets: np.ndarray, values: np.ndarray, own: Pieces) -> list[pa.Array]:
-        parts = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        crcs = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
-        texts = [hashlib.sha256(decode_ids(p.tolist(), own).encode()).hexdigest() for p in parts]
+        edges = offsets.tolist()
+        crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+        texts = [hashlib.sha256(t.encode()).hexdigest() for t in decode_many(values, offsets, own)]
         return [doc_ids, pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(texts, pa.string())]
 
     return _encoded(docs, pieces, digest, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")
@@ -276,31 +346,45 @@ def _encoded(docs: DataFrame, pieces: Pieces | None, emit: Callable, schema: str
     """emit(doc_ids, offsets, values, pieces) makes the columns of `schema` from the ids of some documents."""
     pieces = pieces or load_pieces()
     base = _scanned(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    folder = dictionaries(base, pieces, new_path(docs.sparkSession, "sentencepiece"))
+    folder = dictionaries(base, pieces)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        block, cuts, known = None, {}, {}
-        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            out = []
-            for here, text in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if here != block:
-                    cuts = known = {}  # let the old ones go first
-                    block, cuts, known = here, _load(f"{folder}/_block={here}"), {}
-                words = cut(text, own.prefix)
-                for word in {w for w in words if w not in known}:
-                    parts = cuts.pop(word).split(" ") if len(word) <= MAX_WORD else _long_word(word, own)
-                    known[word] = np.array(piece_ids(parts, own), "<i4").tobytes()
-                out.append(b"".join([known[w] for w in words]))
+        block, lookup, known = None, None, {}
+        for here, texts, rows in (x for b in batches for x in _slices(b)):
+            if here != block:
+                lookup, known = None, {}  # let the old ones go first
+                block, lookup = here, WordIds(_load(f"{folder}/_block={here}"), own)
+            found = [runs(t, own.prefix) for t in texts]
+            if fresh := list({w for words in found for w in words if w not in known}):
+                known.update(zip(fresh, lookup.of_runs(fresh), strict=True))
+            out = [b"".join([known[w] for w in words]) for words in found]
             offsets = np.cumsum([0, *map(len, out)]) // 4
             values = np.frombuffer(b"".join(out), "<i4")
-            yield pa.RecordBatch.from_arrays(emit(part.column(0), offsets, values, own), names)
+            yield pa.RecordBatch.from_arrays(emit(rows.column("doc_id"), offsets, values, own), names)
 
     return base.select("doc_id", "text", "_block").mapInArrow(run, schema)
 
 
+class WordIds:
+    """Ids of words as bytes, by a block's dictionary."""
+
+    def __init__(self, cuts: dict[str, str], pieces: Pieces):
+        self.cuts, self.pieces = cuts, pieces
+        self.known: dict[str, bytes] = {}
+
+    def of_runs(self, found: list[str]) -> list[bytes]:
+        words, counts = split_runs(found, self.pieces)
+        for w in {w for w in words if w not in self.known}:
+            parts = w if len(w) == 1 else _long_word(w, self.pieces) if len(w) > MAX_WORD else self.cuts.pop(w).split(" ")
+            self.known[w] = np.array(piece_ids(parts, self.pieces), "<i4").tobytes()
+        ids = [self.known[w] for w in words]
+        edges = [0, *np.cumsum(counts).tolist()]
+        return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _load(folder: str) -> dict[str, str]:
     """word -> the word with spaces between its pieces (a word holds none itself)."""
     from pyarrow import fs
@@ -338,6 +422,17 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return text[1:] if pieces.prefix and text.startswith(" ") else text
 
 
+def decode_many(values: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> list[str]:
+    """decode_ids of values[offsets[i] : offsets[i + 1]] for each i; ids must be those of the model."""
+    data, begins, sizes = pieces.stored
+    size = sizes[values]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(begins[values] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    at = ends[offsets].tolist()
+    texts = [flat[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(at, at[1:], strict=False)]
+    return [t[1:] if pieces.prefix and t.startswith(" ") else t for t in texts]
+
+
 def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id, ids -> doc_id, text."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces or load_pieces())

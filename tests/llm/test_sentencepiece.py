@@ -26,7 +26,7 @@ def random_texts(n):
 def test_merges_equal_the_library(library):
     pieces = sl.load_pieces()
     for t in [*TEXTS, *random_texts(300)]:
-        ids = [i for w in sl.cut(t) for i in sl.piece_ids(sl.merge_word(w, pieces.scores), pieces)]
+        ids = [i for w in sl.cut(t, pieces) for i in sl.piece_ids(sl.merge_word(w, pieces.scores), pieces)]
         assert ids == library.encode(t or "")
         assert sl.decode_ids(ids, pieces) == (t or "")
 
