@@ -26,9 +26,11 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -107,10 +109,12 @@ def load_pieces(path: str | None = None) -> Pieces:
 
 
 def runs(text: str | None, prefix: bool = True) -> list[str]:
-    """A text cut before its space marks."""
+    """A text cut before its runs of space marks."""
     if not text:
         return []
-    return _runs((SPACE if prefix else "") + text.replace(" ", SPACE))
+    if "  " in text or SPACE in text or text[0] == " ":
+        return _runs((SPACE if prefix else "") + text.replace(" ", SPACE))
+    return ((SPACE if prefix else "") + text.replace(" ", f" {SPACE}")).split(" ")
 
 
 def split_runs(found: list[str], pieces: Pieces) -> tuple[list[str], np.ndarray]:
@@ -287,7 +291,7 @@ def _block_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for here, texts, _ in (x for b in batches for x in _slices(b)):
             if here != block or len(seen) > SEEN:
                 block, seen, listed = here, set(), set()
-            fresh = {w for t in texts for w in runs(t, own.prefix)} - seen
+            fresh = set(chain.from_iterable(runs(t, own.prefix) for t in texts)).difference(seen)
             if not fresh:
                 continue
             seen |= fresh
@@ -352,15 +356,16 @@ def _encoded(docs: DataFrame, pieces: Pieces | None, emit: Callable, schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        bytes_of = _PieceBytes(own)
         block, lookup, known = None, None, {}
         for here, texts, rows in (x for b in batches for x in _slices(b)):
             if here != block:
                 lookup, known = None, {}  # let the old ones go first
-                block, lookup = here, WordIds(_load(f"{folder}/_block={here}"), own)
+                block, lookup = here, WordIds(_load(f"{folder}/_block={here}", bytes_of), own, bytes_of)
             found = [runs(t, own.prefix) for t in texts]
-            if fresh := list({w for words in found for w in words if w not in known}):
+            if fresh := list(set(chain.from_iterable(found)).difference(known)):
                 known.update(zip(fresh, lookup.of_runs(fresh), strict=True))
-            out = [b"".join([known[w] for w in words]) for words in found]
+            out = [b"".join(map(known.__getitem__, words)) for words in found]
             offsets = np.cumsum([0, *map(len, out)]) // 4
             values = np.frombuffer(b"".join(out), "<i4")
             yield pa.RecordBatch.from_arrays(emit(rows.column("doc_id"), offsets, values, own), names)
@@ -368,34 +373,53 @@ def _encoded(docs: DataFrame, pieces: Pieces | None, emit: Callable, schema: str
     return base.select("doc_id", "text", "_block").mapInArrow(run, schema)
 
 
+class _PieceBytes(dict):
+    """Ids of a piece as bytes, remembered for each piece met."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = np.array(piece_ids([piece], self.pieces), "<i4").tobytes()
+        return found
+
+
 class WordIds:
-    """Ids of words as bytes, by a block's dictionary."""
+    """Ids of runs as bytes, by a dictionary of words that grows with the single characters and long words met."""
 
-    def __init__(self, cuts: dict[str, str], pieces: Pieces):
-        self.cuts, self.pieces = cuts, pieces
-        self.known: dict[str, bytes] = {}
+    def __init__(self, known: dict[str, bytes], pieces: Pieces, bytes_of: _PieceBytes):
+        self.known, self.pieces, self.bytes_of = known, pieces, bytes_of
 
     def of_runs(self, found: list[str]) -> list[bytes]:
         words, counts = split_runs(found, self.pieces)
-        for w in {w for w in words if w not in self.known}:
-            parts = w if len(w) == 1 else _long_word(w, self.pieces) if len(w) > MAX_WORD else self.cuts.pop(w).split(" ")
-            self.known[w] = np.array(piece_ids(parts, self.pieces), "<i4").tobytes()
-        ids = [self.known[w] for w in words]
+        for w in set(words).difference(self.known):
+            if 1 < len(w) <= MAX_WORD:
+                raise KeyError(f"the dictionary does not hold {w!r}")
+            parts = _long_word(w, self.pieces) if len(w) > 1 else w
+            self.known[w] = b"".join(map(self.bytes_of.__getitem__, parts))
+        ids = list(map(self.known.__getitem__, words))
         edges = [0, *np.cumsum(counts).tolist()]
         return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _load(folder: str) -> dict[str, str]:
-    """word -> the word with spaces between its pieces (a word holds none itself)."""
+def _load(folder: str, bytes_of: _PieceBytes) -> dict[str, bytes]:
+    """word -> ids as bytes, of the words in a folder."""
     from pyarrow import fs
 
     files, path = file_system(folder)
-    out: dict[str, str] = {}
+    out: dict[str, bytes] = {}
     for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        if info.path.endswith(".parquet"):
-            with files.open_input_file(info.path) as f:
-                cuts = pq.read_table(f, columns=["cuts"]).column("cuts").to_pylist()
-            out.update((c.replace(" ", ""), c) for c in cuts)
+        if not info.path.endswith(".parquet"):
+            continue
+        with files.open_input_file(info.path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(50_000, columns=["cuts"]):
+                cuts = batch.column(0)
+                words = pc.replace_substring(cuts, " ", "").to_pylist()
+                last = np.cumsum(pc.count_substring(cuts, " ").to_numpy(zero_copy_only=False) + 1)
+                ids = list(map(bytes_of.__getitem__, " ".join(cuts.to_pylist()).split(" ")))
+                ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last - 1].tolist()
+                data = b"".join(ids)
+                out.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
     return out
 
 
