@@ -5,8 +5,8 @@ characters: at each place by the longest known n-gram that begins there, from MA
 score is the sum over its words; the language with the highest sum wins, ties go to the first in alphabetical order.
 
 The classifier is fitted on a bounded sample: about `max_training_docs` labelled documents, drawn over all of them by a
-hash, and the `max_words` most frequent words and `max_ngrams` most frequent n-grams of each order. So the model that
-is sent to the tasks has a fixed bound. Prediction reads every whole text.
+hash of id and text. It keeps every word and n-gram of that sample, so the sample bounds the model that is sent to the
+tasks. Prediction reads every whole text. Letters are those of the Unicode categories L*.
 
 Defined results: a null text or one without letters is `und` with score 0, and so is every text if there is nothing to
 learn from; repeated rows give equal rows; other columns are ignored by prediction.
@@ -26,13 +26,20 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 MAX_ORDER = 4
-MAX_TRAINING_DOCS = 8_000
-MAX_WORDS = 60_000
-MAX_NGRAMS = 20_000
+MAX_TRAINING_DOCS = 2_000
 SMOOTH = 0.5
 CACHE = 300_000
 
-_words = re.compile(r"[^\W\d_]+").findall
+ROWS = 500  # texts held at a time
+_runs = re.compile(r"[^\W\d_]+").findall  # letters, and numerics that are no decimal digits
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters."""
+    found = _runs(text)
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 @dataclass(frozen=True)
@@ -56,13 +63,13 @@ def _ngrams(word: str, order: int) -> list[str]:
     return [edged[i : i + order] for i in range(len(edged) - order + 1)]
 
 
-def train(docs: DataFrame, max_training_docs: int = MAX_TRAINING_DOCS, max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS) -> Model:
+def train(docs: DataFrame, max_training_docs: int = MAX_TRAINING_DOCS) -> Model:
     """Learn from text and lang of the documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     total = usable.count()
     buckets = 1 << 20
     share = min(buckets, max_training_docs * buckets // max(1, total))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) < share).select("lang", "text")
+    sample = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)) < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,12 +91,10 @@ def train(docs: DataFrame, max_training_docs: int = MAX_TRAINING_DOCS, max_words
 
     counts = sample.mapInArrow(count, "lang string, ord int, gram string, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
     # Languages are few; a gram's row holds its counts in all of them.
-    grams = counts.groupBy("ord", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"), F.sum("n").alias("total"))
-    grams = grams.where("total > 1").persist()
-    try:
-        kept = [grams.where(F.col("ord") == k).orderBy(F.desc("total"), "gram").limit(max_words if k == 0 else max_ngrams).collect() for k in range(MAX_ORDER + 1)]
-    finally:
-        grams.unpersist()
+    grams = counts.groupBy("ord", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+    kept: list[list] = [[] for _ in range(MAX_ORDER + 1)]
+    for row in sorted(grams.collect(), key=lambda r: (r.ord, r.gram)):  # as many as the sample holds
+        kept[row.ord].append(row)
     langs = sorted({lang for rows in kept for r in rows for lang in r.n})
 
     def logs(rows) -> np.ndarray:
@@ -160,20 +165,21 @@ class Scorer:
         return self.texts([text])[0]
 
 
-def _pieces(values: list, size: int = 500) -> Iterator[list]:
-    for at in range(0, len(values), size):
-        yield values[at : at + size]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text -> doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words + MAX_ORDER * max_ngrams rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            rows = [r for some in _pieces(batch.column(1).to_pylist()) for r in scorer.texts(some)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for part in _slices(batches):
+            rows = scorer.texts(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -181,18 +187,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of the documents whose language is identified; `und` documents go.
 
-    Those are the texts without letters. If there was nothing to learn from, texts with letters stay all the same.
+    Those are the texts without letters. If there was nothing to learn from, texts with letters stay all the same. The
+    language itself is not passed on, since the stages of a pipeline keep the columns that they were given.
     """
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = batch.column(columns.index("text")).to_pylist()
-            if scorer.model.langs:
-                keep = [r[0] != UNKNOWN for some in _pieces(texts) for r in scorer.texts(some)]
-            else:
-                keep = [bool(_words(t or "")) for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in _slices(batches):
+            texts = part.column(columns.index("text")).to_pylist()
+            keep = [r[0] != UNKNOWN for r in scorer.texts(texts)] if scorer.model.langs else [bool(_words(t or "")) for t in texts]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
