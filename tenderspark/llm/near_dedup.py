@@ -9,6 +9,10 @@ Links are confirmed on full shingle sets (64-bit hashes of the shingles). Only c
 not expanded into its pairs: equal sets collapse to one representative first, each bucket is compared with two pivots,
 and only members that are still in different components of a bucket are compared further, in blocks.
 
+Hot groups: copies find the first of their set by way of the first of a place, and the pairs of a pivot meet its text in
+parts, so neither brings a group into one task. Buckets meet their pivots as ids only, in a join of two written tables,
+which adaptive execution splits where one bucket is large.
+
 Defined results: a null or blank text has an empty set, is linked with nothing and is kept; repeated rows of a document
 are one node of the graph and give one row each; rows without doc_id are returned with no component and kept; an empty
 table gives an empty table; ties fall to the smallest doc_id; other columns are ignored.
@@ -25,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.llm.components import connected_components
-from tenderspark.llm.shared import written
+from tenderspark.llm.shared import unused, written
 from tenderspark.llm.shingles import mix, shingle_sets
 
 SLOTS = 1 << 20
 ROWS, BANDS = 7, 40
 SEED = 20
-BLOCK = 256  # members of a residual block
+BLOCK, BLOCK_BYTES = 256, 8 << 20  # members and text of a residual block
+PLACES = 1024  # rows of one key are dealt over so many places
+PAIRS = 2_000  # pairs of one pivot that meet its text in a task
 _CHUNK = 1 << 13  # shingles worked on at once
 
 
@@ -105,7 +111,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) -> the pairs whose full shingle sets are similar enough. texts: node, body."""
+    """(a, b) -> the pairs whose full shingle sets are similar enough. texts: node, body. An `a` may have very many
+    pairs, a `b` has few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,10 +125,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 keep = [similar(sets[unique[x]], sets[unique[y]], percent) for x, y in zip(left, right, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    a = texts.selectExpr("node a", "body left_body")
-    b = texts.selectExpr("node b", "body right_body")
-    # b first: pairs of one pivot a, which may be many, meet its text last and side by side.
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "left_body", "right_body")
+    placed = pairs.withColumn("place", F.pmod(F.xxhash64("b"), F.lit(PLACES)))
+    counts = placed.groupBy("a", "place").agg(F.count("*").alias("n"))
+    total = counts.groupBy("a").agg(F.sum("n").alias("n"))
+    parts = counts.select("a", "place").join(total, "a").select("a", "place", F.pmod("place", F.ceil(F.col("n") / PAIRS)).alias("part"))
+    dealt = written(placed.join(parts, ["a", "place"]).select("a", "b", "part"), "pairs")
+    left = dealt.select("a", "part").distinct().join(texts.selectExpr("node a", "body left_body"), "a")
+    right = dealt.join(texts.selectExpr("node b", "body right_body"), "b")
+    both = right.join(left, ["a", "part"]).select("a", "b", "left_body", "right_body")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -156,12 +167,18 @@ def _residual_links(rest: DataFrame, texts: DataFrame, width: int, percent: int)
     """Links among the members of each bucket of `rest` (bucket, member, component) that join different components.
 
     The largest component of a bucket is its core, the other members are strays. Both are dealt into blocks of about
-    BLOCK members. Blocks of strays meet each other and those of the core; blocks of the core do not meet each other,
+    BLOCK members and BLOCK_BYTES of text. Blocks of strays meet each other and those of the core; blocks of the core do not meet each other,
     for their members are linked already. So a core member is sent as often as there are blocks of strays.
     """
-    sizes = rest.groupBy("bucket", "component").count()
-    core = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("core"), F.sum("count").alias("n"))
-    blocks = core.select("bucket", F.col("core.component").alias("core"), F.ceil(F.col("core.count") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("core.count")) / BLOCK).cast("int").alias("q"))
+    weights = texts.groupBy(F.col("node").alias("member")).agg(F.sum(F.octet_length("body")).alias("bytes"))
+    sizes = rest.join(weights, "member").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    core = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "bytes")).alias("core"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks_of(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+    p, q = blocks_of(F.col("core.n"), F.col("core.bytes")), blocks_of(F.col("n") - F.col("core.n"), F.col("bytes") - F.col("core.bytes"))
+    blocks = core.select("bucket", F.col("core.component").alias("core"), p.alias("p"), q.alias("q"))
     placed = rest.join(blocks, "bucket").withColumn("in_core", F.col("component") == F.col("core"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("member"), F.when(F.col("in_core"), F.col("p")).otherwise(F.col("q"))).cast("int"))
     p, q, own = F.col("p"), F.col("q"), F.col("own")
@@ -176,6 +193,16 @@ def _residual_links(rest: DataFrame, texts: DataFrame, width: int, percent: int)
     return bodies.groupBy("bucket", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, width, percent), "a long, b long").distinct()
 
 
+def _copies(full: DataFrame) -> DataFrame:
+    """(a, b): documents of equal sets, each linked to the first of its place and that to the first of all."""
+    placed = full.select("key_a", "key_b", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"), "doc_id")
+    firsts = placed.groupBy("key_a", "key_b", "place").agg(F.min("doc_id").alias("near"), F.count("*").alias("n"))
+    groups = firsts.groupBy("key_a", "key_b").agg(F.min("near").alias("a"), F.sum("n").alias("all")).where("all > 1")
+    up = firsts.join(groups, ["key_a", "key_b"]).select("a", F.col("near").alias("b"))
+    down = placed.join(firsts.where("n > 1"), ["key_a", "key_b", "place"]).select(F.col("near").alias("a"), F.col("doc_id").alias("b"))
+    return up.union(down).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept, one row an input row."""
     rows = written(sketch(docs, width), "sketch")
@@ -184,13 +211,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = sets.select(F.col("first.doc_id").alias("member"), F.explode("first.bands").alias("bucket")).distinct()
     members = written(members, "members")
     pivots = members.groupBy("bucket").agg(F.min("member").alias("pivot"), F.min(F.struct(F.xxhash64("member").alias("h"), "member")).alias("other"), F.max("member").alias("last"))
-    pivots = pivots.where("pivot <> last").selectExpr("bucket", "pivot", "other.member other")
+    pivots = written(pivots.where("pivot <> last").selectExpr("bucket", "pivot", "other.member other"), "pivots")
     meet = written(members.join(pivots, "bucket"), "buckets")
     texts = docs.selectExpr("CAST(doc_id AS long) node", "text body").join(meet.selectExpr("member node").distinct(), "node", "left_semi")
     texts = written(texts, "texts")
     pairs = meet.selectExpr("pivot x", "member y").union(meet.selectExpr("other x", "member y")).where("x <> y")
-    pairs = pairs.selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
-    same = full.join(sets.selectExpr("key_a", "key_b", "first.doc_id a"), ["key_a", "key_b"]).selectExpr("a", "doc_id b").where("a <> b").distinct()
+    pairs = pairs.groupBy(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).agg(F.min("x").alias("a"))
+    pairs = pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+    same = _copies(full)
     links = written(confirm(pairs, texts, width, percent), "links")
     found = connected_components(links)
 
@@ -209,9 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of `docs`, one document of each component: that of the smallest doc_id."""
-    copies = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+    """All columns of `docs`, one document of each component: that of the smallest doc_id. Rows without doc_id stay,
+    and so do repeated rows of the document that is kept; columns may have any names."""
+    name = unused("copy", docs)
+    copies = near_duplicates(docs.select("doc_id", "text"), width, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 #: 2-word shingles, similarity 0.8: all pairs with a common shingle, then everything reachable.

@@ -93,3 +93,19 @@ def test_links_that_no_pivot_sees(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {tuple(r)[:3] for r in nd.near_duplicates(df, 2).collect()}
     assert got == brute(docs, 2)
+
+
+def test_small_parts_and_blocks_give_the_same(spark, monkeypatch):
+    docs = corpus(8, 200) + [(5000 + i, "same text of every copy here") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for name, value in (("PAIRS", 2), ("BLOCK", 3), ("BLOCK_BYTES", 500), ("PLACES", 4)):
+        monkeypatch.setattr(nd, name, value)
+    assert {tuple(r)[:3] for r in nd.near_duplicates(df, 2).collect()} == brute(docs, 2)
+
+
+def test_stage_with_clashing_names(spark):
+    docs = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words than those"), (None, "x"), (2, "other words than those")]
+    df = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "doc_id long, text string, copy int, _copy int, component_id int")
+    kept = nd.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 1, 2, 2]
