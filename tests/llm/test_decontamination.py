@@ -14,12 +14,13 @@ def brute(docs, items):
         w = cut(text)
         for k, item in items:
             x = [v for v in cut(item) if v]
-            if len(x) < 13:
+            if len(x) < 5:
                 continue
+            least = dc.SHORT.get(len(x), 11)
             for shift in range(-len(x), len(w)):
                 same = [0 <= i + shift < len(w) and w[i + shift] == v for i, v in enumerate(x)]
-                best = max(sum(same[i : i + 13]) for i in range(len(x) - 12))
-                if best >= 11:
+                best = max(sum(same[i : i + 13]) for i in range(max(1, len(x) - 12)))
+                if best >= least:
                     row = (best, sum(same), -shift, len(x))
                     out[d, k] = max(out.get((d, k), row), row)
     return {(d, k, n, best, same, -back) for (d, k), (best, same, back, n) in out.items()}
@@ -33,12 +34,12 @@ def test_masks_cover_every_window_with_two_substitutions():
 def test_against_brute_force(spark):
     r = random.Random(4)
     words = [f"w{k}" for k in range(60)]
-    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([5, 13, 20, 30])))) for k in range(12)] + [(50, None), (51, "")]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([4, 5, 6, 7, 9, 10, 11, 12, 13, 20, 30])))) for k in range(24)] + [(50, None), (51, "")]
     docs = []
-    for i in range(120):
+    for i in range(240):
         w = [r.choice(words) for _ in range(r.choice([0, 3, 40]))]
         if r.random() < 0.7:
-            x = r.choice(items[:12])[1].split()
+            x = r.choice(items[:24])[1].split()
             for _ in range(r.choice([0, 1, 2, 3, 5])):
                 x[r.randrange(len(x))] = r.choice(words)
             if r.random() < 0.3:
@@ -62,6 +63,19 @@ def test_against_brute_force(spark):
     assert dc.leaks(df.limit(0), bench).count() == 0 and dc.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_with_one_substitution_hold_a_seed():
+    for n, least in dc.SHORT.items():
+        for wrong in range(n) if least < n else []:
+            assert any(wrong not in {o + p for p in m} for m in dc.MASKS for o in range(n - dc.SPAN + 1))
+
+
+def test_stage_with_clashing_names(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, item, 0, 0, 0), (2, "clean", 0, 0, 0), (None, item, 0, 0, 0)], "doc_id long, text string, leaking int, _leaking int, shift int")
+    kept = dc.drop_leaking(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
