@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tenderspark.llm import licenses as li
 
 
@@ -59,3 +61,24 @@ def test_own_templates_and_native_plan(spark):
     assert [tuple(r) for r in found.collect()] == [(1, "own", 1, 1.0)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_recall_of_one_shingle_in_a_window(spark):
+    """Windows of four random shingles, the first of which is a template's: the share with it as a minimum in some band."""
+    n = 20_000
+    hashes = spark.range(n).select(F.array(*(F.xxhash64("id", F.lit(k)) for k in range(li.STRIDE))).alias("s"))
+    both = hashes.select(li._minima(F.col("s"), F.lit(0), li.STRIDE).alias("window"), li._minima(F.col("s"), F.lit(0), 1).alias("template"))
+    assert both.where(F.arrays_overlap("window", "template")).count() > 0.995 * n
+
+
+def test_each_one_line_notice_is_found(spark):
+    r = random.Random(5)
+    lines = {k: t for k, t in li.TEMPLATES.items() if len(cut(t)) < 14}
+    docs = []
+    for i in range(400):
+        name = r.choice(list(lines))
+        noise = [f"x{r.randrange(10**6)}" for _ in range(40)]
+        at = r.randrange(40)
+        docs.append((i, " ".join([*noise[:at], lines[name], *noise[at:]]), name))
+    found = {(x.doc_id, x.license) for x in li.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, name string")).collect()}
+    assert sum((i, name) in found for i, _, name in docs) >= 0.99 * len(docs)
