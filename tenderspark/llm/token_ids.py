@@ -3,14 +3,15 @@
 A shard is two files: `<name>.ids`, the little-endian ids of its documents one after another and nothing else, and
 `<name>.idx`, a perfect hash of the document keys with, for each slot, a fingerprint, the offset and the id count. A
 lookup hashes the key, compares the fingerprint and reads one range. Shards follow ascending doc_id: documents are
-range-partitioned by doc_id and sorted within a partition, which spills to disk and never meets in one task.
+range-partitioned by doc_id and, where a doc_id repeats, by the beginning of the text, and sorted within a partition,
+which spills to disk and never meets in one task. `manifest` tells the first and last key of each shard.
 
 Texts are split as the byte-level vocabulary splits them, and each distinct part is encoded once by the tokenizers
 library; ids of a text are those of its parts (test: equal to encoding whole texts). Added tokens of the vocabulary are
 recognised as the library does: a text that holds one is encoded whole.
 
 Defined results: a null text is empty and holds only the end id; repeated rows of one doc_id each get their own ids,
-in the order of their text, and share the key of the first; a null doc_id sorts first and has no key; an empty table
+in the order of their text, and share the key of the first of their shard; a null doc_id sorts first and has no key; an empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -20,9 +21,11 @@ import functools
 import io
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ from tenderspark.llm.shared import file_system, new_path
 END_ID = 2
 #: Fixed by the vocabulary: how byte-level texts are cut before merging.
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000  # distinct parts remembered by a task at a time
+#: The same with the classes of the standard library, which agree on most characters and are cut faster.
+PLAIN_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+CACHE = 600_000  # distinct parts remembered by a task at a time
 BATCH_BYTES = 4 << 20
 SHARD_DOCS_SCHEMA = "shard string, pos int, doc_id long, n_tokens long, shard_start long, has_key boolean"
 
@@ -51,48 +56,51 @@ class PartEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind = Tokenizer.from_str(tokenizer_json), kind
         self.added = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"] if t["content"]]
-        self.cut = regex.compile(PARTS).findall
+        self.cut, self.cut_plain = regex.compile(PARTS).findall, re.compile(PLAIN_PARTS).findall
+        self.kinds = [regex.compile(c) for c in (r"\p{L}", r"\p{N}", r"\s")], [re.compile(c) for c in (r"[^\W\d_]", r"\d", r"\s")]
+        self.plain: set[str] = set()  # characters that both patterns put into the same class
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before; parts that are met again move on
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        known, older, out = self.known, self.older, []
-        for text in texts:
-            if any(a in text for a in self.added):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes())
-                continue
-            parts = self.cut(text)
-            fresh = []
-            for p in {p for p in parts if p not in known}:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    fresh.append(p)
-            if fresh:
-                self._learn(fresh)
-            out.append(b"".join([known[p] for p in parts]))
-        return out
+        known, older = self.known, self.older
+        whole = [any(a in text for a in self.added) for text in texts]
+        cuts = [[] if w else self.cut_plain(t) if self._is_plain(t) else self.cut(t) for t, w in zip(texts, whole, strict=True)]
+        if new := set(chain.from_iterable(cuts)).difference(known):
+            fresh = new.difference(older)
+            known.update((p, older[p]) for p in new - fresh)
+            self._learn(list(fresh))
+        return [self._encode_whole(t) if w else b"".join(map(known.__getitem__, parts)) for t, w, parts in zip(texts, whole, cuts, strict=True)]
+
+    def _encode_whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        new = set(text).difference(self.plain)
+        agree = {c for c in new if [bool(k.match(c)) for k in self.kinds[0]] == [bool(k.match(c)) for k in self.kinds[1]]}
+        self.plain |= agree
+        return len(agree) == len(new)
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode parts. Those of a space and letters are encoded in one string, which the library cuts before each
         space just as it did in the text; its word numbers tell the parts apart."""
+        size = np.dtype(self.kind).itemsize
         plain = [p for p in fresh if p[0] == " " and p[1:].isalpha()]
-        rest = fresh if len(plain) < 8 else [p for p in fresh if not (p[0] == " " and p[1:].isalpha())]
-        for at in range(0, len(plain) if len(plain) >= 8 else 0, 1000):
+        rest = [p for p in fresh if not (p[0] == " " and p[1:].isalpha())] if len(plain) < len(fresh) else []
+        for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            whole = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(np.array(whole.word_ids))) + 1
-            if len(cuts) + 1 == len(some):
-                data, size = np.array(whole.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
-                ends = [*(cuts * size).tolist(), len(data)]
-                self.known.update((p, data[a:b]) for p, a, b in zip(some, [0, *ends], ends, strict=False))
+            joined = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ends = ((np.flatnonzero(np.diff(np.array(joined.word_ids))) + 1) * size).tolist()
+            if len(ends) + 1 == len(some):
+                data = np.array(joined.ids, self.kind).tobytes()
+                self.known.update((p, data[a:b]) for p, a, b in zip(some, [0, *ends], [*ends, len(data)], strict=True))
             else:
-                rest = rest + some
+                rest += some
         for at in range(0, len(rest), 1000):
             some = rest[at : at + 1000]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[p] = np.array(e.ids, self.kind).tobytes()
 
 
@@ -176,7 +184,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None
             out.write(_index_bytes(np.ascontiguousarray(table[:, 0]), table[:, 1], table[:, 2]))
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    dealt = dealt.repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(write, SHARD_DOCS_SCHEMA).write.parquet(f"{folder}/documents")
     return spark.read.schema(SHARD_DOCS_SCHEMA).parquet(f"{folder}/documents").withColumn("folder", F.lit(folder)).withColumn("kind", F.lit(kind))
 
@@ -224,6 +233,8 @@ def read_ids(written: DataFrame) -> DataFrame:
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select(F.col("shard").alias("of"), F.coalesce(before, F.lit(0)).alias("base"))  # as many rows as shards
     placed = written.join(base, F.col("shard") == F.col("of")).select("folder", "kind", "shard", "doc_id", "n_tokens", "shard_start", "has_key", "base")
+    # The table is small beside the ids, so its own files say nothing about the work: a task a shard, as when writing.
+    placed = placed.repartition(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "shard_start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reader = None, None
@@ -255,9 +266,17 @@ def read_ids(written: DataFrame) -> DataFrame:
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, keyed boolean")
 
 
-def lookup(folder: str, shards: list[str], kind: str, key: int) -> np.ndarray | None:
-    """ids of one document by key: a hash, a fingerprint and one range read for each shard asked."""
-    for name in shards:
+def manifest(written: DataFrame) -> DataFrame:
+    """Rows of write_ids -> shard, first, last: the keys of each shard (one row a shard)."""
+    return written.where("has_key").groupBy("shard").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def lookup(folder: str, shards: list[tuple[str, int, int]], kind: str, key: int) -> np.ndarray | None:
+    """ids of one document by key: a hash, a fingerprint and one range read in the shard whose keys span it. `shards`
+    are the rows of `manifest`."""
+    for name, first, last in shards:
+        if not first <= key <= last:
+            continue
         reader = ShardReader(folder, name, kind)
         offsets, counts = reader.find(np.array([key], np.int64))
         if offsets[0] >= 0:
