@@ -185,7 +185,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocabulary: str | None
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = dealt.repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    dealt = dealt.repartitionByRange(n, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(write, SHARD_DOCS_SCHEMA).write.parquet(f"{folder}/documents")
     return spark.read.schema(SHARD_DOCS_SCHEMA).parquet(f"{folder}/documents").withColumn("folder", F.lit(folder)).withColumn("kind", F.lit(kind))
 
@@ -234,7 +234,7 @@ def read_ids(written: DataFrame) -> DataFrame:
     base = totals.select(F.col("shard").alias("of"), F.coalesce(before, F.lit(0)).alias("base"))  # as many rows as shards
     placed = written.join(base, F.col("shard") == F.col("of")).select("folder", "kind", "shard", "doc_id", "n_tokens", "shard_start", "has_key", "base")
     # The table is small beside the ids, so its own files say nothing about the work: a task a shard, as when writing.
-    placed = placed.repartition(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "shard_start")
+    placed = placed.repartition(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("shard")).sortWithinPartitions("shard", "shard_start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reader = None, None
