@@ -30,6 +30,7 @@ from tenderspark.llm.shared import file_system, new_path
 WIDTH = 576
 PAD = b"\xff"
 SHARD_BYTES = 256 << 20
+STRETCH_BYTES = 16 << 20
 HEADER_BYTES = 33
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -186,7 +187,10 @@ def _rows(batch: pa.RecordBatch) -> list[tuple]:
 
 
 def read_headers(index: DataFrame) -> DataFrame:
-    """Metadata columns from header-only range reads."""
+    """Metadata columns from header-only range reads. The index is small beside the media, so its own files say nothing
+    about the work: its rows are dealt by stretches of shards first."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = index.repartition(n, "shard", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("shard", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,5 +236,7 @@ def read_media(headers: DataFrame) -> DataFrame:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """Store, index, fill metadata and read back, for every document."""
-    return read_media(read_headers(store_media(docs)))
+    """Store, index, fill metadata and read back, for every document: the columns that its text alone decides, so that
+    equal texts have equal rows. `store_media` has the places."""
+    found = read_media(read_headers(store_media(docs)))
+    return found.select("doc_id", *(name for name, _ in FEATURE_COLUMNS), "digest", *(name for name, _ in HEADER_COLUMNS))

@@ -36,4 +36,8 @@ def test_table(spark):
             assert media.decode_png(tar.extractfile(f"{r.digest}.png").read()) == payload
     assert rows[1].feature == rows[6].feature
     assert media.canonical(index).count() == 6
+    table = media.media_table(docs.repartition(5))
+    assert table.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    both = [r[1:] for r in table.where("doc_id IN (1, 6)").collect()]
+    assert len(both) == 2 and both[0] == both[1]
     assert media.media_table(docs.limit(0)).count() == 0
