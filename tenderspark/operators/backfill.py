@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenderspark.functions import text
+
 from tenderspark.sources.shared import written
 
 
@@ -100,7 +102,7 @@ def section_append_order(sections: DataFrame, new: DataFrame) -> DataFrame:
 
 def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
     """D-10: name -> company; a new name is created once, under its first spelling."""
-    clean = names.select(F.col("user_id"), F.trim("name").alias("name"), "created_at").where("name <> ''")
+    clean = names.select(F.col("user_id"), text.strip(F.col("name")).alias("name"), "created_at").where("name <> ''")
     created = clean.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("created_at", "name")).alias("f")).select("key", F.col("f.name").alias("fresh"))
     known = companies.select(F.lower("name").alias("key"), "company_id", F.col("name").alias("known"))
     table = created.join(known, "key", "left").select("key", "company_id", F.coalesce("known", "fresh").alias("company"), F.col("known").isNull().alias("is_new"))

@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 from tenderspark.functions import numbers, text as texts
 from tenderspark.functions.columns import let
+from tenderspark.sources.shared import written
 
 SCORE_DIGITS = 6
-BLOCK = 4096  # chunks compared at once
+BLOCK, QUERY_BLOCK = 4096, 1024  # chunks and queries compared at once
 RRF = 60
 TAGS = ["industry", "document_type", "outcome"]
 FLOOR, WEAK_FLOOR = 0.35, 0.20
 LEG_FACTOR, LEG_LEAST = 3, 15
 QUOTE_WORDS, QUOTE_CHARS = 8, 20
 MAX_BROADCAST_QUOTES = 100_000
+MAX_BROADCAST_STARTS = 100_000
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
@@ -69,6 +71,9 @@ def _top(query: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.DataFrame:
                 if (want := getattr(q, t)) is not None:
                     ok &= tags[t] == want
             at = np.flatnonzero(ok)
+            if len(at) > k:  # what reaches the k-th best score, ties included
+                s = scores[i][at]
+                at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
             at = at[np.lexsort((ids[at], -scores[i][at]))[:k]]
             out += [(q.query_id, q.origin, c, s) for c, s in zip(ids[at].tolist(), scores[i][at].tolist(), strict=True)]
     columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -76,14 +81,23 @@ def _top(query: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _blocked_top(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Exact top k among chunks with equal `keys`. A large key's chunks are spread over blocks of about BLOCK, its
-    queries are sent to each block, and only k rows of a query leave a block."""
-    chunks = chunks.where("embedding IS NOT NULL")
-    blocks = chunks.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = chunks.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = queries.where("embedding IS NOT NULL").join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    """Exact top k among chunks with equal `keys`. A large key's chunks are spread over blocks of about BLOCK and its
+    queries over blocks of about QUERY_BLOCK, each pair of blocks meets in a task, and only k rows of a query leave it."""
+    chunks, queries = chunks.where("embedding IS NOT NULL"), queries.where("embedding IS NOT NULL")
+    of_chunks = chunks.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of_queries = queries.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    blocks = of_chunks.join(of_queries, keys)
+
+    def dealt_over(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """`rows` in a block of their own, once for each block of the other side."""
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
+        placed = rows.join(blocks, keys).select(*rows.columns, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int").alias(own), f"{other}s")
+        return placed.select(*rows.columns, own, every)
+
+    dealt = dealt_over(chunks, "chunk_id", "block", "query_block")
+    asked = dealt_over(queries, "query_id", "query_block", "block")
     ids = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(chunks.dtypes)["chunk_id"]}
-    on = [*keys, "block"]
+    on = [*keys, "block", "query_block"]
     asked, dealt = (d.select(*(F.col(c).alias(c) for c in d.columns)) for d in (asked, dealt))  # both may come from one table
     met = asked.groupBy(*on).cogroup(dealt.groupBy(*on)).applyInPandas(lambda q, c: _top(q, c, k), f"query_id {ids['query_id']}, origin string, chunk_id {ids['chunk_id']}, score double")
     return ranked(met, ["query_id", "origin"], [F.desc("score"), F.asc("chunk_id")], k)
@@ -149,18 +163,31 @@ def terms(text: Column) -> Column:
 def keyword_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """J-02, keyword leg: chunks that hold all terms of the query, by sum of ln(1 + frequency).
 
-    Only terms that some query asks for are kept of the chunks before anything is shuffled by chunk.
+    Queries that ask the same of the same pool are searched once. A search starts from its rarest term: only chunks
+    that hold it become candidates, and only candidates are verified term by term. The starting terms are sent to the
+    chunks while their number, which is counted first, is at most MAX_BROADCAST_STARTS; beyond it both sides are
+    shuffled by the term.
     """
-    asked = _query_side(queries, "text").withColumn("terms", F.array_distinct(terms(F.col("text")))).withColumn("n", F.size("terms")).where("n > 0")
-    wanted = asked.select("query_id", "origin", "tenant", "pool", *(F.col(t).alias(f"q_{t}") for t in TAGS), "n", F.explode("terms").alias("term"))
-    side = _chunk_side(chunks, "content").select("chunk_id", "tenant", "pool", *TAGS, F.explode(terms(F.col("content"))).alias("term"))
-    side = side.join(wanted.select("tenant", "pool", "term").distinct(), ["tenant", "pool", "term"], "left_semi")
-    tf = side.groupBy("tenant", "pool", "term", "chunk_id", *TAGS).agg(F.count("*").alias("tf"))
-    met = wanted.join(tf, ["tenant", "pool", "term"])
+    asked = _query_side(queries, "text").select("query_id", "origin", "tenant", "pool", *TAGS, F.array_sort(F.array_distinct(terms(F.col("text")))).alias("terms")).where(F.size("terms") > 0)
+    asked = written(asked.withColumn("ask", F.sha2(F.to_json(F.struct("tenant", "pool", *TAGS, "terms")), 256)), "asked")
+    asks = asked.select("ask", "tenant", "pool", *(F.col(t).alias(f"q_{t}") for t in TAGS), "terms").dropDuplicates(["ask"])
+    wanted = asks.select("ask", "tenant", "pool", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    held = _chunk_side(chunks, "content").select("chunk_id", "tenant", "pool", *TAGS, F.explode(F.array_distinct(terms(F.col("content")))).alias("term"))
+    often = held.groupBy("tenant", "pool", "term").agg(F.count("*").alias("often"))
+    rarest = wanted.join(often, ["tenant", "pool", "term"], "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("r"))
+    starts = written(rarest.where("r.often > 0").select("ask", "r.term").join(asks.drop("terms"), "ask"), "starts")
+    if starts.count() <= MAX_BROADCAST_STARTS:
+        starts = F.broadcast(starts)
+    met = held.join(starts, ["tenant", "pool", "term"])
     for t in TAGS:
         met = met.where(F.col(f"q_{t}").isNull() | (F.col(f"q_{t}") == F.col(t)))
-    full = met.groupBy("query_id", "origin", "chunk_id", "n").agg(F.count("*").alias("m"), F.round(F.sum(F.log1p("tf")), SCORE_DIGITS).alias("weight")).where("m = n")
-    top = ranked(full, ["query_id", "origin"], [F.desc("weight"), F.asc("chunk_id")], k).select("query_id", "origin", "chunk_id", "rank")
+    pairs = written(met.select("ask", "chunk_id").distinct(), "pairs")
+    candidates = chunks.select("chunk_id", "content").join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    tf = candidates.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    found = pairs.join(wanted.select("ask", "n", "term"), "ask").join(tf, ["chunk_id", "term"])
+    full = found.groupBy("ask", "chunk_id", "n").agg(F.count("*").alias("m"), F.round(F.sum(F.log1p("tf")), SCORE_DIGITS).alias("weight")).where("m = n")
+    best = ranked(full, ["ask"], [F.desc("weight"), F.asc("chunk_id")], k).select("ask", "chunk_id", "rank")
+    top = asked.select("ask", "query_id", "origin").join(best, "ask")
     # Vectors join last, to at most k rows of a query.
     scored = top.join(queries.select("query_id", F.col("embedding").alias("x")), "query_id").join(chunks.select("chunk_id", F.col("embedding").alias("y")), "chunk_id")
     return scored.select("query_id", "origin", "chunk_id", F.round(numbers.cosine(F.col("x"), F.col("y")), SCORE_DIGITS).alias("score"), "rank")
@@ -176,10 +203,10 @@ def rrf_fuse(dense: DataFrame, keyword: DataFrame) -> DataFrame:
 
 
 def fused_hits(queries: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
-    """Both legs of both pools, fused; blank queries find nothing."""
-    asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    """Both legs of both pools, fused and written, since floors read it several times; blank queries find nothing."""
+    asked = queries.where(texts.strip(F.coalesce("text", F.lit(""))) != "")
     k = max(LEG_FACTOR * top_k, LEG_LEAST)
-    return rrf_fuse(knn_join(asked, chunks, k), keyword_join(asked, chunks, k))
+    return written(rrf_fuse(knn_join(asked, chunks, k), keyword_join(asked, chunks, k)), "fused")
 
 
 def cut(fused: DataFrame, top_k: int | Column, floor: float) -> DataFrame:
@@ -239,7 +266,7 @@ def grounding_confidence(sections: DataFrame, hits: DataFrame) -> DataFrame:
 
 def reference_tags(hits: DataFrame) -> DataFrame:
     """A-15: a section's distinct sources, best score first, then first appearance (`place`)."""
-    clean = hits.withColumn("source", F.trim("source_name")).where("source <> ''")
+    clean = hits.withColumn("source", texts.strip(F.col("source_name"))).where("source <> ''")
     best = clean.groupBy("section_id", "source").agg(F.max("score").alias("score"), F.min("place").alias("place"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "place", "source")))
     return best.groupBy("section_id").agg(F.transform(ordered, lambda s: s.source).alias("reference_tags"))

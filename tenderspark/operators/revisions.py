@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenderspark.functions import drafts
+from tenderspark.functions import drafts, text
 
 KEY_CHARS, TICKET_SECONDS = 128, 30
 
@@ -105,7 +105,7 @@ def publish_revision(runs: DataFrame, staged: DataFrame, sections: DataFrame, no
 def idempotent_requests(log: DataFrame) -> DataFrame:
     """D-11: outcome of each request: new, replay, conflict or invalid. Ties in time go to the smaller request_id."""
     key = F.col("idempotency_key")
-    bad = key.isNotNull() & ((F.trim(key) == "") | (F.length(key) > KEY_CHARS))
+    bad = key.isNotNull() & ((text.strip(key) == "") | (F.length(key) > KEY_CHARS))
     w = W.partitionBy("user_id", "operation", "idempotency_key").orderBy("ts", "request_id")
     x = log.withColumn("_bad", bad)
     # Requests without a key never repeat each other; they keep out of the keyed groups, which they would make hot.

@@ -42,7 +42,7 @@ VIEWS = {
     "tokens": """
         SELECT event_id AS token_id, CASE WHEN event_id % 6 = 5 THEN NULL ELSE event_id + 1 END AS replaced_by, ts AS created_at FROM events""",
     "requests": """
-        SELECT event_id AS request_id, user_id, event_type AS operation, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 31 = 0 THEN ' ' ELSE concat('k', CAST(event_id % 50 AS STRING)) END AS idempotency_key,
+        SELECT event_id AS request_id, user_id, event_type AS operation, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 62 = 0 THEN chr(9) WHEN event_id % 31 = 0 THEN ' ' ELSE concat('k', CAST(event_id % 50 AS STRING)) END AS idempotency_key,
                CAST(event_id % 3 AS STRING) AS request_hash, ts FROM events""",
 }
 BASE = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"}

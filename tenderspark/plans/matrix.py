@@ -117,7 +117,7 @@ R.add(
 R.add(
     "d10_resolve_companies", ["proposals"],
     lambda p: backfill.resolve_companies(
-        p.select(F.col("proposal_id").alias("user_id"), F.concat(F.lit(" "), F.when(F.col("proposal_id") % 2 == 0, F.lower("agency")).otherwise(F.col("agency")), F.lit(" ")).alias("name"), "created_at"),
+        p.select(F.col("proposal_id").alias("user_id"), F.concat(F.lit("\t"), F.when(F.col("proposal_id") % 2 == 0, F.lower("agency")).otherwise(F.col("agency")), F.lit(" \n")).alias("name"), "created_at"),
         p.where("agency LIKE 'A%'").groupBy("agency").agg(F.min("proposal_id").alias("company_id")).select("company_id", F.col("agency").alias("name")),
     ),
     """WITH n AS (SELECT proposal_id AS user_id, CASE WHEN proposal_id % 2 = 0 THEN lower(agency) ELSE agency END AS name, created_at FROM proposals), k AS (SELECT agency AS name, min(proposal_id) AS company_id FROM proposals WHERE agency LIKE 'A%' GROUP BY 1),

@@ -41,7 +41,7 @@ WINDOWS = """WITH RECURSIVE e AS (SELECT user_id AS key, ts FROM events), w AS (
 R.add("w14_anchored_windows", ["events"], lambda e: ops.anchored_windows(e.selectExpr("user_id key", "ts", "event_id"), 6 * 3600, 3), WINDOWS + " SELECT key, s AS window_start, n, n > 3 AS over_limit FROM n")
 R.add("w15_suppressed_warnings", ["events"], lambda e: ops.suppressed_warnings(e.selectExpr("user_id key", "ts", "event_id"), 6 * 3600), WINDOWS + " SELECT key, s AS ts, coalesce(lag(n) OVER (PARTITION BY key ORDER BY s) - 1, 0) AS suppressed FROM n")
 R.add("d11_idempotent_requests", ["requests"], revisions.idempotent_requests,
-    """SELECT *, CASE WHEN idempotency_key IS NULL THEN 'new' WHEN trim(idempotency_key) = '' THEN 'invalid' WHEN row_number() OVER w = 1 THEN 'new' WHEN first_value(request_hash) OVER w = request_hash THEN 'replay' ELSE 'conflict' END AS outcome
+    """SELECT *, CASE WHEN idempotency_key IS NULL THEN 'new' WHEN NOT regexp_matches(idempotency_key, '\\S') THEN 'invalid' WHEN row_number() OVER w = 1 THEN 'new' WHEN first_value(request_hash) OVER w = request_hash THEN 'replay' ELSE 'conflict' END AS outcome
         FROM requests WINDOW w AS (PARTITION BY user_id, operation, idempotency_key ORDER BY ts, request_id)""")
 R.add("d12_single_use_tickets", ["events"],
     lambda e: revisions.single_use_tickets(e.where("event_type = 'view'").selectExpr("event_id % 1000 ticket", "user_id % 3 proposal_id", "ts").groupBy("ticket").agg(F.min("ts").alias("ts"), F.min("proposal_id").alias("proposal_id")),
@@ -65,7 +65,7 @@ R.add("f38_days_until", ["events"], lambda e: e.select("event_id", numbers.days_
 def attempts(c):
     none = F.array().cast("array<string>")
     x = c.selectExpr("conv_id % 200 run_id", "CAST(floor(conv_id / 200) AS INT) outline_index", "CAST(turn + 1 AS INT) attempt", "turn", "conv_id", "text")
-    claim = F.when((F.col("turn") == 0) | (F.col("conv_id") % 3 == 0), "claim").otherwise(F.col("text"))  # whole; the SQL still has three letters
+    claim = F.when((F.col("turn") == 0) | (F.col("conv_id") % 3 == 0), "claim").otherwise(F.col("text"))
     critic = F.struct(
         (F.col("turn") % 5 != 1).alias("addressed"), (F.col("turn") % 7 != 3).alias("evaluation_alignment"), F.lit(True).alias("benefit_mapped"), F.when(F.col("turn") % 4 != 2, F.array(claim)).otherwise(none).alias("unsupported_claims"),
         none.alias("filler_found"), none.alias("cited_sources"), F.when(F.col("turn") % 2 == 0, F.lit("fix")).alias("feedback"),
@@ -73,7 +73,7 @@ def attempts(c):
     return x.select("run_id", "outline_index", "attempt", F.when(F.col("conv_id") % 11 != F.col("turn"), critic).alias("critic"))
 
 
-JUDGED = """WITH a AS (SELECT conv_id % 200 AS run_id, CAST(floor(conv_id / 200) AS INT) AS outline_index, CAST(turn + 1 AS INT) AS attempt, turn, conv_id % 11 <> turn AS has, CASE WHEN turn = 0 OR conv_id % 3 = 0 THEN 'claim' ELSE substring(text, 1, 3) END AS claim FROM conversations),
+JUDGED = """WITH a AS (SELECT conv_id % 200 AS run_id, CAST(floor(conv_id / 200) AS INT) AS outline_index, CAST(turn + 1 AS INT) AS attempt, turn, conv_id % 11 <> turn AS has, CASE WHEN turn = 0 OR conv_id % 3 = 0 THEN 'claim' ELSE text END AS claim FROM conversations),
     b AS (SELECT *, has AND turn % 5 <> 1 AND turn % 7 <> 3 AND turn % 4 = 2 AS passes FROM a), c AS (SELECT *, CASE WHEN has AND NOT passes THEN CASE WHEN turn % 4 <> 2 THEN claim ELSE '' END END AS found FROM b),
     d AS (SELECT *, last_value(found IGNORE NULLS) OVER (PARTITION BY run_id, outline_index ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
     j AS (SELECT run_id, outline_index, attempt, turn, has, claim, passes, coalesce(found <> '' AND found = before, false) AS stalled FROM d)"""
@@ -83,6 +83,6 @@ R.add("w12_revise_or_save", ["conversations"], lambda c: revisions.revise_or_sav
 R.add("f30_critic_feedback", ["conversations"], lambda c: attempts(c).select("run_id", "outline_index", "attempt", drafts.critic_feedback(F.col("critic")).alias("feedback")),
     JUDGED + """ SELECT run_id, outline_index, attempt, CASE WHEN NOT has THEN '' ELSE concat_ws(chr(10), CASE WHEN turn % 2 = 0 THEN 'fix' END, CASE WHEN turn % 4 <> 2 THEN concat('Remove or substantiate these unsupported claims: ', claim) END,
         CASE WHEN turn % 7 = 3 THEN 'Speak directly to the stated evaluation criteria.' END) END AS feedback FROM j""")
-R.add("f31_combine_feedback", ["conversations"], lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s.role).alias("h")).select("conv_id", drafts.combine_feedback(F.col("h")).alias("feedback")),  # all turns; the SQL still has three
+R.add("f31_combine_feedback", ["conversations"], lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s.role).alias("h")).select("conv_id", drafts.combine_feedback(F.col("h")).alias("feedback")),
     """WITH h AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-        SELECT conv_id, CASE WHEN any_value(n) = 1 THEN any_value(role) ELSE string_agg(concat('[Revision ', i, ' feedback]', chr(10), role), concat(chr(10), chr(10)) ORDER BY i) END AS feedback FROM h WHERE i <= 3 GROUP BY conv_id""")
+        SELECT conv_id, CASE WHEN any_value(n) = 1 THEN any_value(role) ELSE string_agg(concat('[Revision ', i, ' feedback]', chr(10), role), concat(chr(10), chr(10)) ORDER BY i) END AS feedback FROM h GROUP BY conv_id""")

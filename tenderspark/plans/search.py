@@ -10,19 +10,17 @@ from tenderspark.plans.registry_tools import Registry
 
 R = Registry()
 
-CHUNKS = """SELECT vec_id AS chunk_id, vec_id % 2 AS tenant, CASE WHEN vec_id % 3 = 0 THEN vec_id % 4 END AS proposal_id, concat('source', CAST(label % 6 AS STRING)) AS source_name, text AS content, embedding,
+CHUNKS = """SELECT vec_id AS chunk_id, vec_id % 2 AS tenant, CASE WHEN vec_id % 3 = 0 THEN vec_id % 4 END AS proposal_id, concat(CASE WHEN label % 2 = 0 THEN '\t' ELSE '' END, 'source', CAST(label % 6 AS STRING), CASE WHEN label % 3 = 0 THEN ' \n' ELSE '' END) AS source_name, text AS content, embedding,
     concat('i', CAST(vec_id % 3 AS STRING)) AS industry, concat('d', CAST(label % 2 AS STRING)) AS document_type, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 'won' END AS outcome FROM embeddings JOIN documents ON doc_id = vec_id"""
-QUERIES = """SELECT vec_id AS query_id, vec_id % 2 AS tenant, CASE WHEN vec_id % 50 = 0 THEN vec_id % 4 END AS proposal_id, CASE WHEN vec_id % 100 = 0 THEN '' ELSE substring(text, 1, 12) END AS text, embedding,
-    CASE WHEN vec_id % 75 = 0 THEN concat('i', CAST(vec_id % 3 AS STRING)) END AS industry, CAST(NULL AS STRING) AS document_type, CASE WHEN vec_id % 7 = 0 THEN 'won' END AS outcome FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 25 = 0"""
-
-#: What the queries ask: whole texts, none blank. The SQL still has the 12 characters and the blanks of QUERIES.
-ASKED = QUERIES.replace("CASE WHEN vec_id % 100 = 0 THEN '' ELSE substring(text, 1, 12) END AS text", "text")
-SECTION = "floor(query_id / 200)"  # a few queries a section, so sections grow with the table
+#: Every row whose id is divisible by 50 asks, with its whole text.
+QUERIES = """SELECT vec_id AS query_id, CAST(floor(vec_id / 50) AS BIGINT) % 2 AS tenant, CASE WHEN vec_id % 100 = 0 THEN vec_id % 4 END AS proposal_id, text, embedding,
+    CASE WHEN vec_id % 150 = 0 THEN concat('i', CAST(vec_id % 3 AS STRING)) END AS industry, CAST(NULL AS STRING) AS document_type, CASE WHEN vec_id % 7 = 0 THEN 'won' END AS outcome FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0"""
+SECTION = "CAST(floor(query_id / 200) AS BIGINT)"  # a few queries a section, so sections grow with the table
 
 
 def bound(e: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
     sql = lambda q: e.sparkSession.sql(q.replace("FROM embeddings JOIN documents", "FROM {e} JOIN {d}"), e=e, d=d)
-    return sql(ASKED), sql(CHUNKS)
+    return sql(QUERIES), sql(CHUNKS)
 
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -38,7 +36,7 @@ BASE = f"""WITH chunks AS ({CHUNKS}), queries AS ({QUERIES}),
     kw_all AS (SELECT query_id, origin, chunk_id, score, row_number() OVER (PARTITION BY query_id, origin ORDER BY weight DESC, chunk_id) AS rank FROM kw)"""
 FUSED = (
     BASE
-    + """, legs AS (SELECT *, 0 AS leg FROM dense_all WHERE rank <= 15 AND query_id IN (SELECT query_id FROM queries WHERE trim(text) <> '') UNION ALL SELECT *, 1 FROM kw_all WHERE rank <= 15),
+    + """, legs AS (SELECT *, 0 AS leg FROM dense_all WHERE rank <= 15 AND query_id IN (SELECT query_id FROM queries WHERE regexp_matches(text, '\\S')) UNION ALL SELECT *, 1 FROM kw_all WHERE rank <= 15),
     f AS (SELECT query_id, origin, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, arg_min(score, (leg, rank)) AS score, min((leg, rank)) AS o FROM legs GROUP BY ALL),
     fused AS (SELECT query_id, origin, chunk_id, rrf, score, row_number() OVER (PARTITION BY query_id, origin ORDER BY rrf DESC, o) AS rank FROM f)"""
 )
@@ -55,7 +53,7 @@ BOTH = ["embeddings", "documents"]
 
 
 def _add(name, fn, sql=None):
-    R.add(name, BOTH, lambda e, d: fn(*bound(e, d)), sql)
+    R.add(name, BOTH, lambda e, d: fn(*bound(e, d)), sql and sql.replace("SECTION", SECTION))
 
 
 _add("j01_knn_join", lambda q, c: retrieval.knn_join(q, c, 10), BASE + " SELECT * FROM dense_all WHERE rank <= 10")
@@ -71,7 +69,7 @@ def diversified(q, c):
     return retrieval.diversify(hits.select(F.expr(SECTION).alias("section_id"), "source_name", "score", F.struct("chunk_id", "query_id", "origin").alias("order")), 6).select("section_id", "source_name", "score", "place")
 
 
-_add("w06_diversify", diversified, FUSED + """, h AS (SELECT query_id % 4 AS section_id, source_name, score, chunk_id, query_id, origin FROM fused JOIN chunks USING (chunk_id)),
+_add("w06_diversify", diversified, FUSED + """, h AS (SELECT SECTION AS section_id, source_name, score, chunk_id, query_id, origin FROM fused JOIN chunks USING (chunk_id)),
     d1 AS (SELECT *, row_number() OVER (PARTITION BY section_id, source_name ORDER BY score DESC, chunk_id, query_id, origin) > 2 AS over_cap FROM h),
     d2 AS (SELECT section_id, source_name, score, row_number() OVER (PARTITION BY section_id ORDER BY over_cap, score DESC, chunk_id, query_id, origin) AS place FROM d1) SELECT * FROM d2 WHERE place <= 6""")
 
@@ -83,19 +81,19 @@ def contexts(q, c):
 
 CONTEXT = (
     FUSED
-    + """, n AS (SELECT query_id, query_id % 4 AS section_id, count(*) OVER (PARTITION BY query_id % 4) AS n FROM queries), kq AS (SELECT fused.*, n.section_id, CAST(greatest(2, ceil(5 / n.n)) AS INT) AS per FROM fused JOIN n USING (query_id))"""
+    + """, n AS (SELECT query_id, SECTION AS section_id, count(*) OVER (PARTITION BY SECTION) AS n FROM queries), kq AS (SELECT fused.*, n.section_id, CAST(greatest(2, ceil(5 / n.n)) AS INT) AS per FROM fused JOIN n USING (query_id))"""
     + cut("strong", "kq", 0.35, "per")
     + ", left_over AS (SELECT * FROM kq WHERE query_id NOT IN (SELECT query_id FROM strong))"
     + cut("faint", "left_over", 0.2, "per")
-    + """, own AS (SELECT *, query_id % 4 AS section_id FROM (SELECT *, false AS weak FROM strong UNION ALL SELECT *, true FROM faint) u),
+    + """, own AS (SELECT *, SECTION AS section_id FROM (SELECT *, false AS weak FROM strong UNION ALL SELECT *, true FROM faint) u),
     met AS (SELECT section_id, chunk_id, max(score) AS score, min((query_id, pos)) AS o FROM own GROUP BY ALL), src AS (SELECT met.*, source_name FROM met JOIN chunks USING (chunk_id)),
     c1 AS (SELECT *, row_number() OVER (PARTITION BY section_id, source_name ORDER BY score DESC, o) > 2 AS over_cap FROM src), c2 AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY over_cap, score DESC, o) AS place FROM c1),
     ctx AS (SELECT section_id, place, chunk_id, source_name, score FROM c2 WHERE place <= 5)"""
 )
 _add("w05_section_context", lambda q, c: contexts(q, c)[0].drop("order"), CONTEXT + " SELECT * FROM ctx")
 _add("w05_section_grounding", lambda q, c: contexts(q, c)[1], CONTEXT + " SELECT n.section_id, any_value(n.n) AS requirements, count(DISTINCT own.query_id) AS grounded_requirements, coalesce(bool_or(weak), false) AS weak FROM n LEFT JOIN own ON own.query_id = n.query_id GROUP BY 1")
-_add("a14_grounding_confidence", lambda q, c: retrieval.grounding_confidence(q.select(F.expr(SECTION).alias("section_id")).distinct(), contexts(q, c)[0]), CONTEXT + ", s AS (SELECT DISTINCT query_id % 5 AS section_id FROM queries) SELECT s.section_id, coalesce(round_even(avg(score), 4), 0) AS confidence FROM s LEFT JOIN ctx ON ctx.section_id = s.section_id GROUP BY 1")
-_add("a15_reference_tags", lambda q, c: retrieval.reference_tags(contexts(q, c)[0]), CONTEXT + ", t AS (SELECT section_id, source_name, max(score) AS m, min(place) AS p FROM ctx GROUP BY ALL) SELECT section_id, list(source_name ORDER BY m DESC, p) AS reference_tags FROM t GROUP BY 1")
+_add("a14_grounding_confidence", lambda q, c: retrieval.grounding_confidence(q.select(F.expr(SECTION).alias("section_id")).distinct(), contexts(q, c)[0]), CONTEXT + ", s AS (SELECT DISTINCT SECTION AS section_id FROM queries) SELECT s.section_id, coalesce(round_even(avg(score), 4), 0) AS confidence FROM s LEFT JOIN ctx ON ctx.section_id = s.section_id GROUP BY 1")
+_add("a15_reference_tags", lambda q, c: retrieval.reference_tags(contexts(q, c)[0]), CONTEXT + ", t AS (SELECT section_id, regexp_replace(source_name, '^\\s+|\\s+$', '', 'g') AS source_name, max(score) AS m, min(place) AS p FROM ctx GROUP BY ALL) SELECT section_id, list(source_name ORDER BY m DESC, p) AS reference_tags FROM t GROUP BY 1")
 _add("a08_list_sources", lambda q, c: rollups.list_sources(c.withColumn("created_at", F.col("chunk_id"))), f"SELECT tenant, proposal_id, source_name, count(*) AS n_chunks, max(chunk_id) AS created_at, max(industry) AS industry, max(document_type) AS document_type, max(outcome) AS outcome FROM ({CHUNKS}) c GROUP BY ALL")
 _add("a09_history_count", lambda q, c: rollups.history_count(c), f"SELECT tenant, count(embedding) AS n, count(embedding) > 0 AS grounded FROM ({CHUNKS}) c GROUP BY 1")
 _add("p04_metadata_filter", lambda q, c: retrieval.pool_filter(retrieval.metadata_filter(c, industry="i1", outcome="won")).select("chunk_id", "source_name"), f"SELECT chunk_id, source_name FROM ({CHUNKS}) c WHERE industry = 'i1' AND outcome = 'won' AND proposal_id IS NULL")

@@ -29,8 +29,8 @@ R.add(
     "f10_text_columns", ["documents"], text_columns,
     f"""SELECT doc_id, CAST(len({WORDS.format("text")}) AS INT) AS words, CAST(length({STRIP.format("text")}) AS INT) AS stripped, {NORM.format("text")} AS normal,
         CASE WHEN length(text) <= 100 THEN text ELSE concat(regexp_replace(substring(text, 1, 100), '\\s+$', ''), ' …[truncated]') END AS short, length(text) > 500 AS truncated,
-        CASE WHEN length(f) <= 500 THEN f ELSE concat(substring(f, 1, 500), '…') END AS reason, concat(regexp_replace(substring(text, 1, 20), '\\s+$', ''), ' x') AS untagged
-        FROM (SELECT *, CASE WHEN {STRIP.format("substring(text, 1, 600)")} = '' THEN source ELSE concat(source, ': ', {STRIP.format("substring(text, 1, 600)")}) END AS f FROM documents) d""",
+        CASE WHEN length(f) <= 500 THEN f ELSE concat(substring(f, 1, 500), '…') END AS reason, regexp_replace(concat(text, ' [Req 1, Req 2, 3] x [req 4]'), '\\s*\\[Req\\s+\\d+(?:\\s*,\\s*(?:Req\\s+)?\\d+)*\\]', '', 'gi') AS untagged
+        FROM (SELECT *, CASE WHEN {STRIP.format("text")} = '' THEN source ELSE concat(source, ': ', {STRIP.format("text")}) END AS f FROM documents) d""",
 )
 R.add(
     "f06_text_quality", ["documents"],
@@ -64,13 +64,13 @@ R.add(
 R.add("f04_extraction_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", "text"), chunking.extraction_chunks(F.col("text"), 8000)))
 R.add(
     "f07_choose_page_text", ["pages", "documents"],
-    lambda p, d: p.join(d, p.page_id == d.doc_id).select("page_id", text.choose_page_text(F.col("html"), F.col("text")).alias("text")),  # whole texts; the SQL still cuts both
-    r"""WITH x AS (SELECT page_id, substring(html, 1, page_id % 40) AS page, substring(text, 1, 60) AS ocr FROM pages JOIN documents ON page_id = doc_id), s AS (SELECT *, regexp_replace(page, '^\s+|\s+$', '', 'g') AS a, regexp_replace(ocr, '^\s+|\s+$', '', 'g') AS b FROM x)
+    lambda p, d: p.join(d, p.page_id == d.doc_id).select("page_id", text.choose_page_text(F.col("html"), F.col("text")).alias("text")),
+    r"""WITH x AS (SELECT page_id, html AS page, text AS ocr FROM pages JOIN documents ON page_id = doc_id), s AS (SELECT *, regexp_replace(page, '^\s+|\s+$', '', 'g') AS a, regexp_replace(ocr, '^\s+|\s+$', '', 'g') AS b FROM x)
         SELECT page_id, CASE WHEN length(a) < 20 AND length(b) > length(a) AND length(b) >= 10 AND length(regexp_replace(b, '[\p{L}\p{N} \n\t.,;:!?()\[\]{}"''\-/%$&@#*+=<>|\\_~\^`]', '', 'g')) / length(b) <= 0.35::DOUBLE THEN ocr ELSE page END AS text FROM s""",
 )
 R.add(
-    "f08_assemble_pages", ["conversations"], lambda c: tables.assemble_pages(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.when(F.col("turn") % 3 == 1, " ").otherwise(F.col("text")).alias("text"))),
-    r"SELECT conv_id AS doc_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY turn, text) AS text FROM conversations WHERE turn % 3 <> 1 AND trim(text) <> '' GROUP BY conv_id",
+    "f08_assemble_pages", ["conversations"], lambda c: tables.assemble_pages(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.when(F.col("turn") % 3 == 1, " \n\t ").otherwise(F.col("text")).alias("text"))),
+    r"SELECT conv_id AS doc_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY turn, text) AS text FROM conversations WHERE turn % 3 <> 1 AND regexp_matches(text, '\S') GROUP BY conv_id",
 )
 R.add(
     "f09_markdown_table", ["conversations"],
@@ -78,16 +78,16 @@ R.add(
 )
 R.add(
     "f11_quote_grounded", ["benchmark", "documents"],
-    lambda b, d: retrieval.grounded_quotes(b, d),  # all documents; the SQL still asks for a twentieth of them
-    f"SELECT doc_id, item_id, length({NORM.format('b.text')}) < 40 OR contains({NORM.format('d.text')}, {NORM.format('b.text')}) AS grounded FROM documents d JOIN benchmark b ON d.doc_id % 20 = 0 AND d.doc_id % 100 / 20 = item_id % 5",
+    retrieval.grounded_quotes,
+    f"""WITH q AS (SELECT DISTINCT item_id, {NORM.format("coalesce(text, '')")} AS quote FROM benchmark), s AS (SELECT doc_id, {NORM.format("coalesce(text, '')")} AS source FROM documents),
+        hits AS (SELECT DISTINCT doc_id, item_id FROM s JOIN q ON length(quote) >= 40 AND contains(source, quote))
+        SELECT doc_id, item_id, true AS grounded FROM hits UNION ALL SELECT NULL, item_id, length(quote) < 40 FROM q WHERE item_id NOT IN (SELECT item_id FROM hits)""",
 )
-DRAFT = "concat(CASE WHEN doc_id % 4 = 0 THEN '## Technical Approach ' ELSE '' END, substring(text, 1, CAST(40 + doc_id % 400 AS INT)), CASE WHEN doc_id % 3 = 0 THEN ' [Req 1] [Req 2]' ELSE ' [Req 1]' END, CASE WHEN doc_id % 7 = 0 THEN ' [INSERT name]' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN ' W91QUZ-19-C-0042 for $4,200,000.50' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ' seamless world-class unparalleled trusted partner' ELSE '' END)"
-
-WHOLE_DRAFT = DRAFT.replace("substring(text, 1, CAST(40 + doc_id % 400 AS INT))", "text")  # the SQL still has the prefix
+DRAFT = "concat(CASE WHEN doc_id % 4 = 0 THEN '## Technical Approach ' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN ' [Req 1] [Req 2]' ELSE ' [Req 1]' END, CASE WHEN doc_id % 7 = 0 THEN ' [INSERT name]' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN ' W91QUZ-19-C-0042 for $4,200,000.50' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ' seamless world-class unparalleled trusted partner' ELSE '' END)"
 
 
 def draft_rules(docs):
-    x = docs.selectExpr("doc_id", f"{WHOLE_DRAFT} AS content", "CAST(doc_id % 3 AS INT) AS n", "doc_id % 8 < 4 AS headings", "doc_id % 2 = 0 AS tags", "CASE WHEN doc_id % 10 = 0 THEN 'W91QUZ-19-C-0042' WHEN doc_id % 10 = 5 THEN NULL ELSE '' END AS context")
+    x = docs.selectExpr("doc_id", f"{DRAFT} AS content", "CAST(doc_id % 3 AS INT) AS n", "doc_id % 8 < 4 AS headings", "doc_id % 2 = 0 AS tags", "CASE WHEN doc_id % 10 = 0 THEN 'W91QUZ-19-C-0042' WHEN doc_id % 10 = 5 THEN NULL ELSE '' END AS context")
     c, t = F.col, F.col("content")
     return x.select(
         "doc_id", drafts.missing_req_tags(t, c("n")).alias("missing"), F.size(drafts.unverifiable_facts(t, F.coalesce(c("context"), F.lit("")))).alias("unverifiable"), F.size(drafts.placeholders_found(t)).alias("placeholders"),

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderspark.functions import text
 from tenderspark.functions.drafts import ATTEMPTS
 from tenderspark.operators.matrix import SUMMARY
 from tenderspark.sources.shared import written
@@ -128,5 +129,5 @@ def cascade_delete(children: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """F-08: doc_id, page, text -> doc_id, text: pages that are not blank, in order."""
-    kept = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    kept = pages.where(text.strip(F.coalesce("text", F.lit(""))) != "")
     return kept.groupBy("doc_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p.text)).alias("text"))
