@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tenderspark.functions import drafts, numbers, vocab
 from tenderspark.operators import backfill, matrix, revisions, rollups
 from tenderspark.plans.registry_tools import Registry
+from tenderspark.sources import tables
+from tenderspark.sources.shared import new_path
 
 R = Registry()
 
@@ -165,5 +167,43 @@ R.add("f34_pipeline_view", ["rfps"], lambda d: d.select("rfp_id", vocab.pipeline
         FROM (SELECT *, CASE processing_status WHEN 'pending' THEN 1 WHEN 'extracting' THEN 2 WHEN 'completed' THEN 5 WHEN 'failed' THEN 2 ELSE 0 END AS d FROM rfps) q""")
 R.add("f41_remap_status", ["rfps"], lambda d: d.select("rfp_id", vocab.remap_drafting_status(F.col("processing_status")).alias("status"), vocab.remap_failure_reason(F.col("processing_status"), F.col("failure_reason")).alias("reason")),
     "SELECT rfp_id, CASE WHEN processing_status = 'draft_failed' THEN 'completed' ELSE processing_status END AS status, CASE WHEN processing_status <> 'draft_failed' THEN failure_reason END AS reason FROM rfps")
-R.add("f39_format_currency", ["proposals"], lambda p: p.select("proposal_id", numbers.format_currency(F.col("updated_at")).alias("plain"), numbers.format_currency(F.col("updated_at") * 1000, True).alias("compact")))
+R.add("f39_format_currency", ["proposals"], lambda p: p.select("proposal_id", numbers.format_currency(F.col("updated_at")).alias("plain"), numbers.format_currency(F.col("updated_at") * 1000, True).alias("compact")),
+    r"""WITH v AS (SELECT proposal_id, CAST(updated_at AS DOUBLE) AS a, CAST(updated_at AS DOUBLE) * 1000 AS b FROM proposals),
+        d AS (SELECT *, [concat(CASE WHEN x < 0 THEN '-$' ELSE '$' END, regexp_replace(regexp_replace(format('{:,.2f}', abs(x)), '(\.\d*?)0+$', '\1'), '\.$', '')) FOR x IN [a, b]] AS s FROM v)
+        SELECT proposal_id, s[1] AS plain, CASE WHEN b >= 1e6 THEN concat('$', format('{:.1f}', round(b / 1e6, 1)), 'M') WHEN b >= 1e3 THEN concat('$', CAST(CAST(round(b / 1e3) AS BIGINT) AS VARCHAR), 'K') ELSE s[2] END AS compact FROM d""")
+R.add(
+    "w10_top_past_performance", ["sections"],
+    lambda s: s.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("section_id", F.col("section_title").alias("name"), (F.col("sort_order") * 1.0).alias("value"), "content"))).alias("entries"))
+    .select("proposal_id", drafts.top_past_performance(F.col("entries")).alias("t")).select("proposal_id", F.transform("t.shown", lambda e: e.section_id).alias("shown"), "t.omitted"),
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY sort_order DESC, section_id, section_title, content) AS i FROM sections)
+        SELECT proposal_id, list(section_id ORDER BY i) FILTER (WHERE i <= 8) AS shown, CAST(greatest(count(*) - 8, 0) AS INT) AS omitted FROM n GROUP BY proposal_id""",
+)
+R.add(
+    "j10_resolve_outline_refs", ["proposals", "requirements"],
+    lambda p, r: matrix.resolve_outline_refs(p.where("rfp_id IS NOT NULL").select("rfp_id", F.col("proposal_id").alias("outline_index"), "title", F.array(F.lit(2), (F.col("proposal_id") % 3).cast("int"), F.lit(99), F.lit(-1)).alias("refs"), F.when(F.col("proposal_id") % 4 == 0, 0).otherwise(250).alias("target_words")), r),
+    """WITH n AS (SELECT rfp_id, requirement_id, row_number() OVER (PARTITION BY rfp_id ORDER BY extraction_order, requirement_id) - 1 AS ref FROM requirements),
+        p AS (SELECT rfp_id, proposal_id AS outline_index, title, [2, proposal_id % 3, 99, -1] AS refs, CASE WHEN proposal_id % 4 = 0 THEN NULL ELSE 250 END AS target_words FROM proposals WHERE rfp_id IS NOT NULL),
+        a AS (SELECT rfp_id, outline_index, unnest(refs) AS ref, generate_subscripts(refs, 1) AS pos FROM p), f AS (SELECT rfp_id, outline_index, list(requirement_id ORDER BY pos) AS ids FROM a JOIN n USING (rfp_id, ref) GROUP BY ALL)
+        SELECT p.rfp_id, p.outline_index, title, coalesce(ids, []) AS requirement_ids, target_words FROM p LEFT JOIN f ON f.rfp_id = p.rfp_id AND f.outline_index = p.outline_index""",
+)
+R.add(
+    "d03_evaluation_criteria", ["requirements", "proposals"],
+    lambda r, p: matrix.evaluation_criteria(r.withColumn("extraction_order", F.col("requirement_id").cast("int")), p.groupBy("rfp_id").agg(F.min(F.struct("proposal_id", "agency", "title", "status")).alias("m")).where("rfp_id IS NOT NULL").select(
+        "rfp_id", F.struct(F.array(F.struct(F.col("m.agency").alias("factor"), F.col("m.title").alias("description"), F.lit("").alias("importance")), F.struct(F.lit("Price").alias("factor"), F.lit(None).cast("string").alias("description"), F.col("m.status").alias("importance")), F.struct(F.lit("").alias("factor"), F.lit("d").alias("description"), F.lit("i").alias("importance"))).alias("evaluation_factors")).alias("summary"))),
+    """WITH m AS (SELECT rfp_id, arg_min(agency, proposal_id) AS agency, arg_min(title, proposal_id) AS title, arg_min(status, proposal_id) AS status FROM proposals WHERE rfp_id IS NOT NULL GROUP BY rfp_id),
+        u AS (SELECT rfp_id, 0 AS part, requirement_id AS pos, raw_text_content AS criterion FROM requirements WHERE category = 'Evaluation Criteria' UNION ALL SELECT rfp_id, 1, 0, concat(agency, ': ', title) FROM m UNION ALL SELECT rfp_id, 1, 1, concat('Price (importance: ', status, ')') FROM m)
+        SELECT rfp_id, row_number() OVER (PARTITION BY rfp_id ORDER BY part, pos) - 1 AS pos, criterion FROM u""",
+)
+
+
+def replaced(r):
+    """The matrix of all documents, in which every third document is then replaced by its first requirements."""
+    path = new_path(r.sparkSession, "requirements")
+    tables.replace_requirements(r, r.select("rfp_id"), path)
+    third = r.where("rfp_id % 3 = 0")
+    tables.replace_requirements(third.where("extraction_order < 5"), third.select("rfp_id"), path)
+    return r.sparkSession.read.parquet(path).select("requirement_id", "rfp_id", "raw_text_content")
+
+
+R.add("s07_replace_requirements", ["requirements"], replaced, "SELECT requirement_id, rfp_id, raw_text_content FROM requirements WHERE rfp_id % 3 <> 0 OR extraction_order < 5")
 R.add("f40_section_title_default", ["requirements"], lambda r: r.select("requirement_id", drafts.section_title_default(F.col("section_number")).alias("title")), "SELECT requirement_id, concat('Response to ', coalesce(nullif(section_number, ''), 'requirement')) AS title FROM requirements")

@@ -75,6 +75,14 @@ R.add(
 R.add(
     "f09_markdown_table", ["conversations"],
     lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 2 == 0, F.array("role", "text")).otherwise(F.array(F.lit(" a|b "))).alias("r")))), lambda s: s.r).alias("rows")).select("conv_id", text.markdown_table(F.col("rows")).alias("table")),
+    rf"""WITH l AS (SELECT *, bool_or(turn % 2 = 0) OVER (PARTITION BY conv_id) AS two, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+        m AS (SELECT *, CASE WHEN turn % 2 = 0 THEN concat('| ', role, ' | ', replace(replace({STRIP.format("coalesce(text, '')")}, chr(10), ' '), '|', '\|'), ' |') WHEN two THEN '| a\|b |  |' ELSE '| a\|b |' END AS line FROM l)
+        SELECT conv_id, string_agg(concat(line, CASE WHEN i = 1 THEN concat(chr(10), CASE WHEN two THEN '| --- | --- |' ELSE '| --- |' END) ELSE '' END), chr(10) ORDER BY i) AS table FROM m GROUP BY conv_id""",
+)
+R.add(
+    "f28_evidence_blocks", ["conversations"],
+    lambda c: c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("source_name"), (F.col("turn") / 4).alias("score"), F.col("text").alias("content")))).alias("hits")).select("conv_id", drafts.evidence_blocks(F.col("hits")).alias("evidence")),
+    "SELECT conv_id, string_agg(concat('[', role, ' — relevance ', format('{:.2f}', turn / 4), ']', chr(10), text), concat(chr(10), chr(10)) ORDER BY turn) AS evidence FROM conversations GROUP BY conv_id",
 )
 R.add(
     "f11_quote_grounded", ["benchmark", "documents"],
