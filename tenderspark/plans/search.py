@@ -61,7 +61,7 @@ _add("j02_keyword_join", lambda q, c: retrieval.keyword_join(q, c, 10), BASE + "
 _add("w02_rrf_fuse", lambda q, c: retrieval.fused_hits(q, c, 5), FUSED + " SELECT * FROM fused")
 _add("w03_search", lambda q, c: retrieval.search(q, c, 5, 0.3), FUSED + cut("hits", "fused", 0.3) + " SELECT * FROM hits")
 _add("w04_adaptive_floor", lambda q, c: retrieval.adaptive_floor(retrieval.fused_hits(q, c, 5)), ADAPTIVE + " SELECT *, false AS weak FROM strong UNION ALL SELECT *, true FROM faint")
-_add("j12_ann_candidates", lambda q, c: retrieval.ann_candidates(q, c, 10, lists=16, probes=6))
+_add("j12_ann_candidates", lambda q, c: retrieval.ann_candidates(q, c, 10, lists=16, probes=13))
 
 
 def diversified(q, c):
