@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tenderspark.plans import matrix, operations, search, texts
+from tenderspark.plans import matrix, operations, prompts, search, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for family in (matrix, texts, search, operations):
+for family in (matrix, texts, search, operations, prompts):
     QUERIES |= family.R.queries
     ORACLES |= family.R.oracles
