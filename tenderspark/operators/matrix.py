@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.functions import text
+from tenderspark.functions.columns import let
 
 MIN_CHARS, MAX_CHARS = 5, 4000
 
@@ -80,10 +81,9 @@ def merge_summaries(chunks: DataFrame) -> DataFrame:
     one = chunks.groupBy("rfp_id").agg(F.count("*").alias("n"), F.min_by("summary", "chunk_idx").alias("only"), *map(first, SCALARS), *map(lists, LISTS))
 
     def merged(path: str) -> Column:
-        every = F.flatten(F.transform(F.col(f"`{path}`"), lambda c: c.v))
         key = lambda x: F.struct(*(F.coalesce(x[k], F.lit("")) for k in LISTS[path]))
-        keys = F.transform(every, key)
-        return F.filter(every, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+        fresh = lambda every, keys: F.filter(every, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+        return let(F.flatten(F.transform(F.col(f"`{path}`"), lambda c: c.v)), lambda every: let(F.transform(every, key), lambda keys: fresh(every, keys)))
 
     def part(name: str) -> Column:
         own = [p for p in [*SCALARS, *LISTS] if p.startswith(name + ".")]
