@@ -115,19 +115,28 @@ def sanitize_summary(summaries: DataFrame, sources: DataFrame) -> DataFrame:
     x = summaries.join(sources.select("rfp_id", text.normalize_ws(F.col("text")).alias("_source")), "rfp_id", "left")
     source, s = F.coalesce("_source", F.lit("")), F.col("summary")
     grounded = lambda quote: text.quote_grounded_in(quote, source)
-    removed, out = F.lit(0), s
-    for path in SCALARS:
-        node = F.col(f"summary.{path}")
-        bad = ~F.coalesce(grounded(node.source_quote), F.lit(True))
+    lost, made = [], {}
+    for k, path in enumerate(SCALARS):
+        x = x.withColumn(f"_bad{k}", ~F.coalesce(grounded(F.col(f"summary.{path}.source_quote")), F.lit(True)))
+        node, bad = F.col(f"summary.{path}"), F.col(f"_bad{k}")
         cleared = node.withField("value", F.lit(None).cast("string")).withField("source_quote", F.lit(None).cast("string"))
-        removed = removed + F.when(node.isNotNull() & bad, 1).otherwise(0)
-        out = out.withField(path, F.when(bad, cleared).otherwise(node))
-    for path in LISTS:
+        made[path] = F.when(bad, cleared).otherwise(node)
+        lost.append(F.when(node.isNotNull() & bad, 1).otherwise(0))
+    for k, path in enumerate(LISTS):
         items = F.col(f"summary.{path}")
-        kept = F.filter(items, lambda i: F.coalesce(grounded(i.source_quote), F.lit(True)))
-        removed = removed + F.coalesce(F.size(F.coalesce(items, F.array())) - F.size(F.coalesce(kept, F.array())), F.lit(0))
-        out = out.withField(path, kept)
-    return x.select("rfp_id", out.alias("summary"), removed.alias("removed"))
+        x = x.withColumn(f"_kept{k}", F.filter(items, lambda i: F.coalesce(grounded(i.source_quote), F.lit(True))))
+        made[path] = F.col(f"_kept{k}")
+        lost.append(F.coalesce(F.size(F.coalesce(items, F.array())) - F.size(F.coalesce(f"_kept{k}", F.array())), F.lit(0)))
+
+    def rebuilt(at: Column, kind, above: str = "") -> Column:
+        fields = []
+        for f in kind.fields:
+            path = above + f.name
+            inner = any(p.startswith(path + ".") for p in made)
+            fields.append((made[path] if path in made else rebuilt(at[f.name], f.dataType, path + ".") if inner else at[f.name]).alias(f.name))
+        return F.when(at.isNotNull(), F.struct(*fields))
+
+    return x.select("rfp_id", rebuilt(s, x.schema["summary"].dataType).alias("summary"), sum(lost, F.lit(0)).alias("removed"))
 
 
 def evaluation_criteria(requirements: DataFrame, summaries: DataFrame) -> DataFrame:
