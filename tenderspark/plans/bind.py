@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,15 +53,20 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A model table, or a base table."""
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table as a stream of its files. A file source takes folders and patterns, not the path of one file."""
+    return spark.readStream.schema(base(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[SparkSession, str, str], DataFrame] = base) -> DataFrame:
+    """A model table, or a base table, read by `read`."""
     if name in BASE:
-        return base(spark, sf_dir, name)
+        return read(spark, sf_dir, name)
     sql, used = VIEWS[name], set()
     for t in BASE:
         if re.search(rf"\bFROM {t}\b", sql):
             sql, used = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql), used | {t}
-    return spark.sql(sql, **{t: base(spark, sf_dir, t) for t in used})
+    return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in used})
 
 
 def oracle(sql: str) -> str:

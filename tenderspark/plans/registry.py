@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tenderspark.plans import matrix, operations, prompts, search, texts
+from tenderspark.plans import matrix, operations, prompts, search, streams, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for family in (matrix, texts, search, operations, prompts):
+for family in (matrix, texts, search, operations, prompts, streams):
     QUERIES |= family.R.queries
     ORACLES |= family.R.oracles
