@@ -156,7 +156,12 @@ R.add(
     ),
     """SELECT proposal_id AS tenant, coalesce(CASE WHEN proposal_id % 4 = 0 THEN agency END, CASE WHEN proposal_id % 3 <> 0 THEN title END, 'unnamed') AS legal_name, '-' AS cage_code FROM proposals WHERE proposal_id % 3 <> 0 OR proposal_id % 2 = 0""",
 )
-R.add("d09_proposal_snapshot", ["proposals", "sections", "requirements"], lambda p, s, r: revisions.proposal_snapshot(p, s.withColumnRenamed("created_at", "updated_at"), r))
+R.add(
+    "d09_proposal_snapshot", ["proposals", "sections", "requirements"], lambda p, s, r: revisions.proposal_snapshot(p, s.withColumn("updated_at", F.date_format("created_at", "yyyy-MM-dd")), r),
+    """WITH s AS (SELECT proposal_id, list({'section_id': section_id, 'updated_at': strftime(created_at, '%Y-%m-%d')} ORDER BY section_id, created_at) AS s FROM sections GROUP BY 1),
+        r AS (SELECT rfp_id, list({'requirement_id': requirement_id, 'raw_text_content': raw_text_content} ORDER BY requirement_id, raw_text_content) AS r FROM requirements GROUP BY 1)
+        SELECT p.proposal_id, sha256(CAST(to_json({'rfp_id': p.rfp_id, 's': s, 'r': r}) AS VARCHAR)) AS snapshot FROM proposals p LEFT JOIN s ON s.proposal_id = p.proposal_id LEFT JOIN r ON r.rfp_id = p.rfp_id""",
+)
 R.add(
     "p01_map_status", ["requirements"], lambda r: r.select("requirement_id", vocab.map_status(F.col("compliance_status")).alias("status"), vocab.map_category(F.col("category")).alias("category")),
     f"SELECT requirement_id, {STATUS} AS status, {CATEGORY} AS category FROM requirements",
