@@ -114,7 +114,20 @@ R.add(
         SELECT doc_id, missing, unverifiable, placeholders, banned, heading, CASE WHEN size < 20 THEN 'too_short' WHEN size < n * 150 THEN 'too_short_for_requirements' WHEN headings AND NOT heading THEN 'no_required_heading'
             WHEN tags AND n > 0 AND len(missing) > 0 THEN 'missing_requirement_tags' WHEN context IS NOT NULL AND unverifiable > 0 THEN 'unverifiable_facts' WHEN placeholders > 0 THEN 'placeholders' WHEN banned > 3 THEN 'filler_heavy' END AS rejection FROM y""",
 )
-R.add("f20_markdown_blocks", ["documents"], lambda d: d.select("doc_id", chunking.markdown_to_text(chunking.parse_markdown(F.concat(F.lit("## Head\n- a **b**\n"), F.col("text")))).alias("plain")))
+MARKED = ("## Head\n- a **b**\n", "\n\n  technical approach \nManagement Plan\nwe do **it** **so**\nTechnical Approach\n####### no\n* last")
+R.add(
+    "f20_markdown_blocks", ["documents"], lambda d: d.select("doc_id", chunking.markdown_to_text(chunking.parse_markdown(F.concat(F.lit(MARKED[0]), F.col("text"), F.lit(MARKED[1])))).alias("plain")),
+    rf"""WITH d AS (SELECT doc_id, string_split('{MARKED[0]}' || text || '{MARKED[1]}', chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, {STRIP.format("unnest(lines)")} AS line FROM d),
+        k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}} \s*\S') THEN 'heading' WHEN regexp_matches(line, '^[-*] \s*\S') THEN 'bullet' WHEN line = '' THEN 'blank'
+            WHEN lower(line) IN ({", ".join(f"'{h.lower()}'" for h in drafts.HEADINGS)}) THEN 'title' ELSE 'text' END AS kind FROM l),
+        o AS (SELECT *, last_value(CASE WHEN kind <> 'title' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+        p AS (SELECT *, kind = 'text' OR (kind = 'title' AND coalesce(before = 'text', false)) AS held FROM o), q AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY doc_id ORDER BY i), false) AS open FROM p),
+        b AS (SELECT *, sum(CASE WHEN kind = 'blank' OR (held AND open) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM q),
+        t AS (SELECT doc_id, block, string_agg(CASE kind WHEN 'heading' THEN regexp_replace(line, '^#+\s+', '') WHEN 'bullet' THEN concat('• ', regexp_replace(line, '^[-*]\s+', '')) ELSE line END, ' ' ORDER BY i) AS text FROM b WHERE kind <> 'blank' GROUP BY ALL),
+        f AS (SELECT doc_id, string_agg(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), chr(10) ORDER BY block) AS plain FROM t GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(plain, '') AS plain FROM documents LEFT JOIN f ON f.doc_id = documents.doc_id""",
+)
 R.add(
     "f24_upload_checks", ["documents", "pages"],
     lambda d, p: d.select("doc_id", F.concat("source", F.element_at(F.array(F.lit(".PDF"), F.lit(".docx"), F.lit(".exe"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))).alias("name"), (F.col("doc_id") % 5 * 20_000_000).alias("size"), F.encode("text", "UTF-8").alias("content")).select(
