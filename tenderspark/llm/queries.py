@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import decontamination, fill_middle, filter_audit, html_text, language, licenses, media, near_dedup, secrets, sentencepiece_lattice, token_ids, web_archive
+from tenderspark.llm import decontamination, fill_middle, filter_audit, html_text, language, licenses, media, near_dedup, personal_data, secrets, sentencepiece_lattice, token_ids, web_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,19 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(token_ids.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data.scan_personal(table(spark, sf_dir, "documents"), personal_data.train(personal_data.labelled_table(spark)))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(column):
+        return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+
+    base = F.filter("spans", lambda s: s.kind.isin(personal_data.BASE_KINDS))
+    return spans.select("doc_id", *map(count, personal_data.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_ids": op10_token_ids,
+    "op11_personal_data": op11_personal_data,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
