@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tenderspark.functions.columns import let
 from tenderspark.functions.numbers import money_rounded
 from tenderspark.functions.text import strip, truncate
 
@@ -56,8 +57,7 @@ def placeholders_found(text: Column) -> Column:
 
 def banned_phrases(text: Column) -> Column:
     """F-16."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in BANNED_PHRASES)))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in BANNED_PHRASES))))
 
 
 def has_required_heading(text: Column) -> Column:
@@ -67,7 +67,10 @@ def has_required_heading(text: Column) -> Column:
 
 def draft_rejection(content: Column, n: Column, headings: Column, tags: Column, context: Column) -> Column:
     """F-18: the first rule that a draft breaks, or null for a usable one."""
-    t = strip(F.coalesce(content, F.lit("")))
+    return let(strip(F.coalesce(content, F.lit(""))), lambda t: _rejection(t, n, headings, tags, context))
+
+
+def _rejection(t: Column, n: Column, headings: Column, tags: Column, context: Column) -> Column:
     size, least = F.length(t), F.greatest(F.lit(MIN_CHARS), n * CHARS_PER_REQUIREMENT)
     return F.coalesce(
         F.when(size < MIN_CHARS, "too_short"),

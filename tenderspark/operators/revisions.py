@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,13 +58,24 @@ def upsert_profiles(current: DataFrame, patches: DataFrame, defaults: dict) -> D
 
 
 def proposal_snapshot(proposals: DataFrame, sections: DataFrame, requirements: DataFrame) -> DataFrame:
-    """D-09: proposal_id, snapshot: a digest of what a draft was based on, whatever the order of rows."""
-    own = sections.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("section_id", "updated_at"))).alias("s"))
-    req = requirements.groupBy("rfp_id").agg(F.array_sort(F.collect_list(F.struct("requirement_id", "raw_text_content"))).alias("r"))
+    """D-09: proposal_id, snapshot: a digest of what a draft was based on, whatever the order of rows.
+
+    Sections and requirements become multiset digests of fixed width before they are joined, so no text leaves its row.
+    """
+    own = sections.groupBy("proposal_id").agg(multiset_digest("section_id", "updated_at").alias("s"))
+    req = requirements.groupBy("rfp_id").agg(multiset_digest("requirement_id", "raw_text_content").alias("r"))
     x = proposals.select("proposal_id", "rfp_id").join(own, "proposal_id", "left").join(req, "rfp_id", "left")
     return x.select("proposal_id", F.sha2(F.to_json(F.struct("rfp_id", "s", "r"), {"ignoreNullFields": "false"}), 256).alias("snapshot"))
 
 
+def multiset_digest(*columns: str) -> Column:
+    """An aggregate: the number of rows and four sums of 60 bits each of the rows' SHA-256, as text. Sums commute, so rows
+    combine in any order and before the shuffle; repeated rows count."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    sums = [F.sum(F.conv(F.substring(row, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return F.concat_ws(":", F.count("*").cast("string"), *sums)
+
+
 def run_verdicts(runs: DataFrame, staged: DataFrame, now: DataFrame) -> DataFrame:
     """D-08a: runs (run_id, proposal_id, status, outline_size, snapshot) with `verdict`:
     replay, inactive, conflict, incomplete or publish. now: proposal_id, snapshot."""
@@ -86,13 +97,13 @@ def publish_revision(runs: DataFrame, staged: DataFrame, sections: DataFrame, no
 
     Generated sections that nobody edited or approved go; staged sections come unless a remaining section of the
     proposal answers the same requirement or carries the same title. That `or` is two equi anti-joins. A proposal
-    publishes one run at a time. Titles compare trimmed and lower-cased.
+    publishes one run at a time. Titles compare without the white space around them and in folded case.
     """
     live = run_verdicts(runs, staged, now).where("verdict = 'publish'").select("run_id", "proposal_id")
     mine = sections.join(live.select("proposal_id").distinct().withColumn("_live", F.lit(True)), "proposal_id", "left")
     retired = F.col("_live").isNotNull() & F.col("generated_run_id").isNotNull() & ~F.coalesce("user_modified", F.lit(False)) & F.coalesce(F.col("status") != "approved", F.lit(False))
     left = mine.where(~retired).drop("_live")
-    title = lambda c: F.lower(F.trim(c))
+    title = lambda c: F.lower(F.upper(text.strip(F.col(c))))  # noqa: E731  upper first: some letters fold into two
     coming = staged.join(live, "run_id").withColumn("_title", title("section_title"))
     by_req = left.select("proposal_id", "requirement_id").where("requirement_id IS NOT NULL")
     by_title = left.select("proposal_id", title("section_title").alias("_title")).where("_title IS NOT NULL")

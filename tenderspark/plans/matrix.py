@@ -130,15 +130,15 @@ R.add(
     "d08_publish_revision", ["sections", "proposals"],
     lambda s, p: revisions.publish_revision(
         p.select((F.col("proposal_id") + 1_000_000).alias("run_id"), "proposal_id", F.when(F.col("status") == "draft", "failed").otherwise("running").alias("status"), F.lit(2).alias("outline_size"), F.lit("s").alias("snapshot")),
-        p.select((F.col("proposal_id") + 1_000_000).alias("run_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("outline_index")).selectExpr("run_id", "outline_index", "run_id * 10 + outline_index section_id", "concat(' SECTION ', cast(outline_index * 3 as string)) section_title", "CASE WHEN outline_index = 2 THEN run_id END requirement_id", "'new' content"),
-        s.selectExpr("section_id", "proposal_id", "section_title", "requirement_id", "content", "status", "CASE WHEN sort_order <> 3 THEN 1 END generated_run_id", "sort_order = 2 user_modified"),
+        p.select((F.col("proposal_id") + 1_000_000).alias("run_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("outline_index")).selectExpr("run_id", "outline_index", "run_id * 10 + outline_index section_id", "concat(chr(9), ' SECTION ', cast(outline_index * 3 as string), chr(10)) section_title", "CASE WHEN outline_index = 2 THEN run_id END requirement_id", "'new' content"),
+        s.selectExpr("section_id", "proposal_id", "CASE WHEN sort_order = 6 THEN concat(chr(12), section_title, ' ') ELSE section_title END section_title", "requirement_id", "content", "status", "CASE WHEN sort_order <> 3 THEN 1 END generated_run_id", "sort_order = 2 user_modified"),
         p.select("proposal_id", F.when(F.col("proposal_id") % 5 == 0, "changed").otherwise("s").alias("snapshot")),
     ),
     """WITH live AS (SELECT proposal_id, proposal_id + 1000000 AS run_id FROM proposals WHERE status <> 'draft' AND proposal_id % 5 <> 0),
-        old AS (SELECT section_id, proposal_id, section_title, requirement_id, content, status, CASE WHEN sort_order <> 3 THEN 1 END AS generated_run_id, sort_order = 2 AS user_modified FROM sections),
+        old AS (SELECT section_id, proposal_id, CASE WHEN sort_order = 6 THEN concat(chr(12), section_title, ' ') ELSE section_title END AS section_title, requirement_id, content, status, CASE WHEN sort_order <> 3 THEN 1 END AS generated_run_id, sort_order = 2 AS user_modified FROM sections),
         kept AS (SELECT * FROM old WHERE NOT (proposal_id IN (SELECT proposal_id FROM live) AND generated_run_id IS NOT NULL AND NOT user_modified AND coalesce(status <> 'approved', false))),
-        new AS (SELECT run_id * 10 + i AS section_id, proposal_id, concat(' SECTION ', i * 3) AS section_title, CASE WHEN i = 2 THEN run_id END AS requirement_id, 'new' AS content, 'needs_review' AS status, run_id AS generated_run_id, false AS user_modified FROM live, (SELECT unnest([1, 2]) AS i))
-        SELECT * FROM kept UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.proposal_id = n.proposal_id AND (k.requirement_id = n.requirement_id OR lower(trim(k.section_title)) = lower(trim(n.section_title))))""",
+        new AS (SELECT run_id * 10 + i AS section_id, proposal_id, concat(chr(9), ' SECTION ', i * 3, chr(10)) AS section_title, CASE WHEN i = 2 THEN run_id END AS requirement_id, 'new' AS content, 'needs_review' AS status, run_id AS generated_run_id, false AS user_modified FROM live, (SELECT unnest([1, 2]) AS i))
+        SELECT * FROM kept UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.proposal_id = n.proposal_id AND (k.requirement_id = n.requirement_id OR lower(regexp_replace(k.section_title, '^\\s+|\\s+$', '', 'g')) = lower(regexp_replace(n.section_title, '^\\s+|\\s+$', '', 'g'))))""",
 )
 R.add(
     "d06_upsert_trajectories", ["trajectories"],
@@ -156,11 +156,12 @@ R.add(
     ),
     """SELECT proposal_id AS tenant, coalesce(CASE WHEN proposal_id % 4 = 0 THEN agency END, CASE WHEN proposal_id % 3 <> 0 THEN title END, 'unnamed') AS legal_name, '-' AS cage_code FROM proposals WHERE proposal_id % 3 <> 0 OR proposal_id % 2 = 0""",
 )
+MULTISET = "concat_ws(':', count(*), " + ", ".join(f"sum(CAST(concat('0x', substring(sha256(CAST(to_json({{0}}) AS VARCHAR)), {15 * i + 1}, 15)) AS HUGEINT))" for i in range(4)) + ")"
 R.add(
     "d09_proposal_snapshot", ["proposals", "sections", "requirements"], lambda p, s, r: revisions.proposal_snapshot(p, s.withColumn("updated_at", F.date_format("created_at", "yyyy-MM-dd")), r),
-    """WITH s AS (SELECT proposal_id, list({'section_id': section_id, 'updated_at': strftime(created_at, '%Y-%m-%d')} ORDER BY section_id, created_at) AS s FROM sections GROUP BY 1),
-        r AS (SELECT rfp_id, list({'requirement_id': requirement_id, 'raw_text_content': raw_text_content} ORDER BY requirement_id, raw_text_content) AS r FROM requirements GROUP BY 1)
-        SELECT p.proposal_id, sha256(CAST(to_json({'rfp_id': p.rfp_id, 's': s, 'r': r}) AS VARCHAR)) AS snapshot FROM proposals p LEFT JOIN s ON s.proposal_id = p.proposal_id LEFT JOIN r ON r.rfp_id = p.rfp_id""",
+    f"""WITH s AS (SELECT proposal_id, {MULTISET.format("{'section_id': section_id, 'updated_at': strftime(created_at, '%Y-%m-%d')}")} AS s FROM sections GROUP BY 1),
+        r AS (SELECT rfp_id, {MULTISET.format("{'requirement_id': requirement_id, 'raw_text_content': raw_text_content}")} AS r FROM requirements GROUP BY 1)
+        SELECT p.proposal_id, sha256(CAST(to_json({{'rfp_id': p.rfp_id, 's': s, 'r': r}}) AS VARCHAR)) AS snapshot FROM proposals p LEFT JOIN s ON s.proposal_id = p.proposal_id LEFT JOIN r ON r.rfp_id = p.rfp_id""",
 )
 R.add(
     "p01_map_status", ["requirements"], lambda r: r.select("requirement_id", vocab.map_status(F.col("compliance_status")).alias("status"), vocab.map_category(F.col("category")).alias("category")),

@@ -40,9 +40,9 @@ WINDOWS = """WITH RECURSIVE e AS (SELECT user_id AS key, ts FROM events), w AS (
     n AS (SELECT w.key, w.s, count(*) AS n FROM w JOIN e ON e.key = w.key AND e.ts >= w.s AND e.ts < w.s + INTERVAL 6 HOUR WHERE w.s IS NOT NULL GROUP BY ALL)"""
 R.add("w14_anchored_windows", ["events"], lambda e: ops.anchored_windows(e.selectExpr("user_id key", "ts", "event_id"), 6 * 3600, 3), WINDOWS + " SELECT key, s AS window_start, n, n > 3 AS over_limit FROM n")
 R.add("w15_suppressed_warnings", ["events"], lambda e: ops.suppressed_warnings(e.selectExpr("user_id key", "ts", "event_id"), 6 * 3600), WINDOWS + " SELECT key, s AS ts, coalesce(lag(n) OVER (PARTITION BY key ORDER BY s) - 1, 0) AS suppressed FROM n")
-R.add("d11_idempotent_requests", ["requests"], revisions.idempotent_requests,
-    """SELECT *, CASE WHEN idempotency_key IS NULL THEN 'new' WHEN NOT regexp_matches(idempotency_key, '\\S') THEN 'invalid' WHEN row_number() OVER w = 1 THEN 'new' WHEN first_value(request_hash) OVER w = request_hash THEN 'replay' ELSE 'conflict' END AS outcome
-        FROM requests WINDOW w AS (PARTITION BY user_id, operation, idempotency_key ORDER BY ts, request_id)""")
+D11 = r"""SELECT *, CASE WHEN idempotency_key IS NULL THEN 'new' WHEN NOT regexp_matches(idempotency_key, '\S') THEN 'invalid' WHEN row_number() OVER w = 1 THEN 'new' WHEN first_value(request_hash) OVER w = request_hash THEN 'replay' ELSE 'conflict' END AS outcome
+        FROM requests WINDOW w AS (PARTITION BY user_id, operation, idempotency_key ORDER BY ts, request_id)"""
+R.add("d11_idempotent_requests", ["requests"], revisions.idempotent_requests, D11)
 R.add("d12_single_use_tickets", ["events"],
     lambda e: revisions.single_use_tickets(e.where("event_type = 'view'").selectExpr("event_id % 1000 ticket", "user_id % 3 proposal_id", "ts").groupBy("ticket").agg(F.min("ts").alias("ts"), F.min("proposal_id").alias("proposal_id")),
         e.where("event_type <> 'view'").selectExpr("event_id redemption_id", "event_id % 1000 ticket", "user_id % 3 proposal_id", "ts"), 40_000_000),

@@ -1,23 +1,48 @@
 """Structured Streaming twins of the batch jobs in `operators.ops` and `operators.revisions`.
 
 Sources are streaming DataFrames of the caller. Keyed state is small (a window's start and count, a hash, the last
-status) and expires by timer or watermark, so it does not grow with the length of the stream.
+status) and is cleared by event-time timers, when the watermark passes the time up to which it can matter: never by the
+clock of the machines, so a pause of any length between micro-batches changes nothing.
+
+Late rows: the engine drops rows older than the watermark (`late` behind the newest row) that held in the micro-batch
+before. A row that is older than its key's newest but not late takes part as if it came now.
+
+The keyed jobs need a state store with column families: run their queries within `rocksdb_state(spark)`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tenderspark.functions import vocab
+from tenderspark.functions import text, vocab
+from tenderspark.operators.revisions import KEY_CHARS
 
 TERMINAL = ("completed", "failed")
 POLL_SECONDS = 600
+KEEP_SECONDS = 86_400
+OUT_ROWS = 10_000  # rows of a frame that a keyed job yields at once
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def stream_llm_usage(calls: DataFrame) -> DataFrame:
@@ -34,111 +59,221 @@ def stream_llm_usage_windows(calls: DataFrame, width: str = "5 minutes", late: s
     return timed.groupBy(F.window("ts", width).alias("window"), "model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
 
-def _stateful(df: DataFrame, keys: list[str], fn: Callable, out: str, state: str, mode: str = "append") -> DataFrame:
-    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    return df.groupBy(*keys).applyInPandasWithState(fn, out, state, mode, GroupStateTimeout.ProcessingTimeTimeout)
+class _Timed(StatefulProcessor):
+    """State that one event-time timer clears. `state` is the schema of its value."""
 
+    state = ""
 
-def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    parts = list(batches)
-    return pd.concat(parts).sort_values(by) if parts else pd.DataFrame()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.value = handle, handle.getValueState("value", self.state)
 
+    def until(self, micros: int, before: int | None = None) -> None:
+        """Keep the state until the watermark passes `micros`; `before` is the time set earlier."""
+        if before is not None:
+            self.handle.deleteTimer(-(-before // 1000))
+        self.handle.registerTimer(-(-micros // 1000))
 
-def stream_attempt_windows(events: DataFrame, seconds: int, limit: int, keep_ms: int = 3_600_000) -> DataFrame:
-    """T-02: each event with the count of its key's window, which begins with its first event and does not grow.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self.value.clear()
+        return iter([])
 
-    events: key, ts, event_id. Events of a key must arrive in time order across micro-batches for equality with batch.
-    """
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        out = []
-        for ts in _in_order(batches, ["ts", "event_id"])["ts"]:
-            at = ts.value // 1000
-            if start is None or at >= start + seconds * 1_000_000:
-                start, n = at, 0
-            n += 1
-            out.append((key[0], pd.Timestamp(start, unit="us"), ts, n, n > limit, max(1, -(-(start + seconds * 1_000_000 - at) // 1_000_000))))
-        state.update((start, n))
-        state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(out, columns=["key", "window_start", "ts", "n", "over_limit", "seconds_left"])
 
-    kind = dict(events.dtypes)["key"]
-    return _stateful(events, ["key"], step, f"key {kind}, window_start timestamp, ts timestamp, n long, over_limit boolean, seconds_left long", "start long, n long")
+def _keyed(df: DataFrame, keys: list[str], late: str, processor: StatefulProcessor, out: str) -> DataFrame:
+    """Rows with `at`, the microseconds of ts, to the processor of their key."""
+    timed = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
 
 
-def stream_suppressed_warnings(events: DataFrame, seconds: int = 60, keep_ms: int = 3_600_000) -> DataFrame:
-    """T-06: the first event of each interval with the count suppressed since the emission before it."""
+def _in_order(frames: Iterator[pd.DataFrame], tie: str) -> np.ndarray:
+    """The times of a key's rows, in order: two numbers a row are held, not the rows."""
+    held = [(f["at"].to_numpy(), f[tie].to_numpy()) for f in frames]
+    at, ties = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    return at[np.lexsort((ties, at))]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, held = state.get if state.exists else (None, 0)
-        out = []
-        for ts in _in_order(batches, ["ts", "event_id"])["ts"]:
-            at = ts.value // 1000
-            if last is not None and at - last < seconds * 1_000_000:
-                held += 1
-                continue
-            out.append((key[0], ts, held))
-            last, held = at, 0
-        state.update((last, held))
-        state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(out, columns=["key", "ts", "suppressed"])
 
-    kind = dict(events.dtypes)["key"]
-    return _stateful(events, ["key"], step, f"key {kind}, ts timestamp, suppressed long", "last long, held long")
+class _Windows(_Timed):
+    state = "start long, n long"
 
+    def __init__(self, micros: int):
+        self.micros = micros
 
-def stream_progress(log: DataFrame, poll_seconds: int = POLL_SECONDS) -> DataFrame:
-    """T-03: a document's view when it changes, up to a terminal state; a note when nothing came for the poll budget."""
+    def windows(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, events counted before, times counted now) for each window that the rows fall into. The state is that of
+        the last window, and lives to its end."""
+        at = _in_order(frames, "event_id")
+        start, n = self.value.get() if self.value.exists() else (None, 0)
+        first, i = start, 0
+        while i < len(at):
+            if start is None or at[i] >= start + self.micros:
+                start, n = int(at[i]), 0
+            j = int(np.searchsorted(at, start + self.micros, "left"))
+            yield start, n, at[i:j]
+            n, i = n + j - i, j
+        self.value.update((start, n))
+        if start != first:
+            self.until(start + self.micros, None if first is None else first + self.micros)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "ts", "status", "n_requirements", "timed_out"]
-        if state.hasTimedOut:
-            last, n, done = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame([(key[0], pd.NaT, last, n, True)], columns=columns)
-            return
-        last, n, done = state.get if state.exists else (None, None, False)
-        out = []
-        for row in _in_order(batches, ["ts", "status"]).itertuples(index=False):
-            if not done and (row.status, row.n_requirements) != (last, n):
-                last, n, done = row.status, row.n_requirements, row.status in TERMINAL
-                out.append((key[0], row.ts, last, n, False))
-        state.update((last, n, done))
-        state.setTimeoutDuration(poll_seconds * 1000)
-        yield pd.DataFrame(out, columns=columns)
 
+class _Attempts(_Windows):
+    def __init__(self, micros: int, limit: int):
+        super().__init__(micros)
+        self.limit = limit
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        for start, n, at in self.windows(rows):
+            for k in range(0, len(at), OUT_ROWS):
+                part = at[k : k + OUT_ROWS]
+                counts = n + k + 1 + np.arange(len(part))
+                left = np.maximum(1, -((part - start - self.micros) // 1_000_000))
+                yield pd.DataFrame({"key": [key[0]] * len(part), "start": start, "at": part, "n": counts, "over_limit": counts > self.limit, "seconds_left": left})
+
+
+class _Warnings(_Windows):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        out, open_ = [], self.value.get() if self.value.exists() else (None, 0)
+        for start, n, at in self.windows(rows):
+            if start != open_[0]:
+                out.append((key[0], start, max(open_[1] - 1, 0)))
+            open_ = (start, n + len(at))
+        yield pd.DataFrame(out, columns=["key", "at", "suppressed"])
+
+
+def stream_attempt_windows(events: DataFrame, seconds: int, limit: int, late: str = "10 minutes") -> DataFrame:
+    """T-02: each event (key, ts, event_id) with the count of its key's window, which begins with its first event, does not
+    grow, and ends after `seconds` of event time; equal to W-14 when micro-batches bring events in time order. An event
+    older than the open window's start counts into that window."""
+    kind = dict(events.dtypes)["key"]
+    out = _keyed(events.select("key", "ts", "event_id"), ["key"], late, _Attempts(seconds * 1_000_000, limit), f"key {kind}, start long, at long, n long, over_limit boolean, seconds_left long")
+    return out.select("key", F.timestamp_micros("start").alias("window_start"), F.timestamp_micros("at").alias("ts"), "n", "over_limit", "seconds_left")
+
+
+def stream_suppressed_warnings(events: DataFrame, seconds: int = 60, keep_seconds: int = KEEP_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """T-06: the first event of each interval with the count suppressed since the emission before it; a count waits up to
+    `keep_seconds` of event time for the emission that reports it, then it is dropped."""
+    kind = dict(events.dtypes)["key"]
+    out = _keyed(events.select("key", "ts", "event_id"), ["key"], late, _Reported(seconds * 1_000_000, keep_seconds * 1_000_000), f"key {kind}, at long, suppressed long")
+    return out.select("key", F.timestamp_micros("at").alias("ts"), "suppressed")
+
+
+class _Reported(_Warnings):
+    """The count of a window is reported by the next one, so it outlives its window."""
+
+    def __init__(self, micros: int, keep: int):
+        super().__init__(micros)
+        self.keep = max(keep, micros)
+
+    def until(self, micros: int, before: int | None = None) -> None:
+        more = self.keep - self.micros
+        super().until(micros + more, None if before is None else before + more)
+
+
+class _Progress(_Timed):
+    state = "status string, n long, done boolean, seen long"
+
+    def __init__(self, micros: int):
+        self.micros = micros
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        names: list[str] = []
+        codes: dict[str | None, int] = {}
+        held = []
+        for f in rows:  # times, codes of states and numbers: three numbers a row
+            for s in f["status"].unique():
+                if s not in codes:
+                    codes[s] = len(names)
+                    names.append(s)
+            held.append((f["at"].to_numpy(), f["status"].map(codes).to_numpy(), f["n_requirements"].fillna(-1).to_numpy(np.int64)))
+        at, status, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        rank = np.argsort(np.argsort(np.array([x or "" for x in names])))
+        order = np.lexsort((rank[status], at))
+        at, status, n = at[order], status[order], n[order]
+        last = self.value.get() if self.value.exists() else None
+        changed = np.concatenate([[True], (status[1:] != status[:-1]) | (n[1:] != n[:-1])])
+        if last is not None:
+            changed[0] = (names[status[0]], int(n[0])) != (last[0], last[1])
+        ends = np.flatnonzero(changed & np.isin(status, [codes[s] for s in TERMINAL if s in codes]))
+        closed = last is not None and last[2]
+        if closed or len(ends):
+            changed[0 if closed else ends[0] + 1 :] = False  # nothing follows the first terminal state
+        hits = np.flatnonzero(changed)
+        for k in range(0, len(hits), OUT_ROWS):
+            part = hits[k : k + OUT_ROWS]
+            yield pd.DataFrame({"doc_id": [key[0]] * len(part), "at": at[part], "status": [names[c] for c in status[part]], "n_requirements": pd.array(n[part]).astype("Int64"), "timed_out": False})
+        final = (names[status[hits[-1]]], int(n[hits[-1]]), closed or bool(len(ends))) if len(hits) else tuple(last[:3])
+        seen = max(int(at[-1]), last[3] if last else int(at[-1]))
+        self.value.update((*final, seen))
+        if last is None or seen != last[3]:
+            self.until(seen + self.micros, None if last is None else last[3] + self.micros)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        status, n, done, _ = self.value.get()
+        self.value.clear()
+        if not done:
+            yield pd.DataFrame({"doc_id": [key[0]], "at": pd.array([None], "Int64"), "status": [status], "n_requirements": pd.array([n], "Int64"), "timed_out": True})
+
+
+def stream_progress(log: DataFrame, poll_seconds: int = POLL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """T-03: a document's view when it changes, up to a terminal state; a note when the watermark is `poll_seconds` past
+    its newest row and it has not ended. After either the document is forgotten, and a later row begins anew. A null number
+    of requirements reads as -1."""
     kind = dict(log.dtypes)["doc_id"]
-    changes = _stateful(log, ["doc_id"], step, f"doc_id {kind}, ts timestamp, status string, n_requirements long, timed_out boolean", "status string, n long, done boolean")
-    return changes.withColumn("view", vocab.pipeline_view(F.col("status")))
+    out = _keyed(log.select("doc_id", "ts", "status", "n_requirements"), ["doc_id"], late, _Progress(poll_seconds * 1_000_000), f"doc_id {kind}, at long, status string, n_requirements long, timed_out boolean")
+    return out.select("doc_id", F.timestamp_micros("at").alias("ts"), "status", "n_requirements", "timed_out").withColumn("view", vocab.pipeline_view(F.col("status")))
+
+
+class _Requests(_Timed):
+    state = "hash string"
+
+    def __init__(self, keep: int, kind: str):
+        self.keep, self.kind = keep, kind
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", f"request_id {self.kind}, hash string")
 
-def stream_idempotent(requests: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
-    """T-04: outcome of each keyed request: new, replay or conflict. The first hash of a key is kept for `keep_ms`."""
+    @staticmethod
+    def judged(ids: list, hashes: list, first: tuple, new=None) -> pd.DataFrame:
+        same = ["replay" if h is not None and h == first[0] else "conflict" for h in hashes]
+        return pd.DataFrame({"request_id": ids, "outcome": ["new" if new is not None and i == new else s for i, s in zip(ids, same, strict=True)]})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        if self.value.exists():
+            first = self.value.get()
+            for f in rows:
+                yield self.judged(f["request_id"].tolist(), f["request_hash"].tolist(), first)
             return
-        first = state.get[0] if state.exists else None
-        out = []
-        for row in _in_order(batches, ["ts", "request_id"]).itertuples(index=False):
-            outcome = "new" if first is None else "replay" if row.request_hash == first else "conflict"
-            first = row.request_hash if first is None else first
-            out.append((row.request_id, outcome))
-        state.update((first,))
-        state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(out, columns=["request_id", "outcome"])
-
-    kind = dict(requests.dtypes)["request_id"]
-    return _stateful(requests, ["user_id", "operation", "idempotency_key"], step, f"request_id {kind}, outcome string", "hash string")
+        # The first batch of a key: its earliest row is known at the end. One frame is judged at once; more wait in the
+        # state store, not in memory.
+        best, held = None, None
+        for f in rows:
+            early = f.sort_values(["at", "request_id"]).iloc[0]
+            mine = (early["at"], early["request_id"], early["request_hash"])
+            best = mine if best is None or mine[:2] < best[:2] else best
+            if held is not None:
+                self.waiting.appendList(held)
+            held = list(zip(f["request_id"].tolist(), f["request_hash"].tolist(), strict=True))
+        first = (best[2],)
+        self.value.update(first)
+        self.until(int(best[0]) + self.keep)
+        waiting = chain(self.waiting.get(), held) if self.waiting.exists() else iter(held)
+        while part := [x for _, x in zip(range(OUT_ROWS), waiting, strict=False)]:
+            yield self.judged([x[0] for x in part], [x[1] for x in part], first, best[1])
+        self.waiting.clear()
+
+
+def stream_idempotent(requests: DataFrame, keep_seconds: int = KEEP_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """T-04: outcome of each request, as D-11 has it: new, replay, conflict or invalid. The first hash of a key is kept
+    for `keep_seconds` of event time. Requests without a key, or with a blank or overlong one, need no state and so make
+    no hot group. request_id identifies a request."""
+    kind, key = dict(requests.dtypes)["request_id"], F.col("idempotency_key")
+    bad = F.coalesce((text.strip(key) == "") | (F.length(key) > KEY_CHARS), F.lit(False))
+    stateless = requests.where(key.isNull() | bad).select("request_id", F.when(bad, "invalid").otherwise("new").alias("outcome"))
+    keyed = requests.where(key.isNotNull() & ~bad).select("user_id", "operation", "idempotency_key", "ts", "request_id", "request_hash")
+    judged = _keyed(keyed, ["user_id", "operation", "idempotency_key"], late, _Requests(keep_seconds * 1_000_000, kind), f"request_id {kind}, outcome string")
+    return judged.unionByName(stateless)
 
 
 def stream_requirements(matrices: DataFrame, replace: Callable[[DataFrame, DataFrame], None], checkpoint: str) -> StreamingQuery:

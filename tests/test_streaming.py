@@ -28,8 +28,8 @@ def feed(spark, tmp_path):
 
 
 def run(spark, stream, name, tmp_path, mode="append"):
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers alone would keep batches coming
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+    with jobs.rocksdb_state(spark):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
     assert q.awaitTermination(90) and q.exception() is None
     return spark.table(name)
 
@@ -70,10 +70,72 @@ def test_progress_and_requests(spark, feed, tmp_path):
     assert [x.status for x in out.orderBy("ts").collect()] == ["pending", "parsing", "extracting", "completed"]
     assert [x.status for x in ops.progress_changes(batch)[0].orderBy("ts").collect()] == ["pending", "parsing", "extracting", "completed", "failed"]
     r = random.Random(7)
-    log = [(i, "u", "op", r.choice("abc"), r.choice("xy"), T0 + dt.timedelta(seconds=i)) for i in range(40)]
+    log = [(i, "u", "op", r.choice(["a", "b", "c", None, " ", "\t", "x" * 200]), r.choice(["x", "y", None]), T0 + dt.timedelta(seconds=i // 2)) for i in range(80)]
     batch, stream = feed("requests", log, "request_id int, user_id string, operation string, idempotency_key string, request_hash string, ts timestamp")
     got = run(spark, jobs.stream_idempotent(stream), "idempotent", tmp_path)
-    assert {tuple(x) for x in got.collect()} == {(x.request_id, x.outcome) for x in revisions.idempotent_requests(batch).collect()}
+    wanted = {(x.request_id, x.outcome) for x in revisions.idempotent_requests(batch).collect()}
+    assert {tuple(x) for x in got.collect()} == wanted and {o for _, o in wanted} == {"new", "replay", "conflict", "invalid"}
+
+
+def test_progress_over_batches_is_the_batch_job(spark, feed, tmp_path):
+    r = random.Random(3)
+    rows = [(r.randint(0, 4), T0 + dt.timedelta(seconds=i), r.choice(["pending", "parsing", "extracting"]), r.choice([0, 1, None])) for i in range(150)]
+    batch, stream = feed("log", rows, "doc_id int, ts timestamp, status string, n_requirements long", parts=5)
+    out = run(spark, jobs.stream_progress(stream), "progress_many", tmp_path).where("not timed_out").select("doc_id", "ts", "status", "n_requirements")
+    assert {tuple(x) for x in out.collect()} == {tuple(x) for x in ops.progress_changes(batch.fillna(-1, ["n_requirements"]))[0].collect()}
+
+
+def test_progress_note_after_the_poll_budget(spark, feed, tmp_path):
+    rows = [("quiet", T0, "pending", 0), ("ended", T0, "failed", 0), ("busy", T0 + dt.timedelta(minutes=5), "pending", 0), ("busy", T0 + dt.timedelta(minutes=40), "parsing", 0)]
+    _, stream = feed("log", rows, "doc_id string, ts timestamp, status string, n_requirements long", parts=4)
+    out = run(spark, jobs.stream_progress(stream, 600, "1 minute"), "notes", tmp_path)
+    assert [(x.doc_id, x.status) for x in out.where("timed_out").collect()] == [("quiet", "pending")]
+
+
+@pytest.mark.parametrize("gap", [0, 3600])
+def test_window_state_lives_to_the_end_of_its_window(spark, feed, tmp_path, gap):
+    """Three events of a window in three micro-batches, other keys' events far ahead within the lateness: still one window."""
+    hours = [0, 2, 5, 6]
+    rows = [("a", i, T0 + dt.timedelta(hours=h)) for i, h in enumerate(hours)]
+    rows = [x for row in rows for x in (row, ("b", row[1], row[2] + dt.timedelta(seconds=gap)))]
+    batch, stream = feed("events", rows, "key string, event_id int, ts timestamp", parts=4)
+    out = run(spark, jobs.stream_attempt_windows(stream, 6 * 3600, 2, "2 hours"), f"pause{gap}", tmp_path)
+    own = sorted((x.ts, x.n, x.over_limit) for x in out.where("key = 'a'").collect())
+    assert [(n, over) for _, n, over in own] == [(1, False), (2, False), (3, True), (1, False)]
+    whole = {tuple(x) for x in ops.anchored_windows(batch, 6 * 3600, 2).select("key", "window_start", "n").collect()}
+    assert {tuple(x) for x in out.groupBy("key", "window_start").agg(F.max("n")).collect()} == whole
+
+
+def test_late_events(spark, feed, tmp_path):
+    """Within the lateness an older event counts into the open window; behind it, it is dropped."""
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("a", 1, minute(10)), ("a", 2, minute(8)), ("b", 3, minute(60)), ("b", 3, minute(61)), ("a", 4, minute(20)), ("a", 5, minute(61))]
+    _, stream = feed("events", rows, "key string, event_id int, ts timestamp", parts=6)
+    out = run(spark, jobs.stream_attempt_windows(stream, 3600, 9, "5 minutes"), "late", tmp_path)
+    assert sorted((x.window_start, x.ts, x.n) for x in out.where("key = 'a'").collect()) == [(minute(10), minute(8), 2), (minute(10), minute(10), 1), (minute(10), minute(61), 3)]
+
+
+def test_counts_of_a_warning_outlive_its_interval(spark, feed, tmp_path):
+    rows = [("a", i, T0 + dt.timedelta(seconds=s)) for i, s in enumerate([0, 10, 20, 4000, 4010, 90_000, 400_000])]
+    batch, stream = feed("events", rows, "key string, event_id int, ts timestamp", parts=7)
+    out = run(spark, jobs.stream_suppressed_warnings(stream, 60, 200_000, "1 second"), "outlive", tmp_path)
+    assert [x.suppressed for x in out.orderBy("ts").collect()] == [0, 2, 1, 0]
+    assert {tuple(x) for x in out.collect()} == {tuple(x) for x in ops.suppressed_warnings(batch, 60).collect()}
+
+
+def test_hot_key(spark, tmp_path):
+    """One key with many rows in a batch: several frames, judged and counted as the batch jobs do."""
+    n = 60_000
+    spark.range(n).selectExpr("id AS request_id", "'u' AS user_id", "'o' AS operation", "'k' AS idempotency_key", "cast(id % 3 AS string) AS request_hash", "timestamp_seconds(1700000000 + (id * 7919) % 50000) AS ts").coalesce(1).write.parquet(f"{tmp_path}/requests")
+    schema = spark.read.parquet(f"{tmp_path}/requests").schema
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/requests")
+    got = run(spark, jobs.stream_idempotent(stream), "hot_requests", tmp_path)
+    wanted = revisions.idempotent_requests(spark.read.parquet(f"{tmp_path}/requests"))
+    assert got.count() == n and got.select("request_id", "outcome").exceptAll(wanted.select("request_id", "outcome")).count() == 0
+    keyed = lambda d: d.selectExpr("user_id key", "ts", "request_id event_id")
+    out = run(spark, jobs.stream_attempt_windows(keyed(stream), 600, 5), "hot_events", tmp_path)
+    whole = ops.anchored_windows(keyed(spark.read.parquet(f"{tmp_path}/requests")), 600, 5).select("window_start", "n")
+    assert out.count() == n and {tuple(x) for x in out.groupBy("window_start").agg(F.max("n")).collect()} == {tuple(x) for x in whole.collect()}
 
 
 def test_requirements(spark, feed, tmp_path):
