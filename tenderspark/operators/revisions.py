@@ -103,7 +103,7 @@ def publish_revision(runs: DataFrame, staged: DataFrame, sections: DataFrame, no
     mine = sections.join(live.select("proposal_id").distinct().withColumn("_live", F.lit(True)), "proposal_id", "left")
     retired = F.col("_live").isNotNull() & F.col("generated_run_id").isNotNull() & ~F.coalesce("user_modified", F.lit(False)) & F.coalesce(F.col("status") != "approved", F.lit(False))
     left = mine.where(~retired).drop("_live")
-    title = lambda c: F.lower(F.upper(text.strip(F.col(c))))  # noqa: E731  upper first: some letters fold into two
+    title = lambda c: F.upper(text.strip(F.col(c)))  # noqa: E731  upper, not lower: some letters fold into two
     coming = staged.join(live, "run_id").withColumn("_title", title("section_title"))
     by_req = left.select("proposal_id", "requirement_id").where("requirement_id IS NOT NULL")
     by_title = left.select("proposal_id", title("section_title").alias("_title")).where("_title IS NOT NULL")
