@@ -53,11 +53,6 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table as a stream of its files. A file source takes folders and patterns, not the path of one file."""
-    return spark.readStream.schema(base(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
-
-
 def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[SparkSession, str, str], DataFrame] = base) -> DataFrame:
     """A model table, or a base table, read by `read`."""
     if name in BASE:

@@ -208,7 +208,7 @@ def replaced(r):
     tables.replace_requirements(r, r.select("rfp_id"), path)
     third = r.where("rfp_id % 3 = 0")
     tables.replace_requirements(third.where("extraction_order < 5"), third.select("rfp_id"), path)
-    return r.sparkSession.read.parquet(path).select("requirement_id", "rfp_id", "raw_text_content")
+    return tables.read_requirements(r.sparkSession, path).select("requirement_id", "rfp_id", "raw_text_content")
 
 
 R.add("s07_replace_requirements", ["requirements"], replaced, "SELECT requirement_id, rfp_id, raw_text_content FROM requirements WHERE rfp_id % 3 <> 0 OR extraction_order < 5")

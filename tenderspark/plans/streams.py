@@ -65,13 +65,19 @@ add("t06_suppressed_warnings", "events", lambda e: jobs.stream_suppressed_warnin
 
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table in which every third document has one old row, then replaced by the stream of the extracted rows."""
-    path, state = new_path(spark, "requirements"), new_path(spark, "state")
-    old = bind.view(spark, sf_dir, "requirements").where("rfp_id % 3 = 0").groupBy("rfp_id").agg(F.min("requirement_id").alias("requirement_id"), F.lit("old").alias("raw_text_content"))
+    """A table in which every third document has one old row, then replaced by the stream of the extracted rows, a half of
+    the documents a micro-batch; the last batch comes twice."""
+    path, state, source = (new_path(spark, n) for n in ("requirements", "state", "source"))
+    rows = bind.view(spark, sf_dir, "requirements")
+    old = rows.where("rfp_id % 3 = 0").groupBy("rfp_id").agg(F.min("requirement_id").alias("requirement_id"), F.lit("old").alias("raw_text_content"))
     tables.replace_requirements(old, old.select("rfp_id"), path)
-    coming = bind.view(spark, sf_dir, "requirements", bind.stream).select("rfp_id", "requirement_id", "raw_text_content")
-    jobs.stream_requirements(coming, lambda df, ids: tables.replace_requirements(df, ids, path), state).awaitTermination()
-    return spark.read.parquet(path).select("requirement_id", "rfp_id", "raw_text_content")
+    coming = rows.select("rfp_id", "requirement_id", "raw_text_content")
+    put = lambda df, ids, number: tables.replace_requirements(df.select(old.columns), ids, path, ("stream", number))
+    for half in (0, 1):
+        coming.where(f"rfp_id % 2 = {half}").write.mode("append").parquet(source)
+        jobs.stream_requirements(spark.readStream.schema(coming.schema).parquet(source), put, state).awaitTermination()
+    put(coming.limit(0), rows.select("rfp_id"), 1)
+    return tables.read_requirements(spark, path).select("requirement_id", "rfp_id", "raw_text_content")
 
 
 R.queries["t05_stream_requirements"] = replaced

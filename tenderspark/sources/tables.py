@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderspark.functions import text
 from tenderspark.functions.drafts import ATTEMPTS
 from tenderspark.operators.matrix import SUMMARY
-from tenderspark.sources.shared import written
+from tenderspark.sources import versions
 
 # Fixed values.
 SUFFIXES = [".pdf", ".docx", ".txt"]
@@ -69,29 +68,15 @@ def read_json_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(path)
 
 
-def replace_requirements(new: DataFrame, touched: DataFrame, path: str, buckets: int = 64) -> None:
-    """S-07, D-13: the touched documents' rows become those of `new`, also where it has none.
-
-    The table is partitioned by a hash bucket of rfp_id. Only buckets of touched documents are read and overwritten.
-    """
-    spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64("rfp_id"), F.lit(buckets)).cast("int")
-    ids = touched.select("rfp_id").distinct()
-    hit = ids.select(bucket.alias("rfp_bucket")).distinct()
-    fresh = new.join(ids, "rfp_id", "left_semi").withColumn("rfp_bucket", bucket)
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:  # the first write
-        fresh.write.partitionBy("rfp_bucket").parquet(path)
-        return
-    kept = old.join(F.broadcast(hit), "rfp_bucket", "left_semi").join(ids, "rfp_id", "left_anti")
-    out = written(kept.select(fresh.columns).unionByName(fresh), "matrix")  # what is read must not be overwritten meanwhile
-    cleared = [r.rfp_bucket for r in hit.join(out.select("rfp_bucket").distinct(), "rfp_bucket", "left_anti").collect()]  # at most `buckets` rows
-    out.repartition("rfp_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rfp_bucket").parquet(path)
-    if cleared:
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        for b in cleared:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rfp_bucket={b}"), True)
+def replace_requirements(new: DataFrame, touched: DataFrame, path: str, batch: tuple[str, int] | None = None, bucket_bytes: int = versions.BUCKET_BYTES) -> bool:
+    """S-07, D-13: the touched documents' rows become those of `new`, also where it has none, in one step for readers; a
+    repeated batch (source, number) changes nothing."""
+    return versions.replace(new, touched, path, "rfp_id", batch, bucket_bytes)
+
+
+def read_requirements(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that `replace_requirements` keeps."""
+    return versions.read(spark, path)
 
 
 def write_matrix_csv(requirements: DataFrame, path: str) -> None:

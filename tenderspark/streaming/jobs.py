@@ -276,11 +276,11 @@ def stream_idempotent(requests: DataFrame, keep_seconds: int = KEEP_SECONDS, lat
     return judged.unionByName(stateless)
 
 
-def stream_requirements(matrices: DataFrame, replace: Callable[[DataFrame, DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """T-05: each micro-batch of extracted rows replaces the matrices of its documents. `replace` takes the rows and the
-    touched ids and must be idempotent, as replacing is: a repeated batch changes nothing."""
+def stream_requirements(matrices: DataFrame, replace: Callable[[DataFrame, DataFrame, int], object], checkpoint: str) -> StreamingQuery:
+    """T-05: each micro-batch of extracted rows replaces the matrices of its documents. `replace` takes the rows, the touched
+    ids and the number of the batch, so that a batch that is run again after a failure can be told."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        replace(df.where("raw_text_content IS NOT NULL"), df.select("rfp_id").distinct())
+    def batch(df: DataFrame, number: int) -> None:
+        replace(df.where("raw_text_content IS NOT NULL"), df.select("rfp_id"), number)
 
     return matrices.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

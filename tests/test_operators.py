@@ -356,12 +356,12 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "rfp_id string, raw_text_content string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "rfp_id string")
     path = f"{tmp_path}/matrix"
-    state = lambda: sorted((r.rfp_id, r.raw_text_content) for r in spark.read.parquet(path).collect())
-    tables.replace_requirements(rows(("a", "1"), ("b", "2")), ids("a", "b"), path, 3)
+    state = lambda: sorted((r.rfp_id, r.raw_text_content) for r in tables.read_requirements(spark, path).collect())
+    tables.replace_requirements(rows(("a", "1"), ("b", "2")), ids("a", "b"), path)
     for _ in range(2):  # a repeated replacement changes nothing
-        tables.replace_requirements(rows(("a", "9")), ids("a", "c"), path, 3)
+        tables.replace_requirements(rows(("a", "9")), ids("a", "c"), path)
         assert state() == [("a", "9"), ("b", "2")]
-    tables.replace_requirements(rows(("x", "x")).limit(0), ids("a"), path, 3)
+    tables.replace_requirements(rows(("x", "x")).limit(0), ids("a"), path)
     assert state() == [("b", "2")]
     m = spark.createDataFrame([("p", 2, "s", "na", 'a "q", b'), ("p", 1, "s", "na", "x")], "proposal_id string, number int, section string, status string, text string")
     tables.write_matrix_csv(m, f"{tmp_path}/csv")

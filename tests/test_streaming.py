@@ -142,7 +142,7 @@ def test_requirements(spark, feed, tmp_path):
     rows = [("a", "first"), ("b", "other"), ("a", "again"), ("b", None)]
     _, stream = feed("matrix", rows, "rfp_id string, raw_text_content string", parts=2)
     path = f"{tmp_path}/table"
-    q = jobs.stream_requirements(stream, lambda df, ids: tables.replace_requirements(df, ids, path, 2), f"{tmp_path}/cp")
+    q = jobs.stream_requirements(stream, lambda df, ids, number: tables.replace_requirements(df, ids, path, ('stream', number)), f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert q.exception() is None
-    assert [tuple(x) for x in spark.read.parquet(path).select("rfp_id", "raw_text_content").collect()] == [("a", "again")]
+    assert [tuple(x) for x in tables.read_requirements(spark, path).select("rfp_id", "raw_text_content").collect()] == [("a", "again")]
