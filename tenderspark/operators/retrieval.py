@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tenderspark.functions import numbers, text as texts
 from tenderspark.functions.columns import let
+from tenderspark.operators import keyword_index
+from tenderspark.operators.keyword_index import KeywordIndex, pool_of
 from tenderspark.sources.shared import written
 
 SCORE_DIGITS = 6
@@ -27,13 +29,6 @@ FLOOR, WEAK_FLOOR = 0.35, 0.20
 LEG_FACTOR, LEG_LEAST = 3, 15
 QUOTE_WORDS, QUOTE_CHARS = 8, 20
 MAX_BROADCAST_QUOTES = 100_000
-MAX_BROADCAST_STARTS = 100_000
-STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-
-
-def pool_of(c: Column) -> Column:
-    """Pools as a plain join key: the library, whose proposal is null, is the empty string."""
-    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def metadata_filter(chunks: DataFrame, **wanted: str | None) -> DataFrame:
@@ -154,42 +149,24 @@ def ann_candidates(queries: DataFrame, chunks: DataFrame, k: int, lists: int = 1
     return ranked(found.distinct(), ["query_id", "origin"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits without stop words."""
-    found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(found, lambda w: (w != "") & ~w.isin(STOP_WORDS))
-
-
-def keyword_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def keyword_join(queries: DataFrame, chunks: DataFrame, k: int, index: KeywordIndex | None = None) -> DataFrame:
     """J-02, keyword leg: chunks that hold all terms of the query, by sum of ln(1 + frequency).
 
-    Queries that ask the same of the same pool are searched once. A search starts from its rarest term: only chunks
-    that hold it become candidates, and only candidates are verified term by term. The starting terms are sent to the
-    chunks while their number, which is counted first, is at most MAX_BROADCAST_STARTS; beyond it both sides are
-    shuffled by the term.
+    `index` is that of `chunks`; without one it is built and written here. Queries that ask the same of the same pool are
+    searched once. Only the queries' own texts are tokenised.
     """
-    asked = _query_side(queries, "text").select("query_id", "origin", "tenant", "pool", *TAGS, F.array_sort(F.array_distinct(terms(F.col("text")))).alias("terms")).where(F.size("terms") > 0)
-    asked = written(asked.withColumn("ask", F.sha2(F.to_json(F.struct("tenant", "pool", *TAGS, "terms")), 256)), "asked")
-    asks = asked.select("ask", "tenant", "pool", *(F.col(t).alias(f"q_{t}") for t in TAGS), "terms").dropDuplicates(["ask"])
-    wanted = asks.select("ask", "tenant", "pool", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    held = _chunk_side(chunks, "content").select("chunk_id", "tenant", "pool", *TAGS, F.explode(F.array_distinct(terms(F.col("content")))).alias("term"))
-    often = held.groupBy("tenant", "pool", "term").agg(F.count("*").alias("often"))
-    rarest = wanted.join(often, ["tenant", "pool", "term"], "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("r"))
-    starts = written(rarest.where("r.often > 0").select("ask", "r.term").join(asks.drop("terms"), "ask"), "starts")
-    if starts.count() <= MAX_BROADCAST_STARTS:
-        starts = F.broadcast(starts)
-    met = held.join(starts, ["tenant", "pool", "term"])
+    index = index or keyword_index.build(chunks)
+    asked = _query_side(queries, "text").select("query_id", "origin", "tenant", "pool", *TAGS, F.sort_array(F.array_distinct(keyword_index.terms(F.col("text")))).alias("terms"))
+    # Written before it is filtered: the filter would be pushed to the table behind the queries and tokenise all of it.
+    asked = written(asked, "asked").where(F.size("terms") > 0).withColumn("ask", F.sha2(F.to_json(F.struct("tenant", "pool", "terms")), 256))
+    found = keyword_index.matches(asked.select("ask", "tenant", "pool", "terms").dropDuplicates(["ask"]), index)
+    top = asked.select("ask", "query_id", "origin", *(F.col(t).alias(f"q_{t}") for t in TAGS)).join(found, "ask")
+    met = top.join(chunks.select("chunk_id", *TAGS), "chunk_id")
     for t in TAGS:
         met = met.where(F.col(f"q_{t}").isNull() | (F.col(f"q_{t}") == F.col(t)))
-    pairs = written(met.select("ask", "chunk_id").distinct(), "pairs")
-    candidates = chunks.select("chunk_id", "content").join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    tf = candidates.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    found = pairs.join(wanted.select("ask", "n", "term"), "ask").join(tf, ["chunk_id", "term"])
-    full = found.groupBy("ask", "chunk_id", "n").agg(F.count("*").alias("m"), F.round(F.sum(F.log1p("tf")), SCORE_DIGITS).alias("weight")).where("m = n")
-    best = ranked(full, ["ask"], [F.desc("weight"), F.asc("chunk_id")], k).select("ask", "chunk_id", "rank")
-    top = asked.select("ask", "query_id", "origin").join(best, "ask")
+    best = ranked(met.withColumn("weight", F.round("weight", SCORE_DIGITS)), ["query_id", "origin"], [F.desc("weight"), F.asc("chunk_id")], k).select("query_id", "origin", "chunk_id", "rank")
     # Vectors join last, to at most k rows of a query.
-    scored = top.join(queries.select("query_id", F.col("embedding").alias("x")), "query_id").join(chunks.select("chunk_id", F.col("embedding").alias("y")), "chunk_id")
+    scored = best.join(queries.select("query_id", F.col("embedding").alias("x")), "query_id").join(chunks.select("chunk_id", F.col("embedding").alias("y")), "chunk_id")
     return scored.select("query_id", "origin", "chunk_id", F.round(numbers.cosine(F.col("x"), F.col("y")), SCORE_DIGITS).alias("score"), "rank")
 
 
@@ -202,11 +179,11 @@ def rrf_fuse(dense: DataFrame, keyword: DataFrame) -> DataFrame:
     return ranked(fused, ["query_id", "origin"], [F.desc("rrf"), F.asc("leg"), F.asc("leg_rank")]).drop("leg", "leg_rank")
 
 
-def fused_hits(queries: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+def fused_hits(queries: DataFrame, chunks: DataFrame, top_k: int, index: KeywordIndex | None = None) -> DataFrame:
     """Both legs of both pools, fused and written, since floors read it several times; blank queries find nothing."""
-    asked = queries.where(texts.strip(F.coalesce("text", F.lit(""))) != "")
+    asked = written(queries, "queries").where(texts.strip(F.coalesce("text", F.lit(""))) != "")  # written for the reason given in keyword_join
     k = max(LEG_FACTOR * top_k, LEG_LEAST)
-    return written(rrf_fuse(knn_join(asked, chunks, k), keyword_join(asked, chunks, k)), "fused")
+    return written(rrf_fuse(knn_join(asked, chunks, k), keyword_join(asked, chunks, k, index)), "fused")
 
 
 def cut(fused: DataFrame, top_k: int | Column, floor: float) -> DataFrame:
@@ -218,9 +195,9 @@ def cut(fused: DataFrame, top_k: int | Column, floor: float) -> DataFrame:
     return kept.withColumn("pos", pos.cast("int")).where(F.when(F.col("origin") == "bid", F.col("rank") <= k).otherwise(F.col("pos") <= k)).drop("rank", "fused")
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, min_score: float = 0.0) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, min_score: float = 0.0, index: KeywordIndex | None = None) -> DataFrame:
     """W-03: query_id, origin, chunk_id, rrf, score, pos."""
-    return cut(fused_hits(queries, chunks, top_k), top_k, min_score)
+    return cut(fused_hits(queries, chunks, top_k, index), top_k, min_score)
 
 
 def adaptive_floor(fused: DataFrame, top_k: int | Column = 5) -> DataFrame:

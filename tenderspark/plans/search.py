@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.operators import retrieval, rollups
+from tenderspark.operators import keyword_index, retrieval, rollups
 from tenderspark.plans.registry_tools import Registry
 
 R = Registry()
@@ -23,7 +23,7 @@ def bound(e: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sql(QUERIES), sql(CHUNKS)
 
 
-STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+STOP = ", ".join(f"'{w}'" for w in keyword_index.STOP_WORDS)
 TERMS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND w NOT IN (STOP))".replace("STOP", STOP)
 BASE = f"""WITH chunks AS ({CHUNKS}), queries AS ({QUERIES}),
     asked AS (SELECT *, 'library' AS origin, '' AS pool FROM queries UNION ALL SELECT *, 'bid', CAST(proposal_id AS VARCHAR) FROM queries WHERE proposal_id IS NOT NULL),
@@ -58,6 +58,8 @@ def _add(name, fn, sql=None):
 
 _add("j01_knn_join", lambda q, c: retrieval.knn_join(q, c, 10), BASE + " SELECT * FROM dense_all WHERE rank <= 10")
 _add("j02_keyword_join", lambda q, c: retrieval.keyword_join(q, c, 10), BASE + " SELECT * FROM kw_all WHERE rank <= 10")
+_add("j02_index_terms", lambda q, c: keyword_index.build(c).terms, f"""SELECT tenant, pool, term, count(DISTINCT chunk_id) AS often
+    FROM (SELECT chunk_id, tenant, coalesce(CAST(proposal_id AS VARCHAR), '') AS pool, unnest({TERMS.format("content")}) AS term FROM ({CHUNKS}) c) x GROUP BY ALL""")
 _add("w02_rrf_fuse", lambda q, c: retrieval.fused_hits(q, c, 5), FUSED + " SELECT * FROM fused")
 _add("w03_search", lambda q, c: retrieval.search(q, c, 5, 0.3), FUSED + cut("hits", "fused", 0.3) + " SELECT * FROM hits")
 _add("w04_adaptive_floor", lambda q, c: retrieval.adaptive_floor(retrieval.fused_hits(q, c, 5)), ADAPTIVE + " SELECT *, false AS weak FROM strong UNION ALL SELECT *, true FROM faint")
