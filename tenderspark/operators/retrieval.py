@@ -11,18 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.functions import numbers, text as texts
 from tenderspark.functions.columns import let
-from tenderspark.operators import keyword_index
+from tenderspark.operators import keyword_index, vector_index
 from tenderspark.operators.keyword_index import KeywordIndex, pool_of
+from tenderspark.operators.vector_index import Codebook
 from tenderspark.sources.shared import written
 
 SCORE_DIGITS = 6
-BLOCK, QUERY_BLOCK = 4096, 1024  # chunks and queries compared at once
+BLOCK, QUERY_BLOCK, CODE_BLOCK = 4096, 1024, 65_536  # chunks, queries and codes compared at once
 RRF = 60
 TAGS = ["industry", "document_type", "outcome"]
 FLOOR, WEAK_FLOOR = 0.35, 0.20
@@ -75,11 +76,10 @@ def _top(query: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(("query_id", "origin", "chunk_id", "score"), columns, strict=True)})
 
 
-def _blocked_top(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Exact top k among chunks with equal `keys`. A large key's chunks are spread over blocks of about BLOCK and its
-    queries over blocks of about QUERY_BLOCK, each pair of blocks meets in a task, and only k rows of a query leave it."""
-    chunks, queries = chunks.where("embedding IS NOT NULL"), queries.where("embedding IS NOT NULL")
-    of_chunks = chunks.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _blocked(queries: DataFrame, chunks: DataFrame, keys: list[str], block_rows: int = BLOCK) -> tuple[GroupedData, GroupedData]:
+    """Both sides grouped for a cogroup over chunks and queries with equal `keys`: a large key's chunks are spread over blocks
+    of about `block_rows` and its queries over blocks of about QUERY_BLOCK, and each pair of blocks meets in a task."""
+    of_chunks = chunks.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     of_queries = queries.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
     blocks = of_chunks.join(of_queries, keys)
 
@@ -91,10 +91,17 @@ def _blocked_top(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int)
 
     dealt = dealt_over(chunks, "chunk_id", "block", "query_block")
     asked = dealt_over(queries, "query_id", "query_block", "block")
-    ids = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(chunks.dtypes)["chunk_id"]}
     on = [*keys, "block", "query_block"]
     asked, dealt = (d.select(*(F.col(c).alias(c) for c in d.columns)) for d in (asked, dealt))  # both may come from one table
-    met = asked.groupBy(*on).cogroup(dealt.groupBy(*on)).applyInPandas(lambda q, c: _top(q, c, k), f"query_id {ids['query_id']}, origin string, chunk_id {ids['chunk_id']}, score double")
+    return asked.groupBy(*on), dealt.groupBy(*on)
+
+
+def _blocked_top(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Exact top k among chunks with equal `keys`; only k rows of a query leave a pair of blocks."""
+    chunks, queries = chunks.where("embedding IS NOT NULL"), queries.where("embedding IS NOT NULL")
+    ids = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(chunks.dtypes)["chunk_id"]}
+    asked, dealt = _blocked(queries, chunks, keys)
+    met = asked.cogroup(dealt).applyInPandas(lambda q, c: _top(q, c, k), f"query_id {ids['query_id']}, origin string, chunk_id {ids['chunk_id']}, score double")
     return ranked(met, ["query_id", "origin"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -116,37 +123,59 @@ def knn_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return _blocked_top(_query_side(queries), _chunk_side(chunks), ["tenant", "pool"], k)
 
 
-def ann_candidates(queries: DataFrame, chunks: DataFrame, k: int, lists: int = 100, probes: int = 10, sample: int = 50_000, seed: int = 1) -> DataFrame:
-    """J-12, approximate dense leg: every chunk belongs to its nearest of `lists` centroids, a query looks into its
-    `probes` nearest lists and ranks their chunks exactly. Centroids are fitted on about `sample` chunks; their number
-    and width bound what is broadcast."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    side = _chunk_side(chunks).where("embedding IS NOT NULL")
-    n = side.count()
-    if not n:
-        return knn_join(queries, chunks, k)
-    fit = side.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < max(1, (sample << 20) // max(n, sample)))
-    vectors = fit.select(array_to_vector(numbers.unit_vector(F.col("embedding"))).alias("features"))
-    model = KMeans(k=min(lists, n), seed=seed, maxIter=10).fit(vectors)
-    centers = queries.sparkSession.sparkContext.broadcast(np.stack(model.clusterCenters()))
-
-    def nearest(count: int):
-        @F.pandas_udf("array<int>")
-        def run(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            c = centers.value
-            far = (c**2).sum(axis=1)[None, :] - 2 * x @ c.T
-            return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :count].astype(np.int32)))
-
-        return run
-
-    placed = side.withColumn("list", F.get(nearest(1)("embedding"), F.lit(0)))
-    asked = _query_side(queries).where("embedding IS NOT NULL").withColumn("list", F.explode(nearest(probes)("embedding")))
-    found = _blocked_top(asked, placed, ["tenant", "pool", "list"], k).drop("rank")
-    return ranked(found.distinct(), ["query_id", "origin"], [F.desc("score"), F.asc("chunk_id")], k)
+def short_list(queries: DataFrame, coded: DataFrame, codebook: Codebook, share: float, least: int) -> DataFrame:
+    """query_id, origin, chunk_id: of each block of codes the best `share` for each query, and at least `least`."""
+    asked = _query_side(queries).where("embedding IS NOT NULL")
+    side = coded.select("chunk_id", "tenant", pool_of(F.col("proposal_id")).alias("pool"), "code", *TAGS)
+    book = queries.sparkSession.sparkContext.broadcast(codebook)
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query_id": [], "origin": [], "chunk_id": []}
+        if len(q) and len(c):
+            ok = np.ones((len(q), len(c)), bool)
+            for t in TAGS:
+                held = c[t].to_numpy()
+                for i, want in enumerate(q[t]):
+                    if want is not None:
+                        ok[i] &= held == want
+            ids = c["chunk_id"].to_numpy()
+            for i, at in enumerate(vector_index.best_codes(book.value.tables(q["embedding"]), c["code"], ok, share, least)):
+                out["query_id"] += [q["query_id"].iloc[i]] * len(at)
+                out["origin"] += [q["origin"].iloc[i]] * len(at)
+                out["chunk_id"] += ids[at].tolist()
+        return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in out.items()})
+
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, origin string, chunk_id {dict(coded.dtypes)['chunk_id']}"
+    left, right = _blocked(asked, side, ["tenant", "pool"], CODE_BLOCK)
+    return left.cogroup(right).applyInPandas(best, kinds)
+
+
+def ann_candidates(queries: DataFrame, chunks: DataFrame, k: int, share: float = 0.2, least: int = 20, codebook: Codebook | None = None, coded: DataFrame | None = None) -> DataFrame:
+    """J-12, approximate dense leg: query_id, origin, chunk_id, score, rank.
+
+    All codes of a query's pools are scored by look-ups, and the best `share` of each block of codes, at least `least`, is
+    ranked by its true vectors. `codebook` and `coded` are those of an index that was built before.
+    """
+    codebook = codebook or vector_index.fit(chunks)
+    coded = coded if coded is not None else vector_index.build(chunks.select("chunk_id", "tenant", "proposal_id", "embedding", *TAGS), codebook)
+    short = written(short_list(queries, coded, codebook, share, least), "short")
+    x, y = (d.where("embedding IS NOT NULL").select(f"{n}_id", F.col("embedding").alias(v)) for d, n, v in ((queries, "query", "x"), (chunks, "chunk", "y")))
+    scored = short.join(x, "query_id").join(y, "chunk_id").select("query_id", "origin", "chunk_id", F.round(numbers.cosine(F.col("x"), F.col("y")), SCORE_DIGITS).alias("score"))
+    return ranked(scored.where("score IS NOT NULL"), ["query_id", "origin"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def ann_recall(queries: DataFrame, chunks: DataFrame, k: int, share: float = 0.2) -> DataFrame:
+    """J-12 against J-01, as one row: asked pools, exact hits, how many of them the short lists hold, and the share of the
+    vectors in reach of the queries that was read."""
+    codebook = vector_index.fit(chunks)
+    coded = vector_index.build(chunks.select("chunk_id", "tenant", "proposal_id", "embedding", *TAGS), codebook)
+    short = written(short_list(queries, coded, codebook, share, k), "short")
+    exact = written(knn_join(queries, chunks, k), "exact")
+    hits = exact.join(short, ["query_id", "origin", "chunk_id"], "left_semi").agg(F.count("*").alias("found"))
+    reach = _query_side(queries).join(_chunk_side(chunks).groupBy("tenant", "pool").agg(F.count("embedding").alias("n")), ["tenant", "pool"]).agg(F.sum("n").alias("reach"))
+    totals = exact.agg(F.count_distinct("query_id", "origin").alias("asked"), F.count("*").alias("hits"))
+    one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  each side has one row
+    return one(totals).join(one(hits), "_one").join(one(short.agg(F.count("*").alias("read"))), "_one").join(one(reach), "_one").drop("_one")
 
 
 def keyword_join(queries: DataFrame, chunks: DataFrame, k: int, index: KeywordIndex | None = None) -> DataFrame:

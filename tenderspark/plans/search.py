@@ -63,7 +63,9 @@ _add("j02_index_terms", lambda q, c: keyword_index.build(c).terms, f"""SELECT te
 _add("w02_rrf_fuse", lambda q, c: retrieval.fused_hits(q, c, 5), FUSED + " SELECT * FROM fused")
 _add("w03_search", lambda q, c: retrieval.search(q, c, 5, 0.3), FUSED + cut("hits", "fused", 0.3) + " SELECT * FROM hits")
 _add("w04_adaptive_floor", lambda q, c: retrieval.adaptive_floor(retrieval.fused_hits(q, c, 5)), ADAPTIVE + " SELECT *, false AS weak FROM strong UNION ALL SELECT *, true FROM faint")
-_add("j12_ann_candidates", lambda q, c: retrieval.ann_candidates(q, c, 10, lists=16, probes=13))
+_add("j12_ann_candidates", lambda q, c: retrieval.ann_candidates(q, c, 10))
+_add("j12_ann_recall", lambda q, c: retrieval.ann_recall(q, c, 10).select("asked", "hits", (F.col("found") >= 0.9 * F.col("hits")).alias("recall_reached"), (F.col("read") <= 0.25 * F.col("reach")).alias("reads_a_quarter")),
+    BASE + " SELECT count(DISTINCT (query_id, origin)) AS asked, count(*) AS hits, true AS recall_reached, true AS reads_a_quarter FROM dense_all WHERE rank <= 10")
 
 
 def diversified(q, c):

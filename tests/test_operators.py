@@ -215,7 +215,7 @@ def test_search_plans_and_recall(spark, monkeypatch):
     same = retrieval.knn_join(queries, chunks, 5)
     key = lambda df: {(r.query_id, r.origin, r.chunk_id, r.rank) for r in df.collect()}
     assert key(exact) == key(same)
-    near = retrieval.ann_candidates(queries, chunks, 5, lists=8, probes=4)
+    near = retrieval.ann_candidates(queries, chunks, 5, share=0.3)
     drop = lambda k: {x[:3] for x in k}
     assert len(drop(key(near)) & drop(key(exact))) >= 0.9 * len(key(exact))
     found = retrieval.search(queries, chunks, 4, -1.0)
