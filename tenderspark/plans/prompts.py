@@ -6,12 +6,17 @@ one portable expression, used by the query and by its SQL.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.functions import drafts
 from tenderspark.operators import matrix, seams
+from tenderspark.operators.memo import Memo
+from tenderspark.plans import texts
 from tenderspark.plans.registry_tools import Registry
+from tenderspark.sources.shared import new_path
 
 R = Registry()
 
@@ -259,3 +264,66 @@ R.add(
         c AS (SELECT rfp_id, extraction_order, CASE WHEN length(line) > 4000 THEN regexp_replace(substring(line, 1, 4000), '\s+$', '') ELSE line END AS raw_text_content FROM o)
         SELECT rfp_id, extraction_order, 'L.1' AS section_number, raw_text_content, 'Technical' AS category FROM c WHERE length(raw_text_content) >= 5 QUALIFY row_number() OVER (PARTITION BY rfp_id, lower(raw_text_content) ORDER BY extraction_order) = 1""",
 )
+
+
+def parsed(texts: list[str]) -> list[dict]:
+    """The summary that a chunk tells as JSON."""
+    return [json.loads(t) for t in texts]
+
+
+def summarised(c: DataFrame) -> DataFrame:
+    memo = Memo(new_path(c.sparkSession, "memo"), "model", "1", matrix.SUMMARY)
+    chunks = extracted(c).withColumn("chunk", F.to_json("summary", {"ignoreNullFields": "false"}))
+    return flat(seams.extract_summaries(chunks, parsed, sources(c), memo))
+
+
+R.add("i03_extract_summaries", ["conversations"], summarised, R.oracles["f12_sanitize_summary"])
+
+
+def library(d: DataFrame) -> DataFrame:
+    memo = Memo(new_path(d.sparkSession, "memo"), "model", "1", "array<float>")
+    docs = d.select(F.col("doc_id").alias("proposal_id"), F.col("lang").alias("tenant"), F.col("source").alias("source_name"), texts.one_line().alias("text"))
+    return seams.build_library(docs, lengths, 4, memo).select("proposal_id", "chunk_idx", "chunk_id", "embedding")
+
+
+R.add(
+    "i04_build_library", ["documents"], library,
+    f"""WITH c AS (SELECT doc_id AS proposal_id, chunk_idx, chunk FROM ({texts.R.oracles["f03_history_chunks"]}) x)
+        SELECT proposal_id, chunk_idx, sha256(concat_ws(chr(31), lang, CAST(proposal_id AS VARCHAR), source, CAST(chunk_idx AS VARCHAR), chunk)) AS chunk_id,
+        [CASE WHEN length(chunk) % 4 = k THEN 1.0::FLOAT ELSE 0.0::FLOAT END FOR k IN range(4)] AS embedding FROM c JOIN documents ON doc_id = proposal_id""",
+)
+
+
+def drafted(prompts: list[str]) -> list[str]:
+    """The prompt itself; a model that fails where it is asked for superlatives."""
+    if any("seamless world-class" in p for p in prompts):
+        raise RuntimeError("no answer")
+    return prompts
+
+
+R.add(
+    "i05_score_drafts", ["documents"],
+    lambda d: seams.score_drafts(texts.drafts_of(d).selectExpr("doc_id section_id", "content prompt", "n requirement_count", "headings require_headings", "tags require_tags", "context source_context"), drafted, Memo(new_path(d.sparkSession, "memo"), "model", "1", "string"))
+    .select("section_id", "rejection", "final_status", F.sha2("content", 256).alias("content")),
+    f"""WITH r AS (SELECT doc_id AS section_id, CASE WHEN contains({texts.DRAFT}, 'seamless world-class') THEN 'draft_failed' ELSE rejection END AS rejection, {texts.DRAFT} AS draft FROM ({texts.R.oracles["f18_draft_rules"]}) x JOIN documents USING (doc_id))
+        SELECT section_id, rejection, CASE WHEN rejection IS NULL THEN 'saved' WHEN rejection = 'draft_failed' THEN rejection ELSE 'guardrail_rejected' END AS final_status,
+        CASE WHEN rejection IS NULL THEN sha256({texts.STRIP.format("draft")}) END AS content FROM r""",
+)
+
+
+def memo_runs(c: DataFrame) -> DataFrame:
+    """Three runs over one memo: the user's turns, all turns, all turns again; how many inputs each had to call for."""
+    spark = c.sparkSession
+    memo = Memo(new_path(spark, "memo"), "model", "1", "array<float>", round_rows=500)
+    call = lambda rows: seams.call_batches(rows, lengths, "text", "value", "array<float>")
+    runs = [("first", c.where("role = 'user'")), ("all", c), ("again", c)]
+    rows = [(name, memo.fill(part, "text", call)) for name, part in runs]
+    kept = memo.known(spark).select(F.lit("kept").alias("run"), F.lit(1).alias("one")).groupBy("run").agg(F.sum("one").alias("calls"))
+    return spark.createDataFrame(rows, "run string, calls long").unionByName(kept)
+
+
+R.add(
+    "d05_memo_runs", ["conversations"], memo_runs,
+    """WITH t AS (SELECT coalesce(text, '') AS text, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS early FROM conversations GROUP BY 1)
+        SELECT unnest(['first', 'all', 'again', 'kept']) AS run, unnest([sum(early)::BIGINT, sum(1 - early)::BIGINT, 0, count(*)]) AS calls FROM t""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderspark.functions import drafts, numbers, text
@@ -53,8 +54,13 @@ R.add(
         OR regexp_matches(s, '^([A-Z]{1,3}(\.\d+){0,4}|\d+(\.\d+){0,4})[.)]?\s{1,4}[A-Z][A-Za-z0-9 ,/&()''-]{2,90}$') OR (length(regexp_replace(s, '[^\p{L}]', '', 'g')) >= 3 AND upper(s) = s AND length(s) <= 90))""",
 )
 R.add("f02_semantic_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", "text"), chunking.semantic_chunks(F.col("text"), 900, 1000)))
+def one_line() -> Column:
+    """`text` without a line that could be a heading."""
+    return F.lower(F.regexp_replace("text", r"[\r\n\x0b\x0c\x1c-\x1e\x85  #]", " "))
+
+
 R.add(
-    "f03_history_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", F.lower(F.regexp_replace("text", r"[\r\n\x0b\x0c\x1c-\x1e\x85  #]", " ")).alias("text")), chunking.history_chunks(F.col("text"))),
+    "f03_history_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", one_line().alias("text")), chunking.history_chunks(F.col("text"))),
     r"""WITH t AS (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[\r\n\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}#]', ' ', 'g')), '^\s+|\s+$', '', 'g') AS t FROM documents),
         n AS (SELECT *, length(t) AS len, CASE WHEN length(t) <= 1200 THEN 1 ELSE CAST(ceil(length(t) / 1050) AS BIGINT) END AS n FROM t WHERE t <> ''),
         m AS (SELECT *, n > 1 AND 2 * (len - (n - 1) * 1050) + 1052 <= 1200 AS short_end FROM n), -- a short last piece joins the one before
@@ -94,8 +100,12 @@ R.add(
 DRAFT = "concat(CASE WHEN doc_id % 4 = 0 THEN '## Technical Approach ' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN ' [Req 1] [Req 2]' ELSE ' [Req 1]' END, CASE WHEN doc_id % 7 = 0 THEN ' [INSERT name]' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN ' W91QUZ-19-C-0042 for $4,200,000.50' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ' seamless world-class unparalleled trusted partner' ELSE '' END)"
 
 
+def drafts_of(docs):
+    return docs.selectExpr("doc_id", f"{DRAFT} AS content", "CAST(doc_id % 3 AS INT) AS n", "doc_id % 8 < 4 AS headings", "doc_id % 2 = 0 AS tags", "CASE WHEN doc_id % 10 = 0 THEN 'W91QUZ-19-C-0042' WHEN doc_id % 10 = 5 THEN NULL ELSE '' END AS context")
+
+
 def draft_rules(docs):
-    x = docs.selectExpr("doc_id", f"{DRAFT} AS content", "CAST(doc_id % 3 AS INT) AS n", "doc_id % 8 < 4 AS headings", "doc_id % 2 = 0 AS tags", "CASE WHEN doc_id % 10 = 0 THEN 'W91QUZ-19-C-0042' WHEN doc_id % 10 = 5 THEN NULL ELSE '' END AS context")
+    x = drafts_of(docs)
     c, t = F.col, F.col("content")
     return x.select(
         "doc_id", drafts.missing_req_tags(t, c("n")).alias("missing"), F.size(drafts.unverifiable_facts(t, F.coalesce(c("context"), F.lit("")))).alias("unverifiable"), F.size(drafts.placeholders_found(t)).alias("placeholders"),
