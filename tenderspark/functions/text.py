@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tenderspark.functions.columns import let
+
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Fixed values.
 ALLOWED_PUNCTUATION = " \n\t.,;:!?()[]{}\"'-/%$&@#*+=<>|\\_~^`"
 MAX_NOISE = 0.35
@@ -19,11 +23,11 @@ REQUIREMENT_TAGS = r"(?i)\s*\[Req\s+\d+(?:\s*,\s*(?:Req\s+)?\d+)*\]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))  # looks at the ends only, which a pattern does not
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE_SPACE))
 
 
 def normalize_ws(c: Column) -> Column:
@@ -33,9 +37,12 @@ def normalize_ws(c: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A line that opens a section: mark-up, a label with a number, a numbered clause title, or short capitals."""
-    t = strip(line)
-    capitals = (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 3) & (F.upper(t) == t) & (F.length(t) <= 90)
-    return F.coalesce((t != "") & (F.length(t) <= 120) & (t.rlike(HEADING_MARKDOWN) | t.rlike(HEADING_LABEL) | t.rlike(HEADING_CLAUSE) | capitals), F.lit(False))
+
+    def opens(t: Column) -> Column:
+        capitals = (F.length(t) <= 90) & (F.upper(t) == t) & (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 3)
+        return (t != "") & (F.length(t) <= 120) & (t.rlike(HEADING_MARKDOWN) | t.rlike(HEADING_LABEL) | t.rlike(HEADING_CLAUSE) | capitals)
+
+    return F.coalesce(let(strip(line), opens), F.lit(False))
 
 
 def word_list(c: Column) -> Column:

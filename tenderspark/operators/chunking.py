@@ -1,6 +1,7 @@
-"""Heading-aware chunks (F-02..F-04) and Markdown blocks (F-20, F-21): the two texts walks that carry state.
+"""Heading-aware chunks (F-02..F-04) and Markdown blocks (F-20, F-21).
 
-Both run as Arrow-batched pandas functions on single texts; results explode into rows.
+Chunks are columns: arrays of lines, sections and paragraphs, packed by a fold. Markdown is walked by an Arrow-batched
+pandas function on single texts.
 """
 
 from __future__ import annotations
@@ -12,75 +13,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.functions import text as tx
+from tenderspark.functions.columns import let
 from tenderspark.functions.drafts import HEADINGS
 
 HISTORY = (1200, 1200, 150)
 EXTRACTION_BUDGET = 600_000
 BLOCK = "struct<kind:string,level:int,runs:array<struct<text:string,bold:boolean>>>"
 
-_heading = [re.compile(p) for p in (tx.HEADING_MARKDOWN, tx.HEADING_LABEL, tx.HEADING_CLAUSE)]
-
-
-def heading_line(line: str) -> bool:
-    t = line.strip()
-    if not t or len(t) > 120:
-        return False
-    capitals = len(t) <= 90 and t == t.upper() and sum(map(str.isalpha, t)) >= 3
-    return capitals or any(p.match(t) for p in _heading)
-
-
-def _sections(text: str) -> list[str]:
-    """Runs of lines, each begun by a heading (the first may have none)."""
-    lines = text.splitlines()
-    cuts = [0]
-    for i, line in enumerate(lines):
-        if i > cuts[-1] and heading_line(line):
-            cuts.append(i)
-    runs = ("\n".join(lines[a:b]).strip() for a, b in zip(cuts, [*cuts[1:], len(lines)], strict=True))
-    return [r for r in runs if r]
-
-
-def _packed(pieces, limit: int) -> list[str]:
-    """Neighbours joined by a blank line while they fit; a piece given as a list stands for itself, part by part."""
-    out: list[str] = []
-    held = ""
-    for piece in pieces:
-        if isinstance(piece, list):
-            out += [held] * bool(held) + piece
-            held = ""
-        elif held and len(held) + 2 + len(piece) <= limit:
-            held = f"{held}\n\n{piece}"
-        else:
-            out += [held] * bool(held)
-            held = piece
-    return out + [held] * bool(held)
+OTHER_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+CUT = "\x00"  # put before a line that opens a section; texts hold none
 
 
-def chunk(text: str | None, target: int, most: int, overlap: int = 0) -> list[str]:
-    """Chunks of at most `most` characters that respect headings, then paragraphs; what has neither is cut hard, each
-    cut repeating the last `overlap` characters."""
-    text = (text or "").strip()
-    if len(text) <= most:
-        return [text] if text else []
-    step = max(1, most - overlap)
-    pieces: list[str] = []
-    for section in _sections(text) or [text]:
-        if len(section) <= most:
-            pieces.append(section)
-            continue
-        paragraphs = re.split(r"\n\s*\n", section)
-        pieces += _packed(([p[i : i + most] for i in range(0, len(p), step)] if len(p) > most else p for p in paragraphs), most)
-    return _packed(pieces, target)
+def _strip(c: Column) -> Column:
+    """Without white space around, separators of the old control characters included."""
+    return F.btrim(c, F.lit(tx.WHITE_SPACE + "\x1c\x1d\x1e\x1f"))
+
+
+def sections(text: Column) -> Column:
+    """Runs of lines, each begun by a heading (the first may have none), stripped; blank ones go."""
+    plain = F.when(text.rlike(OTHER_BREAK[5:]), F.regexp_replace(text, OTHER_BREAK, "\n")).otherwise(text)
+    marked = F.transform(F.split(plain, "\n"), lambda line, i: F.when((i > 0) & tx.is_heading(line), F.concat(F.lit(CUT), line)).otherwise(line))
+    return F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n" + CUT), _strip), lambda s: s != "")
+
+
+def packed(items: Column, limit: int) -> Column:
+    """items: array of (text, alone). Neighbours are joined by a blank line while they fit; one that is alone stands for
+    itself. A fold: what is finished, and the text that still takes more."""
+    none = F.array().cast("array<string>")
+    closed = lambda a: F.when(a.held == "", a.out).otherwise(F.concat(a.out, F.array(a.held)))
+    state = lambda out, held: F.struct(out.alias("out"), held.alias("held"))
+
+    def step(a: Column, x: Column) -> Column:
+        joined = F.concat(a.held, F.lit("\n\n"), x.text)
+        return (
+            F.when(x.alone, state(F.concat(closed(a), F.array(x.text)), F.lit("")))
+            .when((a.held != "") & (F.length(a.held) + F.length(x.text) + 2 <= limit), state(a.out, joined))
+            .otherwise(state(closed(a), x.text))
+        )
+
+    return F.aggregate(items, state(none, F.lit("")), step, closed)
 
 
 def semantic_chunks(c: Column, target: int = 90_000, most: int = 120_000, overlap: int = 0) -> Column:
-    """F-02: array<string>."""
+    """F-02: array<string>: chunks of at most `most` characters that respect headings, then paragraphs; what has neither is
+    cut hard, each cut repeating the last `overlap` characters. A null text has none."""
+    step = max(1, most - overlap)
+    item = lambda text, alone: F.struct(text.alias("text"), F.lit(alone).alias("alone"))
+    hard = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(step)), lambda i: item(F.substring(p, i, F.lit(most)), True))
+    parts = lambda s: F.flatten(F.transform(F.split(s, r"(?U)\n\s*\n"), lambda p: F.when(F.length(p) > most, hard(p)).otherwise(F.array(item(p, False)))))
+    pieces = lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(packed(parts(s), most))
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk(t, target, most, overlap))
+    def whole(t: Column) -> Column:
+        every = F.flatten(F.transform(sections(t), pieces))
+        return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(packed(F.transform(every, lambda p: item(p, False)), target))
 
-    return run(c)
+    return let(_strip(F.coalesce(c, F.lit(""))), whole)
 
 
 def history_chunks(c: Column) -> Column:
@@ -94,10 +81,10 @@ def extraction_chunks(c: Column, budget: int = EXTRACTION_BUDGET) -> Column:
 
 
 def chunk_rows(docs: DataFrame, chunks: Column) -> DataFrame:
-    """One row a chunk: doc columns without the text, chunk_idx, chunk. Long texts are spread first, one row a piece of
-    work, so that a few of them do not share a task."""
+    """One row a chunk: doc columns without the text, chunk_idx, chunk. Texts without chunks have no row; the outer form
+    keeps the optimiser from asking for the chunks' number first, which would cut every text twice."""
     others = [c for c in docs.columns if c != "text"]
-    return docs.select(*others, F.posexplode(chunks).alias("chunk_idx", "chunk"))
+    return docs.select(*others, F.posexplode_outer(chunks).alias("chunk_idx", "chunk")).where("chunk_idx IS NOT NULL")
 
 
 _bold = re.compile(r"\*\*(.+?)\*\*")

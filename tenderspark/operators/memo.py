@@ -52,6 +52,7 @@ class Memo:
 
     def apply(self, df: DataFrame, column: str, out: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """`df` with `out`, the result of its input, or null where the call failed."""
+        df = written(df, "asked")  # it is read twice
         self.fill(df, column, call)
         results = self.known(df.sparkSession).withColumnsRenamed({"digest": "_digest", "value": out})
         return df.withColumn("_digest", self.digest(F.col(column))).join(results, "_digest", "left").drop("_digest")

@@ -46,14 +46,46 @@ R.add(
         SELECT doc_id, CAST(len(w) AS INT) AS words, coalesce(round_even(len(list_distinct(b)) / nullif(len(b), 0), 4), 0) AS unique_ratio, round_even(len(w) / 5, 4) AS words_per_page,
         coalesce(round_even(length(regexp_replace(text, '[\p{{L}}\s]', '', 'g')) / nullif(length(text), 0), 4), 0) AS noise_ratio FROM b""",
 )
+HEADING = r"""{0} <> '' AND length({0}) <= 120 AND (regexp_matches({0}, '^#{{1,6}}\s+\S') OR regexp_matches({0}, '(?i)^(SECTION|PART|VOLUME|ATTACHMENT|APPENDIX|ANNEX)\s+[A-Z0-9]')
+        OR regexp_matches({0}, '^([A-Z]{{1,3}}(\.\d+){{0,4}}|\d+(\.\d+){{0,4}})[.)]?\s{{1,4}}[A-Z][A-Za-z0-9 ,/&()''-]{{2,90}}$') OR (length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) >= 3 AND upper({0}) = {0} AND length({0}) <= 90))"""
 R.add(
     "f01_heading_lines", ["documents"],
     lambda d: d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(text.is_heading(F.col("line"))),
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l)
-        SELECT doc_id, line_no, line FROM t WHERE s <> '' AND length(s) <= 120 AND (regexp_matches(s, '^#{1,6}\s+\S') OR regexp_matches(s, '(?i)^(SECTION|PART|VOLUME|ATTACHMENT|APPENDIX|ANNEX)\s+[A-Z0-9]')
-        OR regexp_matches(s, '^([A-Z]{1,3}(\.\d+){0,4}|\d+(\.\d+){0,4})[.)]?\s{1,4}[A-Z][A-Za-z0-9 ,/&()''-]{2,90}$') OR (length(regexp_replace(s, '[^\p{L}]', '', 'g')) >= 3 AND upper(s) = s AND length(s) <= 90))""",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), t AS (SELECT *, {STRIP.format("line")} AS s FROM l)
+        SELECT doc_id, line_no, line FROM t WHERE {HEADING.format("s")}""",
+)
+LINES = r"'\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]'"
+
+
+def pack_sql(name: str, items: str, limit: int) -> str:
+    """CTEs: `items` (doc_id, sec, n from 1, alone, x) with the number g of the pack that each falls into."""
+    more = f"(i.alone OR held = 0 OR held + 2 + length(i.x) > {limit})"
+    return f"""{name}(doc_id, sec, n, g, held) AS (SELECT doc_id, sec, n, 1, CASE WHEN alone THEN 0 ELSE length(x) END FROM {items} WHERE n = 1
+            UNION ALL SELECT i.doc_id, i.sec, i.n, CASE WHEN {more} THEN g + 1 ELSE g END, CASE WHEN i.alone THEN 0 WHEN {more} THEN length(i.x) ELSE held + 2 + length(i.x) END
+            FROM {name} p JOIN {items} i ON i.doc_id = p.doc_id AND i.sec = p.sec AND i.n = p.n + 1)"""
+
+
+def chunks_sql(docs: str, target: int, most: int) -> str:
+    """doc_id, chunk_idx, chunk of the texts of `docs` (doc_id, text)."""
+    return rf"""WITH RECURSIVE t AS (SELECT doc_id, {STRIP.format("text")} AS t FROM ({docs}) d), a AS (SELECT doc_id, regexp_split_to_array(t, {LINES}) AS a FROM t WHERE length(t) > {most}),
+        l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM a), h AS (SELECT *, {STRIP.format("line")} AS s FROM l),
+        o AS (SELECT *, sum(CASE WHEN i > 1 AND {HEADING.format("s")} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
+        u AS (SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY i) AS u FROM o GROUP BY ALL), v AS (SELECT doc_id, sec, {STRIP.format("u")} AS v FROM u),
+        w AS (SELECT doc_id, sec, CASE WHEN length(v) > {most} THEN regexp_split_to_array(v, '\n\s*\n') ELSE [v] END AS w FROM v WHERE v <> ''), p AS (SELECT doc_id, sec, unnest(w) AS p, generate_subscripts(w, 1) AS j FROM w),
+        q AS (SELECT *, length(p) > {most} AS alone, unnest(range(0, greatest(1, CAST(ceil(length(p) / {most}) AS BIGINT)))) AS k FROM p),
+        items AS (SELECT doc_id, sec, row_number() OVER (PARTITION BY doc_id, sec ORDER BY j, k) AS n, alone, CASE WHEN alone THEN substring(p, k * {most} + 1, {most}) ELSE p END AS x FROM q),
+        {pack_sql("inner_packs", "items", most)}, pieces AS (SELECT doc_id, sec, g, string_agg(x, chr(10) || chr(10) ORDER BY n) AS x FROM inner_packs JOIN items USING (doc_id, sec, n) GROUP BY ALL),
+        outer_items AS (SELECT doc_id, 0 AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY sec, g) AS n, false AS alone, x FROM pieces), {pack_sql("packs", "outer_items", target)}
+        SELECT doc_id, CAST(g - 1 AS INT) AS chunk_idx, string_agg(x, chr(10) || chr(10) ORDER BY n) AS chunk FROM packs JOIN outer_items USING (doc_id, sec, n) GROUP BY doc_id, g
+        UNION ALL SELECT doc_id, 0, t FROM t WHERE t <> '' AND length(t) <= {most}"""
+
+
+#: Every other document gets blank lines and headings between its sentences.
+SECTIONED = "CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(replace(text, '. ', concat('.', chr(10), ' ', chr(10))), 'and', concat('and', chr(10), 'SECTION L is', chr(10))) END"
+R.add(
+    "f02_semantic_chunks", ["documents"], lambda d: chunking.chunk_rows(d.selectExpr("doc_id", f"{SECTIONED} AS text"), chunking.semantic_chunks(F.col("text"), 900, 1000)),
+    chunks_sql(f"SELECT doc_id, {SECTIONED} AS text FROM documents", 900, 1000),
 )
-R.add("f02_semantic_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", "text"), chunking.semantic_chunks(F.col("text"), 900, 1000)))
 def one_line() -> Column:
     """`text` without a line that could be a heading."""
     return F.lower(F.regexp_replace("text", r"[\r\n\x0b\x0c\x1c-\x1e\x85  #]", " "))
@@ -67,7 +99,11 @@ R.add(
         c AS (SELECT *, unnest(range(0, CASE WHEN short_end THEN n - 1 ELSE n END)) AS i FROM m)
         SELECT doc_id, CAST(i AS INT) AS chunk_idx, concat(substring(t, i * 1050 + 1, 1200), CASE WHEN short_end AND i = n - 2 THEN concat(chr(10), chr(10), substring(t, (n - 1) * 1050 + 1, 1200)) ELSE '' END) AS chunk FROM c""",
 )
-R.add("f04_extraction_chunks", ["documents"], lambda d: chunking.chunk_rows(d.select("doc_id", "text"), chunking.extraction_chunks(F.col("text"), 8000)))
+R.add(
+    "f04_extraction_chunks", ["documents"], lambda d: chunking.chunk_rows(d.selectExpr("doc_id", f"{SECTIONED} AS text"), chunking.extraction_chunks(F.col("text"), 8000)),
+    f"""SELECT doc_id, chunk_idx, chunk FROM ({chunks_sql(f"SELECT doc_id, {SECTIONED} AS text FROM documents WHERE length({SECTIONED}) > 8000", 2000, 4000)}) c
+        UNION ALL SELECT doc_id, 0, {SECTIONED} FROM documents WHERE text <> '' AND length({SECTIONED}) <= 8000""",
+)
 R.add(
     "f07_choose_page_text", ["pages", "documents"],
     lambda p, d: p.join(d, p.page_id == d.doc_id).select("page_id", text.choose_page_text(F.col("html"), F.col("text")).alias("text")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tenderspark.functions import drafts, numbers, text, vocab
 from tenderspark.operators import backfill, chunking, matrix, ops, retrieval, revisions, rollups, seams
 from tenderspark.sources import tables
+from tests import plain_chunks
 
 
 def one(spark, column, schema="x int", row=(1,)):
@@ -51,31 +52,45 @@ def test_sanitize_matrix(spark):
 
 @pytest.mark.parametrize("line,yes", [("## Scope", True), ("SECTION L", True), ("attachment 3", True), ("C.3.1 Scope of Work", True), ("INSTRUCTIONS TO OFFERORS", True), ("The contractor shall work.", False), ("A" * 121, False), ("", False)])
 def test_headings(spark, line, yes):
-    assert chunking.heading_line(line) is yes
+    assert plain_chunks.heading_line(line) is yes
     assert one(spark, text.is_heading(F.lit(line))) is yes
 
 
-def test_chunker():
-    assert chunking.chunk("", 10, 10) == [] and chunking.chunk("  \n ", 10, 10) == [] and chunking.chunk(" short ", 10, 10) == ["short"]
+def chunks(spark, *calls):
+    """The chunks of (text, target, most, overlap) by the columns, which must be those of the plain walk."""
+    out = []
+    for doc, *how in calls:
+        got = one(spark, chunking.semantic_chunks(F.col("t"), *how), "t string", (doc,))
+        assert got == plain_chunks.chunk(doc, *how)
+        out.append(got)
+    return out
+
+
+def test_chunker(spark):
+    assert chunks(spark, ("", 10, 10), (None, 10, 10), ("  \n ", 10, 10), (" short ", 10, 10)) == [[], [], [], ["short"]]
     clauses = "\n\n".join(f"C.{i} Clause i\nThe contractor shall perform task number {i} with all the due care. " + "x" * 150 for i in range(30))
-    parts = chunking.chunk(clauses, 3000, 4000)
+    words = " ".join(f"w{i:05d}" for i in range(2000))
+    parts, cut, uncut, two = chunks(spark, (clauses, 3000, 4000), (words, 1000, 1000, 100), (words, 1000, 1000), ("SECTION A\n" + "a" * 300 + "\nSECTION B\n" + "b" * 300, 50, 400, 50))
     assert len(parts) > 1 and max(map(len, parts)) <= 4000
     assert all(sum(f"C.{i} Clause" in p and f"number {i} " in p for p in parts) == 1 for i in range(30))
-    words = " ".join(f"w{i:05d}" for i in range(2000))
-    cut = chunking.chunk(words, 1000, 1000, 100)
-    assert cut[0][-100:] == cut[1][:100]
-    assert chunking.chunk(words, 1000, 1000)[0][-100:] != chunking.chunk(words, 1000, 1000)[1][:100]
-    assert len(chunking.chunk("SECTION A\n" + "a" * 300 + "\nSECTION B\n" + "b" * 300, 50, 400, 50)) == 2
+    assert cut[0][-100:] == cut[1][:100] and uncut[0][-100:] != uncut[1][:100] and len(two) == 2
 
 
-def test_chunker_keeps_everything():
+def test_chunker_keeps_everything(spark):
     r = random.Random(1)
-    for _ in range(100):
-        lines = [r.choice(["SECTION 1", "", "x" * r.randint(1, 300), "plain words here"]) for _ in range(r.randint(0, 30))]
-        doc, most = "\n".join(lines), r.randint(20, 200)
-        parts = chunking.chunk(doc, most // 2, most)
-        assert all(len(p) <= most for p in parts)
-        assert "".join("".join(parts).split()) == "".join(doc.split())
+    docs = []
+    for _ in range(300):
+        lines = [r.choice(["SECTION 1", "", " ", "C.1 Scope of Work", "x" * r.randint(1, 300), "plain words here"]) for _ in range(r.randint(0, 30))]
+        docs.append(r.choice(["\n", "\r\n", "\n\n", "\u2028"]).join(lines))
+    for most in (20, 75, 200):
+        for overlap in (0, 7):
+            df = spark.createDataFrame([(d,) for d in docs], "t string")
+            for doc, parts in df.select("t", chunking.semantic_chunks(F.col("t"), most // 2, most, overlap)).collect():
+                assert parts == plain_chunks.chunk(doc, most // 2, most, overlap)
+                assert all(len(p) <= most for p in parts)
+                assert overlap or "".join("".join(parts).split()) == "".join(doc.split())
+    plan = df.select(chunking.extraction_chunks(F.col("t"), 40))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_text_columns(spark):
