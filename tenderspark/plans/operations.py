@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tenderspark.functions import drafts, numbers
 from tenderspark.operators import backfill, ops, revisions, rollups
 from tenderspark.plans.registry_tools import Registry
+from tenderspark.sources import tables
+from tenderspark.sources.shared import new_path
 
 R = Registry()
 
@@ -86,3 +88,26 @@ R.add("f30_critic_feedback", ["conversations"], lambda c: attempts(c).select("ru
 R.add("f31_combine_feedback", ["conversations"], lambda c: c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s.role).alias("h")).select("conv_id", drafts.combine_feedback(F.col("h")).alias("feedback")),
     """WITH h AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
         SELECT conv_id, CASE WHEN any_value(n) = 1 THEN any_value(role) ELSE string_agg(concat('[Revision ', i, ' feedback]', chr(10), role), concat(chr(10), chr(10)) ORDER BY i) END AS feedback FROM h GROUP BY conv_id""")
+
+
+def logged(events):
+    """The events as lines of JSON, every tenth cut short, every seventh with a field that the schema does not know."""
+    spark, path = events.sparkSession, new_path(events.sparkSession, "logs")
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("event_id").cast("string").alias("request_id"), (F.col("event_id") % 5 * 100 + 100).alias("status"), F.col("value").alias("duration_ms"), F.when(F.col("event_id") % 7 == 0, F.col("event_type")).alias("shard")))
+    events.select(F.when(F.col("event_id") % 10 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value")).write.text(path)
+    log = tables.read_json_logs(spark, path)
+    return log.select("request_id", "status", F.expr("try_variant_get(fields, '$.shard', 'string')").alias("shard"), F.length("damaged").alias("damaged"))
+
+
+R.add("s06_read_json_logs", ["events"], logged, "SELECT CASE WHEN event_id % 10 <> 0 THEN CAST(event_id AS VARCHAR) END AS request_id, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 5 * 100 + 100 AS INT) END AS status, CASE WHEN event_id % 7 = 0 AND event_id % 10 <> 0 THEN event_type END AS shard, CASE WHEN event_id % 10 = 0 THEN 60 END AS damaged FROM events")
+
+
+def exported(r):
+    """The matrix as CSV, read again; texts get quotes, commas and line breaks."""
+    path = new_path(r.sparkSession, "csv")
+    text = F.concat(F.lit(' "'), F.col("raw_text_content"), F.when(F.col("requirement_id") % 2 == 0, '\n, "").').otherwise(" "))
+    tables.write_matrix_csv(r.select(F.col("rfp_id").alias("proposal_id"), F.col("requirement_id").alias("number"), F.col("section_number").alias("section"), F.col("compliance_status").alias("status"), text.alias("text")), path)
+    return tables.read_matrix_csv(r.sparkSession, path)
+
+
+R.add("s08_matrix_csv", ["requirements"], exported, """SELECT CAST(rfp_id AS VARCHAR) AS proposal_id, requirement_id AS number, section_number AS section, compliance_status AS status, concat(' "', raw_text_content, CASE WHEN requirement_id % 2 = 0 THEN concat(chr(10), ', "").') ELSE ' ' END) AS text FROM requirements""")

@@ -64,8 +64,13 @@ def payload_digest(**fields: Column) -> Column:
 
 
 def read_json_logs(spark: SparkSession, path: str) -> DataFrame:
-    """S-06."""
-    return spark.read.schema(LOG_SCHEMA).json(path)
+    """S-06: the columns of LOG_SCHEMA, `damaged`: the line where it is not a record of that schema (its other columns are
+    null then), and `fields`: all that a whole line holds, so fields that the schema does not know are kept."""
+    names = [f.name for f in spark.createDataFrame([], LOG_SCHEMA).schema]
+    read = F.from_json("value", f"{LOG_SCHEMA}, _damaged string", {"columnNameOfCorruptRecord": "_damaged", "mode": "PERMISSIVE"})
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", read.alias("r"))
+    whole = F.col("r._damaged").isNull() & F.col("r").isNotNull()
+    return lines.select(*(F.when(whole, F.col(f"r.{n}")).alias(n) for n in names), F.when(~whole, F.col("value")).alias("damaged"), F.when(whole, F.try_parse_json("value")).alias("fields"))
 
 
 def replace_requirements(new: DataFrame, touched: DataFrame, path: str, batch: tuple[str, int] | None = None, bucket_bytes: int = versions.BUCKET_BYTES) -> bool:
@@ -79,10 +84,18 @@ def read_requirements(spark: SparkSession, path: str) -> DataFrame:
     return versions.read(spark, path)
 
 
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_matrix_csv(requirements: DataFrame, path: str) -> None:
-    """S-08: proposal_id, number, section, status, text -> one CSV a proposal, by number."""
+    """S-08: proposal_id, number, section, status, text -> CSV files in a folder a proposal, by number."""
     rows = requirements.select("proposal_id", "number", "section", "status", "text")
-    rows.repartition("proposal_id").sortWithinPartitions("proposal_id", "number").write.mode("overwrite").partitionBy("proposal_id").option("header", True).option("escape", '"').csv(path)
+    rows.repartition("proposal_id").sortWithinPartitions("proposal_id", "number").write.mode("overwrite").partitionBy("proposal_id").options(**CSV).csv(path)
+
+
+def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_matrix_csv` wrote, texts with line breaks, quotes and white space around them included."""
+    return spark.read.schema("number long, section string, status string, text string, proposal_id string").options(**CSV, multiLine=True).csv(path)
 
 
 def proposal_markdown(proposals: DataFrame, sections: DataFrame) -> DataFrame:
