@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,20 +91,23 @@ def train(docs: DataFrame, max_training_docs: int = MAX_TRAINING_DOCS) -> Model:
                 )
 
     counts = sample.mapInArrow(count, "lang string, ord int, gram string, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
-    # Languages are few; a gram's row holds its counts in all of them.
-    grams = counts.groupBy("ord", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    kept: list[list] = [[] for _ in range(MAX_ORDER + 1)]
-    for row in sorted(grams.collect(), key=lambda r: (r.ord, r.gram)):  # as many as the sample holds
-        kept[row.ord].append(row)
-    langs = sorted({lang for rows in kept for r in rows for lang in r.n})
-
-    def logs(rows) -> np.ndarray:
-        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], float).reshape(len(rows), len(langs)) + SMOOTH
-        x = np.log(n / n.sum(axis=0))
-        return (x - x.mean(axis=1, keepdims=True)).astype(np.float32) if langs else n
-
-    words, *ngrams = kept
-    return Model(langs, [r.gram for r in words], logs(words), [r.gram for rows in ngrams for r in rows], np.concatenate([logs(rows) for rows in ngrams]))
+    # As many as the sample holds. They reach the driver as Arrow columns, since a Python row for each gram takes many times the room.
+    found = counts.toArrow().combine_chunks().sort_by([("ord", "ascending"), ("gram", "ascending")])
+    langs = sorted(found["lang"].unique().to_pylist())
+
+    def table(order: int) -> tuple[list[str], np.ndarray]:
+        """(grams, log frequencies in each language, less their mean over the languages)"""
+        own = found.filter(pc.equal(found["ord"], order))
+        grams = own["gram"].combine_chunks().dictionary_encode()
+        n = np.full((len(grams.dictionary), len(langs)), SMOOTH)
+        n[grams.indices.to_numpy(), pc.index_in(own["lang"], pa.array(langs, pa.string())).to_numpy()] += own["n"].to_numpy()
+        if langs:
+            n = np.log(n / n.sum(axis=0))
+            n -= n.mean(axis=1, keepdims=True)
+        return grams.dictionary.to_pylist(), n.astype(np.float32)
+
+    words, *ngrams = map(table, range(MAX_ORDER + 1))
+    return Model(langs, *words, [g for grams, _ in ngrams for g in grams], np.concatenate([scores for _, scores in ngrams]))
 
 
 class Scorer:

@@ -108,3 +108,21 @@ def test_scores_equal_a_plain_version(spark):
         best = max(want.values())
         assert want[lang] == pytest.approx(best, abs=1e-3)
         assert score == pytest.approx(1 / sum(exp((v - best) / sqrt(words)) for v in want.values()), rel=1e-3)
+
+
+def test_training_keeps_no_python_row_for_each_gram(spark):
+    """The driver may hold a few hundred bytes for each word and n-gram of the sample; a Python row of each takes over 800."""
+    import tracemalloc
+
+    r = random.Random(4)
+    docs = [(i, " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(100)), r.choice("xyz")) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = language.train(df)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    grams = len(model.words) + len(model.ngrams)
+    assert grams > 50_000
+    assert peak < 400 * grams
