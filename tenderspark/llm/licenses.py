@@ -122,15 +122,20 @@ def _turned(x: Column, bits: int) -> Column:
     return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
 
 
-def _minima(shingles: Column, begin: Column, count: int) -> Column:
-    """Distinct band values of the window whose shingles begin at `begin`; places behind the end are null and ignored."""
-    own = [F.get(shingles, begin + k) for k in range(count)]
+def _bands(own: list[Column]) -> Column:
+    """array<long>: the band values of a window that holds the shingles `own`; nulls are ignored. No two of them are equal
+    but by chance, since each band has a constant of its own."""
 
     def least(turn: int, c: int) -> Column:
         turned = [_turned(x, turn).bitwiseXOR(F.lit(c)) for x in own]
-        return F.least(*turned) if count > 1 else turned[0]
+        return F.least(*turned) if len(turned) > 1 else turned[0]
+
+    return F.array(*(least(64 * k // BANDS, c) for k, c in enumerate(_constants())))
 
-    return F.array_distinct(F.array(*(least(64 * k // BANDS, c) for k, c in enumerate(_constants()))))
+
+def _minima(shingles: Column, begin: Column, count: int) -> Column:
+    """Distinct band values of the window whose shingles begin at `begin`; places behind the end are null and ignored."""
+    return F.array_distinct(_bands([F.get(shingles, begin + k) for k in range(count)]))
 
 
 def find_candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -146,11 +151,14 @@ def find_candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
     if bands.count() <= MAX_TEMPLATE_BANDS:
         bands = F.broadcast(bands)
 
+    # Only the shingles of a window are laid out in a lambda, which Spark interprets; the bands are columns of its row, which
+    # Spark compiles. Places behind the end repeat the first, so no value is null and no minimum changes.
     def all_windows(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(STRIDE)), lambda i: _minima(s, i, STRIDE))
+        at = lambda i, k: F.coalesce(F.get(s, i + k), F.get(s, i), F.lit(0)).alias(f"s{k}")
+        return F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(STRIDE)), lambda i: F.struct(*(at(i, k) for k in range(STRIDE))))
 
-    windows = docs.select("doc_id", F.posexplode(let(_shingles(words(F.col("text"))), all_windows)).alias("w", "v"))
-    values = windows.select("doc_id", "w", F.explode("v").alias("value"))
+    windows = docs.select("doc_id", F.posexplode(let(_shingles(words(F.col("text"))), all_windows)).alias("w", "v")).select("doc_id", "w", "v.*")
+    values = windows.select("doc_id", "w", F.explode(_bands([F.col(f"s{k}") for k in range(STRIDE)])).alias("value"))
     met = values.join(bands, "value")
     return met.select("doc_id", "license", (F.col("w") * STRIDE - F.col("at")).alias("near")).distinct()
 

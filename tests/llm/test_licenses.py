@@ -82,3 +82,27 @@ def test_each_one_line_notice_is_found(spark):
         docs.append((i, " ".join([*noise[:at], lines[name], *noise[at:]]), name))
     found = {(x.doc_id, x.license) for x in li.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, name string")).collect()}
     assert sum((i, name) in found for i, _, name in docs) >= 0.99 * len(docs)
+
+
+def test_bands_of_documents_are_compiled(spark):
+    """Of a window only its shingles are laid out in a lambda, which Spark interprets; equal to the minima of a lambda, at a text's end too."""
+    texts = [(n, " ".join(f"w{n * 7 + k}" for k in range(n))) for n in range(30)] + [(99, li.TEMPLATES["mit"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([("own", texts[23][1]), ("mit", li.TEMPLATES["mit"])], "license string, text string")
+    found = li.find_candidates(docs, table)
+    assert re.search(r"Generate explode\(array\(least\(", found._jdf.queryExecution().optimizedPlan().toString())
+
+    s = docs.select("doc_id", li._shingles(li.words(F.col("text"))).alias("s")).where("s IS NOT NULL")
+    places = F.sequence(F.lit(0), F.size("s") - 1, F.lit(li.STRIDE))
+    windows = s.select("doc_id", F.posexplode(F.transform(places, lambda i: li._minima(F.col("s"), i, li.STRIDE))).alias("w", "v")).select("doc_id", "w", F.explode("v").alias("value"))
+
+    def run(n):
+        t = table.select("license", li._shingles(li.words(F.col("text"))).alias("s"))
+        v = F.transform(F.sequence(F.lit(0), F.size("s") - n), lambda i: li._minima(F.col("s"), i, n))
+        return t.select("license", F.posexplode(v).alias("at", "v")).select("license", "at", F.explode("v").alias("value"))
+
+    runs = [run(n) for n in range(1, li.STRIDE + 1)]
+    bands = runs[0].union(runs[1]).union(runs[2]).union(runs[3])
+    want = {(r.doc_id, r.license, r.w * li.STRIDE - r.at) for r in windows.join(bands, "value").collect()}
+    assert len(want) > 20
+    assert {tuple(r) for r in found.collect()} == want
