@@ -16,11 +16,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each step only needs the smallest neighbour of a node. A hub, which may have a third of all edges, is never brought
     into one task: its smallest neighbour is aggregated before the shuffle and sent to the PLACES places over which its
     edges are dealt. Edges are written to the shared folder between rounds. The number of rounds is logarithmic in the
-    component size.
+    component size; a table that is already in its final form takes none.
     """
     edges = written(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
         placed = edges.withColumn("place", F.pmod(F.xxhash64("a"), F.lit(PLACES)))  # b is the smaller end
@@ -30,8 +29,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = large.join(down, "a")
         small = joined.where("b <> m").selectExpr("b a", "m b").union(down.selectExpr("a", "m b")).distinct()
         edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     return edges.selectExpr("a node", "b component").union(edges.selectExpr("b node", "b component").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether all edges lead straight to a smallest node, so that no further step would change them."""
+    ends = edges.selectExpr("a node", "1 up", "0 down").union(edges.selectExpr("b node", "0 up", "1 down"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").count() == 0
+
+
+def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`nodes` (node, component, other columns), with the components that `links` (a, b: components) join made one.
+
+    Only the components are linked, so the work follows the links and not the nodes. Rows of a large component meet
+    its new name by place.
+    """
+    tops = connected_components(links).selectExpr("node component", "component top")
+    placed = nodes.withColumn("place", F.pmod(F.xxhash64("node"), F.lit(PLACES)))
+    sent = placed.select("component", "place").distinct().join(tops, "component")
+    return placed.join(sent, ["component", "place"], "left").withColumn("component", F.coalesce("top", "component")).select(nodes.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.components import connected_components
+from tenderspark.llm.components import connected_components, merged
 from tenderspark.llm.shared import unused, written
 from tenderspark.llm.shingles import mix, shingle_sets
 
@@ -137,7 +137,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
-    """Links between members of different components of one or two blocks, as a forest: at most one a member."""
+    """Links of the different components of one or two blocks whose members are linked, as a forest."""
     pdf = pdf.drop_duplicates(["member", "body"])  # a doc_id may stand for several texts
     bodies = as_bytes(pdf["body"].tolist())
     hashes, counts = shingle_sets(bodies, width)
@@ -155,7 +155,7 @@ def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     union = counts[:, None] + counts[None, :] - common.astype(np.int64)
     linked = 100 * common.astype(np.int64) >= percent * union
     head = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
-    nodes, out = pdf["member"].to_numpy(), []
+    nodes, out = pdf["component"].to_numpy(), []
     for i, j in zip(*np.nonzero(np.triu(linked & (head[:, None] != head[None, :]), 1)), strict=True):
         if head[i] != head[j]:
             out.append((nodes[i], nodes[j]))
@@ -164,7 +164,7 @@ def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
 
 
 def _residual_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the members of each bucket of `rest` (bucket, member, component) that join different components.
+    """Links (a, b) of components, by members of a bucket of `rest` (bucket, member, component) that are linked.
 
     The largest component of a bucket is its core, the other members are strays. Both are dealt into blocks of about
     BLOCK members and BLOCK_BYTES of text. Blocks of strays meet each other and those of the core; blocks of the core do not meet each other,
@@ -218,9 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = meet.selectExpr("pivot x", "member y").union(meet.selectExpr("other x", "member y")).where("x <> y")
     pairs = pairs.groupBy(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).agg(F.min("x").alias("a"))
     pairs = pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
-    same = _copies(full)
     links = written(confirm(pairs, texts, width, percent), "links")
-    found = connected_components(links)
+    found = connected_components(links.union(_copies(full)))
 
     # Buckets whose members are still apart: their pivots are done, the rest is compared in blocks.
     placed = meet.join(found.withColumnRenamed("node", "member"), "member", "left")
@@ -228,12 +227,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = written(placed, "placed")
     rest = placed.where("member <> pivot AND member <> other")
     apart = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = rest.join(apart, "bucket").select("bucket", "member", "component")
-    more = _residual_links(rest, texts, width, percent)
-
-    every = connected_components(links.union(more).union(same))
-    out = rows.select("doc_id", "n_shingles").join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.selectExpr("doc_id", "n_shingles", "coalesce(component, doc_id) component_id", "coalesce(component, doc_id) <=> doc_id kept")
+    rest = written(rest.join(apart, "bucket").select("bucket", "member", "component"), "rest")
+    out = rows.select(F.col("doc_id").alias("node"), "n_shingles").join(found, "node", "left")
+    out = out.select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    if not rest.isEmpty():
+        more = written(_residual_links(rest, texts, width, percent), "more")
+        if not more.isEmpty():
+            out = merged(out, more)
+    return out.selectExpr("node doc_id", "n_shingles", "component component_id", "component <=> node kept")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

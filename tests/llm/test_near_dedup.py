@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
+from tenderspark.llm import components
 from tenderspark.llm import near_dedup as nd
-from tenderspark.llm.components import connected_components
+from tenderspark.llm.components import connected_components, merged
 from tenderspark.llm.shingles import shingle_sets
 
 
@@ -74,6 +75,41 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def _writes(monkeypatch):
+    """Names of the tables that the component steps and near_dedup write from now on."""
+    seen = []
+    for module in (components, nd):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: seen.append(name) or real(df, name))
+    return seen
+
+
+def test_finished_components_take_no_step(spark, monkeypatch):
+    """Each step costs the driver a task for every partition of a dozen shuffles."""
+    seen = _writes(monkeypatch)
+    stars = spark.createDataFrame([(1, 5), (5, 1), (1, 7), (3, 4), (9, 9)], "a long, b long")
+    assert {tuple(r) for r in connected_components(stars).collect()} == {(1, 1), (5, 1), (7, 1), (3, 3), (4, 3)}
+    assert seen == ["edges"]
+    seen.clear()
+    pair = spark.createDataFrame([(2, 5), (5, 6)], "a long, b long")
+    assert {tuple(r) for r in connected_components(pair).collect()} == {(2, 2), (5, 2), (6, 2)}
+    assert seen == ["edges", "edges"]
+
+
+def test_components_are_found_once_without_strays(spark, monkeypatch):
+    seen = _writes(monkeypatch)
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text.replace("w30", "x")), (4, "b"), (5, None)], "doc_id long, text string")
+    assert {tuple(r)[::2] for r in nd.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    assert "more" not in seen and seen.count("edges") <= 2
+
+
+def test_merged(spark):
+    nodes = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 3, "c"), (4, 3, "d"), (5, 5, "e"), (6, 6, "f"), (None, None, "g"), (4, 3, "d")], "node long, component long, x string")
+    links = spark.createDataFrame([(3, 5), (1, 5), (5, 3)], "a long, b long")
+    got = sorted(map(tuple, merged(nodes, links).collect()), key=str)
+    assert got == sorted([(1, 1, "a"), (2, 1, "b"), (3, 1, "c"), (4, 1, "d"), (5, 1, "e"), (6, 6, "f"), (None, None, "g"), (4, 1, "d")], key=str)
+
+
 def test_against_all_pairs(spark):
     docs = corpus(3, 300) + [(None, "w1 w2 w3"), (1, None), (2, " \n"), (3, "one"), (4, "ONE"), (5, "w1 " * 30_000), (5, "w1 " * 30_000)]
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "doc_id long, text string, component long, member long")
