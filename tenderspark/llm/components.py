@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.llm.shared import written
@@ -20,18 +20,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     while not _are_stars(edges):
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
         placed = edges.withColumn("place", F.pmod(F.xxhash64("a"), F.lit(PLACES)))  # b is the smaller end
-        sent = placed.select("b", "place").distinct().join(low.withColumnRenamed("a", "b"), "b")
+        ends = placed.selectExpr("b node", "a other", "place").union(placed.selectExpr("a node", "b other", "NULL place"))
+        low = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("m"), *_marks())
+        sent = low.select(F.col("node").alias("b"), "m", F.explode(_marked()).alias("place"))
         large = placed.join(sent, ["b", "place"]).selectExpr("a", "m b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(down, "a")
-        small = joined.where("b <> m").selectExpr("b a", "m b").union(down.selectExpr("a", "m b")).distinct()
+        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        # The row with b = m, one for each a, leads from a itself to m, the others from b.
+        small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         edges = written(small, "edges")
     return edges.selectExpr("a node", "b component").union(edges.selectExpr("b node", "b component").distinct())
 
 
+def _marks() -> list[Column]:
+    """Aggregates: the places of a group, as bits of PLACES / 64 longs, so that they need no shuffle of their own."""
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS int))")
+    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 64) == k, bit)), F.lit(0).cast("long")).alias(f"mark{k}") for k in range(PLACES // 64)]
+
+
+def _marked() -> Column:
+    """Array of the places that `_marks` has seen."""
+    return F.concat(*(F.expr(f"transform(filter(sequence(0, 63), p -> getbit(mark{k}, p) = 1), p -> p + {64 * k}L)") for k in range(PLACES // 64)))
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether all edges lead straight to a smallest node, so that no further step would change them."""
     ends = edges.selectExpr("a node", "1 up", "0 down").union(edges.selectExpr("b node", "0 up", "1 down"))

@@ -95,6 +95,13 @@ def test_finished_components_take_no_step(spark, monkeypatch):
     assert seen == ["edges", "edges"]
 
 
+def test_hubs_meet_all_their_places(spark):
+    """A hub with leaves in every place, below and above it."""
+    edges = [(5_000, n) for n in range(4_000, 6_000) if n != 5_000] + [(4_321, 7), (9_001, 9_000), (-3, 9_000), (-3, -9)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 7 for n in [7, *range(4_000, 6_000)]} | {n: -9 for n in (-9, -3, 9_000, 9_001)}
+
+
 def test_components_are_found_once_without_strays(spark, monkeypatch):
     seen = _writes(monkeypatch)
     text = " ".join(f"w{k}" for k in range(60))
