@@ -146,3 +146,31 @@ def test_requirements(spark, feed, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert [tuple(x) for x in tables.read_requirements(spark, path).select("rfp_id", "raw_text_content").collect()] == [("a", "again")]
+
+
+def stored(spark, stream, tmp_path):
+    """The query's output, and the rows in its state store after each micro-batch."""
+    with jobs.rocksdb_state(spark):
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(90) and q.exception() is None
+    return spark.read.parquet(f"{tmp_path}/out"), [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]]
+
+
+def test_many_keys_of_requests(spark, feed, tmp_path):
+    """Keys share the values of the state store: there are no more of these than buckets, however many keys there are."""
+    r = random.Random(8)
+    log = [(i, r.choice(["u", "v", None]), r.choice(["op", None]), f"k{r.randint(0, 2500)}", r.choice(["x", "y", None]), T0 + dt.timedelta(seconds=i // 3)) for i in range(9000)]
+    batch, stream = feed("requests", log, "request_id int, user_id string, operation string, idempotency_key string, request_hash string, ts timestamp")
+    got, rows = stored(spark, jobs.stream_idempotent(stream), tmp_path)
+    assert max(rows) <= jobs.BUCKETS < batch.select("user_id", "operation", "idempotency_key").distinct().count()
+    assert {tuple(x) for x in got.collect()} == {(x.request_id, x.outcome) for x in revisions.idempotent_requests(batch).collect()}
+
+
+def test_each_key_of_a_bucket_is_kept_for_its_own_time(spark, feed, tmp_path):
+    """One bucket: 'a' is cleared at the end of the third batch, 'b' at that of the fifth; the timer goes from the one to the other."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, "a", at(0)), (2, "b", at(50)), (3, "a", at(70)), (4, "z", at(80)), (5, "a", at(90)), (6, "b", at(91)), (7, "b", at(140)), (8, "y", at(141)), (9, "b", at(142)), (10, "a", at(143)), (11, "b", at(144)), (12, "a", at(145))]
+    log = [(i, "u", "op", k, "h", t) for i, k, t in rows]
+    _, stream = feed("requests", log, "request_id int, user_id string, operation string, idempotency_key string, request_hash string, ts timestamp", parts=6)
+    got, _ = stored(spark, jobs.stream_idempotent(stream, 60, "1 second", buckets=1), tmp_path)
+    assert {x.request_id for x in got.where("outcome = 'new'").collect()} == {1, 2, 4, 8, 10, 11}
