@@ -1,8 +1,10 @@
 """A memo of model calls that outlives a run: results by the digest of their input, model and prompt version.
 
 A run looks its inputs up, calls the model for the missing ones only, and appends what comes back in rounds of bounded
-size, so a run that dies has kept its finished rounds and the next one resumes behind them. Results are never changed:
-another model or version has other digests. Failed calls are not kept and so are tried again by the next run.
+size, so a run that dies has kept its finished rounds and the next one resumes behind them. A round is one or more tasks,
+and what a task brings is kept when it ends, whether or not its job does; so a job takes several rounds, and reads their
+rows only. Results are never changed: another model or version has other digests. Failed calls are not kept and so are
+tried again by the next run.
 """
 
 from __future__ import annotations
@@ -13,9 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.sources.shared import written
+from tenderspark.sources.shared import new_path, written
+from tenderspark.sources.versions import Files
 
 ROUND_ROWS = 50_000
+TASK_ROWS = 500
+JOB_ROUNDS = 64
+EACH_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}  # a task's file comes into place when the task ends
 
 
 @dataclass(frozen=True)
@@ -39,15 +45,23 @@ class Memo:
 
     def fill(self, inputs: DataFrame, column: str, call: Callable[[DataFrame], DataFrame]) -> int:
         """Call the model for the distinct inputs that have no result yet; how many there were. `call` takes rows with
-        `column` and adds `value`; null stands for a failed call."""
+        `column` and adds `value`; null stands for a failed call. It is asked once for each job, of which a run of several
+        rounds has four at least."""
         spark = inputs.sparkSession
         asked = inputs.select(self.digest(F.col(column)).alias("digest"), F.coalesce(column, F.lit("")).alias(column)).dropDuplicates(["digest"])
         missing = written(asked.join(self.known(spark).select("digest"), "digest", "left_anti"), "missing")
         n = missing.count()
         rounds = -(-n // self.round_rows)
-        for i in range(rounds):
-            part = missing.where(F.pmod(F.xxhash64("digest"), F.lit(rounds)) == i)
-            call(part).where("value IS NOT NULL").select("digest", F.col("value").cast(self.kind)).write.mode("append").parquet(self.path)
+        if not rounds:
+            return 0
+        jobs = -(-rounds // min(JOB_ROUNDS, max(1, rounds // 4)))
+        tasks = -(-n // (jobs * min(self.round_rows, TASK_ROWS)))
+        place = new_path(spark, "rounds")
+        dealt = missing.withColumn("_job", F.pmod(F.xxhash64("digest"), F.lit(jobs)))
+        dealt.repartition("_job").write.partitionBy("_job").parquet(place)
+        for name in sorted(x for x in Files(spark, place).names(".") if x.startswith("_job=")):
+            part = spark.read.schema(missing.schema).parquet(f"{place}/{name}").repartition(tasks, "digest")
+            call(part).where("value IS NOT NULL").select("digest", F.col("value").cast(self.kind)).write.mode("append").options(**EACH_TASK).parquet(self.path)
         return n
 
     def apply(self, df: DataFrame, column: str, out: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:

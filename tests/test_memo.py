@@ -1,5 +1,7 @@
 """The memo of model calls: what a run has kept the next one does not call for."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,34 @@ def test_seams_share_a_memo(spark, tmp_path):
     first = seams.build_library(docs, counted, 2, vectors)
     assert first.count() == 6 and len((tmp_path / "embedded").read_text().splitlines()) == 2  # three chunks a document, two of them the same text
     assert seams.build_library(docs, counted, 2, vectors).exceptAll(first).count() == 0 and len((tmp_path / "embedded").read_text().splitlines()) == 2  # three chunks a document, two of them the same text
+
+
+def test_jobs_take_several_rounds_and_read_their_own_rows(spark, memo, tmp_path):
+    df = texts(spark, *(f"t{i}" for i in range(400)))
+    read = []
+
+    def call(rows):
+        read.append(set(rows.inputFiles()))
+        return rows.withColumn("value", F.upper("text"))
+
+    assert memo.fill(df, "text", call) == 400 and memo.known(spark).count() == 400
+    assert 4 <= len(read) <= 8 and not any(a & b for i, a in enumerate(read) for b in read[:i])
+
+
+def test_a_job_that_dies_keeps_its_finished_tasks(spark, memo, tmp_path):
+    df = texts(spark, *(f"t{i}" for i in range(400)))
+    sizes = []
+
+    def fn(xs):
+        if "t7" in xs:
+            time.sleep(6)  # the others end meanwhile
+            raise RuntimeError("no answer")
+        return [x.upper() for x in xs]
+
+    def call(rows):
+        sizes.append(rows.count())
+        return seams.call_batches(rows, fn, "text", "value", "string")
+
+    with pytest.raises(Exception, match="no answer"):
+        memo.fill(df, "text", call)
+    assert sum(sizes[:-1]) < memo.known(spark).count() < sum(sizes)
