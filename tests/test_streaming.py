@@ -174,3 +174,24 @@ def test_each_key_of_a_bucket_is_kept_for_its_own_time(spark, feed, tmp_path):
     _, stream = feed("requests", log, "request_id int, user_id string, operation string, idempotency_key string, request_hash string, ts timestamp", parts=6)
     got, _ = stored(spark, jobs.stream_idempotent(stream, 60, "1 second", buckets=1), tmp_path)
     assert {x.request_id for x in got.where("outcome = 'new'").collect()} == {1, 2, 4, 8, 10, 11}
+
+
+def test_many_keys_of_windows(spark, feed, tmp_path):
+    """Keys share the values of the state store, null and empty ones too, and each has its own windows."""
+    r = random.Random(9)
+    keys = [None, "", "=", *(f"k{i}" for i in range(2500))]
+    rows = [(r.choice(keys), i, T0 + dt.timedelta(seconds=i // 2)) for i in range(12_000)]
+    batch, stream = feed("events", rows, "key string, event_id int, ts timestamp")
+    got, values = stored(spark, jobs.stream_attempt_windows(stream, 1800, 3), tmp_path)
+    assert max(values) <= jobs.BUCKETS < len(keys)
+    wanted, open_ = [], {}
+    for k, _, t in rows:
+        start, n = open_.get(k, (None, 0))
+        if start is None or t >= start + dt.timedelta(seconds=1800):
+            start, n = t, 0
+        open_[k] = start, n + 1
+        wanted.append((k, start, t, n + 1, n + 1 > 3, 1800 - int((t - start).total_seconds())))
+    plain = lambda xs: sorted(map(repr, xs))
+    assert plain(tuple(x) for x in got.collect()) == plain(wanted)
+    warned = run(spark, jobs.stream_suppressed_warnings(stream, 1800, 7200, buckets=2), "many_warnings", tmp_path)
+    assert plain(tuple(x) for x in warned.where("key <> ''").collect()) == plain(tuple(x) for x in ops.suppressed_warnings(batch.where("key <> ''"), 1800).collect())
